@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -46,21 +47,23 @@ def bucket_offsets(df: DataFrame, keys: list[str], bucket: str, weight: Column)
     )
 
 
-def hash_rank(df: DataFrame, keys: list[str], id_col: str, seed: int, prefix: int = 3) -> DataFrame:
+def hash_rank(df: DataFrame, keys: list[str], id_col: str, seed: int, prefix: int = 3,
+              per_group: Callable[[Column], Column] | None = None) -> DataFrame:
     """Exact rank (1-based) of each id in md5 order per key, plus the key's row count.
 
-    md5 spreads ids evenly over 16**prefix buckets, so no task ever holds a whole key.
+    md5 spreads ids evenly over 16**prefix buckets, so no task ever holds a whole key. ``per_group`` adds
+    ``group_info``, computed from the row count on the small bucket table.
     """
     hashed = df.withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))) \
         .withColumn("__b", F.substring("__h", 1, prefix))
     offsets = bucket_offsets(hashed, keys, "__b", F.lit(1))
+    info = [per_group(F.col("__total")).alias("group_info")] if per_group else []
+    offsets = offsets.select(*keys, "__b", "__before", F.col("__total").alias("group_size"), *info)
     local = F.row_number().over(W.partitionBy(*keys, "__b").orderBy("__h", id_col))
     ranked = hashed.withColumn("__local", local)
     return null_safe_join(ranked, offsets, [*keys, "__b"]).select(
         *df.columns,
-        (F.col("__before") + F.col("__local")).alias("hash_rank"),
-        F.col("__total").alias("group_size"),
-    )
+        (F.col("__before") + F.col("__local")).alias("hash_rank"), "group_size", *(["group_info"] if per_group else []))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], cuts: int = 64) -> DataFrame:

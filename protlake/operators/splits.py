@@ -20,27 +20,29 @@ def largest_remainder(n: Column, ratios: tuple[float, float, float]) -> Column:
     """ARRAY<BIGINT> of split sizes: floors first, leftovers by largest remainder (then larger ratio, then
     earlier split); a positive ratio gets at least one item when there are enough."""
     r = normalise_ratios(ratios)
-    expected = [F.lit(x) * n for x in r]
-    floors = [F.floor(e).cast("bigint") for e in expected]
-    left = n - sum(floors[1:], floors[0])
-    ranked = F.array_sort(F.array(*[
-        F.struct((-(expected[i] - floors[i])).alias("a"), F.lit(-r[i]).alias("b"), F.lit(i).alias("i"))
-        for i in range(len(r))]))
-    order = F.transform(ranked, lambda s: s.i)
-    sizes = F.array(*[floors[i] + F.when(F.array_position(order, F.lit(i)) <= left, 1).otherwise(0)
-                      for i in range(len(r))])
+    shares = F.transform(
+        F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("r")) for i, x in enumerate(r)]),
+        lambda p: F.struct(p.i.alias("i"), p.r.alias("r"), F.floor(p.r * n).cast("bigint").alias("whole"),
+                           (p.r * n - F.floor(p.r * n)).alias("part")))
+    sizes = _let(shares, lambda s: _let(
+        F.transform(F.array_sort(F.transform(s, lambda p: F.struct(-p.part, -p.r, p.i.alias("i")))), lambda q: q.i),
+        lambda order: F.transform(s, lambda p: p.whole + F.when(
+            F.array_position(order, p.i) <= n - F.aggregate(s, F.lit(0).cast("bigint"), lambda acc, q: acc + q.whole), 1).otherwise(0))))
     positive = [i for i, x in enumerate(r) if x > 0]
-    for i in positive:
-        sizes = _donate(sizes, i, n >= len(positive))
-    return sizes
+    return F.aggregate(F.array(*map(F.lit, positive)), sizes, lambda acc, i: _donate(acc, i, n >= len(positive)))
 
 
-def _donate(sizes: Column, i: int, enough: Column) -> Column:
+def _let(value: Column, body) -> Column:
+    """Bind a value once, so nested uses do not repeat its expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _donate(sizes: Column, i: Column, enough: Column) -> Column:
     """Give split ``i`` one item of the largest split when it has none."""
     biggest = F.array_max(sizes)
     donor = F.array_position(sizes, biggest) - 1
     moved = F.transform(sizes, lambda v, k: F.when(k == i, v + 1).when(k == donor, v - 1).otherwise(v))
-    return F.when(enough & (F.element_at(sizes, i + 1) == 0) & (biggest > 1), moved).otherwise(sizes)
+    return F.when(enough & (F.get(sizes, i) == 0) & (biggest > 1), moved).otherwise(sizes)
 
 
 def rounded_sizes(n: Column, ratios: tuple[float, float, float]) -> Column:
@@ -60,8 +62,8 @@ def hash_split(ids: DataFrame, keys: list[str], id_col: str, ratios: tuple[float
                rule=largest_remainder, prefix: int = 3) -> DataFrame:
     """Exact-size split of distinct non-blank ids per key: (keys…, id, split)."""
     unique = ids.where(F.trim(F.col(id_col).cast("string")) != "").select(*keys, id_col).distinct()
-    ranked = hash_rank(unique, keys, id_col, seed, prefix).withColumn("__s", rule(F.col("group_size"), ratios))
-    a, b = F.element_at("__s", 1), F.element_at("__s", 2)
+    ranked = hash_rank(unique, keys, id_col, seed, prefix, lambda n: rule(n, ratios))
+    a, b = F.element_at("group_info", 1), F.element_at("group_info", 2)
     name = F.when(F.col("hash_rank") <= a, SPLITS[0]).when(F.col("hash_rank") <= a + b, SPLITS[1]).otherwise(SPLITS[2])
     return ranked.select(*keys, id_col, name.alias("split"))
 
