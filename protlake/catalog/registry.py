@@ -27,8 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def r6(column: str | Column, name: str | None = None) -> Column:
     """Six decimals: engines add floating-point numbers in different orders."""
-    c = F.col(column) if isinstance(column, str) else column
-    return F.round(c.cast("double"), 6).alias(name or column)
+    if isinstance(column, str):
+        return F.round(F.col(column).cast("double"), 6).alias(name or column)
+    out = F.round(column.cast("double"), 6)
+    return out.alias(name) if name else out
 
 
 def rounded(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from protlake import constants as C
 from protlake.catalog.registry import table
+from protlake.functions import scalar as fn
 
 # --- labels: order = entry, brand and size of the part = term, size decides the aspect -----------------------
 
@@ -95,9 +96,8 @@ def _residue(i: Column) -> Column:
 def fragment_source(spark: SparkSession, sf: str) -> DataFrame:
     """(vec_id, entry_id, model_entity_id, taxonomy_id, f, rs ARRAY of residues)."""
     entry = F.concat(F.lit("P"), F.lpad((F.floor(F.col("vec_id") / 2)).cast("string"), 8, "0"))
-    return table(spark, sf, "embeddings").select(
-        "vec_id", entry.alias("entry_id"), (F.col("vec_id") % 2 + 1).alias("f"), "embedding", "label",
-        F.transform(F.sequence(F.lit(1), F.lit(RESIDUES)), _residue).alias("rs")).select(
+    base = table(spark, sf, "embeddings").select("vec_id", entry.alias("entry_id"), (F.col("vec_id") % 2 + 1).alias("f"), "embedding", "label")
+    return fn.once(base, rs=F.transform(F.sequence(F.lit(1), F.lit(RESIDUES)), _residue)).select(
         "*", F.concat("entry_id", F.lit("-F"), F.col("f").cast("string")).alias("model_entity_id"),
         (F.floor(F.col("vec_id") / 2) % 10).cast("string").alias("taxonomy_id"))
 
@@ -143,9 +143,9 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     first, vec = F.col("f") == 1, F.col("vec_id")
     start = F.when(first & (vec % 7 == 0), 3).when(first, 1).otherwise(11)
     end = F.when(first & (vec % 7 == 0), 23).when(first, 21).when(vec % 5 == 0, 30).otherwise(31)
-    frags = fragment_source(spark, sf).select(
+    frags = fn.once(fragment_source(spark, sf), m=pae_matrix(F.col("rs"))).select(
         "vec_id", "entry_id", "model_entity_id", start.alias("sequence_start"), end.alias("sequence_end"),
-        pdb_text(F.col("rs")).alias("pdb_text"), pae_text(pae_matrix(F.col("rs")), vec).alias("pae_text"))
+        pdb_text(F.col("rs")).alias("pdb_text"), pae_text(F.col("m"), vec).alias("pae_text"))
     return frags.join(sequences(spark, sf), "entry_id")
 
 

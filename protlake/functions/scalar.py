@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from protlake import constants as C
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    The optimizer copies a column's expression into every filter and often into projections that use it, which
+    repeats a costly parse. Columns made by a one-element generator are read, never recomputed.
+    """
+    packed = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select("*", F.explode(packed).alias("__once")).select(*df.columns, "__once.*")
+
+
 def d(value: float) -> Column:
     """DOUBLE literal (a bare Python float would already be one; ints would not)."""
     return F.lit(float(value))

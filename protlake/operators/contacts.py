@@ -50,17 +50,20 @@ def edge_flags(edges: DataFrame, strict_radius: float) -> DataFrame:
         (sep <= 5).alias("is_short_range_sequence"), (F.col("distance") <= strict_radius).alias("is_strict_contact"))
 
 
-def attach_pair_error(edges: DataFrame, rows: DataFrame, group: list[str]) -> DataFrame:
-    """Both directions of the error matrix for each pair; ``rows`` = (group…, residue_index, pae_row).
+def attach_pair_error(edges: DataFrame, rows: DataFrame, group: list[str], both: list[str] = (), once: list[str] = ()) -> DataFrame:
+    """Both directions of the error matrix for each pair; ``rows`` = (group…, residue_index, pae_row, …).
 
-    The matrix stays one array per residue; only two cells per pair are read from it.
+    The matrix stays one array per residue; only two cells per pair are read from it. Columns in ``both`` come
+    along as source_/target_ columns, those in ``once`` from the source.
     """
-    a = rows.select(*group, F.col("residue_index").alias("source"), F.col("pae_row").alias("__ra"))
-    b = rows.select(*group, F.col("residue_index").alias("target"), F.col("pae_row").alias("__rb"))
-    return edges.join(a, [*group, "source"]) \
-        .withColumn("pae_lr", F.element_at("__ra", F.col("target").cast("int"))).drop("__ra") \
-        .join(b, [*group, "target"]) \
-        .withColumn("pae_rl", F.element_at("__rb", F.col("source").cast("int"))).drop("__rb") \
+    def side(end: str, more: list[str]) -> DataFrame:
+        return rows.select(*group, F.col("residue_index").alias(end), F.col("pae_row").alias(f"__{end}"), *more,
+                           *[F.col(c).alias(f"{end}_{c}") for c in both])
+
+    return edges.join(side("source", list(once)), [*group, "source"]) \
+        .withColumn("pae_lr", F.element_at("__source", F.col("target").cast("int"))).drop("__source") \
+        .join(side("target", []), [*group, "target"]) \
+        .withColumn("pae_rl", F.element_at("__target", F.col("source").cast("int"))).drop("__target") \
         .withColumn("pae_mean_pair", (F.col("pae_lr") + F.col("pae_rl")) / 2.0)
 
 

@@ -125,7 +125,5 @@ def numeric_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     if keys:
         joined = null_safe_join(moments, wide, keys, "left")
     else:
-        joined = moments
-        for n in SUMMARY_PROBS:
-            joined = joined.withColumn(n, wide.select(n).scalar())
+        joined = moments.withColumn("__w", wide.select(F.struct(*SUMMARY_PROBS).alias("w")).scalar()).select("*", "__w.*")
     return joined.select(*keys, "count", "min", *SUMMARY_PROBS, "max", "mean")

@@ -140,11 +140,13 @@ def clamped(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("score", fn.clamp(F.col("score").cast("double"), C.SCORE_CLAMP, 1.0 - C.SCORE_CLAMP).cast("float"))
 
 
-def evaluate(pairs: DataFrame, terms: DataFrame, threshold: float, step: float = 0.01) -> DataFrame:
-    """All metrics of a score table in one row."""
-    judged = clamped(pairs)
-    flat = metrics.micro_macro(metrics.complete_terms(metrics.term_counts_at(judged, threshold), terms))
-    best = metrics.fmax(judged, step)
-    for name in best.columns:
-        flat = flat.withColumn(name, best.select(name).scalar())
-    return flat.withColumn("metric_threshold", fn.d(threshold)).withColumn("fmax_threshold_step", fn.d(step))
+def evaluate(pairs: DataFrame, terms: DataFrame, threshold: float, step: float = 0.01, by: list[str] = ()) -> DataFrame:
+    """All metrics of a score table, one row per group. ``terms`` = (by…, term) is the whole vocabulary."""
+    by, judged = list(by), clamped(pairs)
+    flat = metrics.micro_macro(metrics.complete_terms(metrics.term_counts_at(judged, threshold, by), terms, by), by)
+    best = metrics.fmax(judged, step, by)
+    if by:
+        out = flat.join(best, by)
+    else:
+        out = flat.withColumn("__b", best.select(F.struct("*").alias("b")).scalar()).select("*", "__b.*").drop("__b")
+    return out.withColumn("metric_threshold", fn.d(threshold)).withColumn("fmax_threshold_step", fn.d(step))

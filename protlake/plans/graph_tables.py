@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from protlake.functions import scalar as fn
 from protlake.operators import graphs
+from protlake.session import staged
 
 
 def graph_tables(residues: DataFrame, edges: DataFrame, entries: DataFrame) -> dict[str, DataFrame]:
     """nodes, edges, summary and errors. ``entries`` = (entry_id, sequence_length)."""
-    numbered = graphs.number_nodes(graphs.best_residues(residues))
-    kept = graphs.best_edges(graphs.surviving_edges(edges, numbered))
+    numbered = staged(graphs.number_nodes(graphs.best_residues(residues)), "nodes")
+    kept = staged(graphs.best_edges(graphs.surviving_edges(edges, numbered)), "kept-edges")
     nodes = graphs.node_table(numbered, kept, entries)
     return {"nodes": nodes, "edges": graphs.edge_table(kept), "summary": graphs.summary_table(nodes),
             "errors": graphs.unresolved_entries(entries, nodes)}

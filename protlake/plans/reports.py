@@ -23,12 +23,13 @@ def results_mart(epoch_metrics: DataFrame, configs: DataFrame | None = None) ->
 def fusion_report(graph: DataFrame, sequence: DataFrame, labels: DataFrame, terms: DataFrame, graph_weight: float,
                   sequence_weight: float, space: str = "probabilities", threshold: float = 0.5, step: float = 0.01) -> DataFrame:
     """Metrics of the graph scores, the sequence scores and their fusion, with deltas to the graph row."""
-    fused = scoring.fuse(graph, sequence, graph_weight, sequence_weight, space)
-    rows = []
-    for name, scores in (("graph", graph), ("sequence", sequence), ("fused", fused)):
-        pairs = metrics.join_targets(scores.select("entry_id", "term", "score"), labels, keep_unscored=False)
-        rows.append(scoring.evaluate(pairs, terms, threshold, step).select(F.lit(name).alias("model"), "*"))
-    return reshape.delta_to_baseline(reshape.stack_tables(*rows), ["metric_threshold"], "fmax", F.col("model").startswith("graph"), "fmax_delta")
+    tables = {"graph": graph, "sequence": sequence,
+              "fused": scoring.fuse(graph, sequence, graph_weight, sequence_weight, space)}
+    scores = reshape.stack_tables(*[t.select(F.lit(name).alias("model"), "entry_id", "term", "score") for name, t in tables.items()])
+    pairs = metrics.join_targets(scores, labels, keep_unscored=False)
+    vocab = terms.select("term", F.explode(F.array(*map(F.lit, tables))).alias("model"))
+    rows = scoring.evaluate(pairs, vocab, threshold, step, ["model"])
+    return reshape.delta_to_baseline(rows, ["metric_threshold"], "fmax", F.col("model").startswith("graph"), "fmax_delta")
 
 
 def sequence_matrix(index: DataFrame, embeddings: DataFrame, width: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from protlake import schemas
 from protlake.functions import scalar as fn
 from protlake.operators import contacts, fragments as fr
+from protlake.session import staged
 from protlake.sources import structures
 
 KEY = ["entry_id", "model_entity_id"]
@@ -18,14 +19,16 @@ def parsed_fragments(requests: DataFrame) -> DataFrame:
     ``requests`` = (entry_id, taxonomy_id, model_entity_id, sequence, sequence_start, sequence_end, pdb_text, pae_text).
     Everything here stays inside the fragment's row; no shuffle.
     """
-    parsed = structures.parse_structures(requests, "pdb_text") \
-        .withColumn("matrix", structures.error_matrix(F.col("pae_text"))).drop("pdb_text", "pae_text")
+    texts = structures.parse_structures(requests, "pdb_text", matrix=structures.error_matrix(F.col("pae_text"))).drop("pdb_text", "pae_text")
     n = F.size("residues")
     error = F.coalesce("pdb_error", F.when(F.col("matrix").isNull(), "structure-error matrix is missing")
                        .when(F.size("matrix") != n, "structure-error matrix does not match the residue count")
                        .when(~fn.is_square(F.col("matrix"), n), "structure-error matrix is not square"))
-    offset, status = structures.aligned_positions(F.col("residues"), F.col("sequence"), F.col("sequence_start"), F.col("sequence_end"))
-    return parsed.withColumn("error", error).withColumn("alignment_status", status).withColumn("offset", offset)
+    spelled = fn.once(texts, error=error, letters=structures.residue_string(F.col("residues")))
+    status = structures.alignment_status(F.col("letters"), F.col("sequence"), F.col("sequence_start"), F.col("sequence_end"))
+    placed = fn.once(spelled, alignment_status=status)
+    offset = structures.alignment_offset(F.col("alignment_status"), F.col("letters"), F.col("sequence"), F.col("sequence_start"))
+    return placed.withColumn("offset", offset).drop("letters")
 
 
 def fragment_failures(parsed: DataFrame) -> DataFrame:
@@ -38,14 +41,13 @@ def residue_rows(parsed: DataFrame) -> DataFrame:
     good = parsed.where(F.col("error").isNull())
     flat = good.select(
         "entry_id", "taxonomy_id", "model_entity_id", "alignment_status", "offset", F.size("residues").alias("total"),
-        F.explode(F.arrays_zip("residues", F.col("matrix").alias("pae_row"))).alias("z")) \
-        .select("*", "z.residues.*", F.col("z.pae_row").alias("pae_row")).drop("z0")
-    stats = fr.row_statistics(F.col("pae_row"))
+        F.explode(F.arrays_zip("residues", F.col("matrix").alias("pae_row"))).alias("__z")) \
+        .select("*", "__z.residues.*", F.col("__z.pae_row").alias("pae_row")).drop("__z")
     bins = fn.confidence_bin(F.col("plddt"))
-    return flat.withColumn("seq_position", F.col("residue_index") + F.col("offset")) \
+    return fn.once(flat, s=fr.row_statistics(F.col("pae_row"))).withColumn("seq_position", F.col("residue_index") + F.col("offset")) \
         .withColumn("plddt_bin", bins) \
         .withColumns({f"is_plddt_{b}": F.col("plddt_bin") == b for b in ("very_low", "low", "confident", "very_high")}) \
-        .withColumn("s", stats).withColumn("pae_row_mean", F.col("s.mean")).withColumn("pae_row_min", F.col("s.min")) \
+        .withColumn("pae_row_mean", F.col("s.mean")).withColumn("pae_row_min", F.col("s.min")) \
         .withColumn("pae_row_p90", F.col("s.p90")) \
         .withColumn("sequence_position_fraction", F.col("residue_index") / F.col("total")).drop("s", "offset", "total")
 
@@ -53,11 +55,7 @@ def residue_rows(parsed: DataFrame) -> DataFrame:
 def edge_rows(residues: DataFrame, radius: float, strict_radius: float) -> DataFrame:
     """Contact pairs of each fragment with both error directions and both positions."""
     pairs = contacts.edge_flags(contacts.pairs_within(residues, KEY, "residue_index", radius), strict_radius)
-    scored = contacts.attach_pair_error(pairs, residues, KEY)
-    where = residues.select(*KEY, "taxonomy_id", "residue_index", "seq_position")
-    a = where.withColumnsRenamed({"residue_index": "source", "seq_position": "source_seq_position"})
-    b = where.drop("taxonomy_id").withColumnsRenamed({"residue_index": "target", "seq_position": "target_seq_position"})
-    out = scored.join(a, [*KEY, "source"]).join(b, [*KEY, "target"]).withColumnsRenamed(
+    out = contacts.attach_pair_error(pairs, residues, KEY, ["seq_position"], ["taxonomy_id"]).withColumnsRenamed(
         {"source": "source_residue_index", "target": "target_residue_index", "distance": "distance_ca"})
     return fr.conform(out, schemas.EDGES)
 
@@ -91,10 +89,10 @@ def fragment_table(parsed: DataFrame, residues: DataFrame, radius: float, strict
 
 
 def feature_tables(requests: DataFrame, radius: float = 10.0, strict_radius: float = 8.0) -> dict[str, DataFrame]:
-    """residues, edges, fragments and failures."""
-    parsed = parsed_fragments(requests)
+    """residues, edges, fragments and failures. Files are parsed once and pairs searched once; see ``staged``."""
+    parsed = staged(parsed_fragments(requests), "parsed")
     raw = residue_rows(parsed)
-    edges = edge_rows(raw, radius, strict_radius)
+    edges = staged(edge_rows(raw, radius, strict_radius), "edges")
     residues = residue_table(raw, edges)
     return {"residues": residues, "edges": edges, "fragments": fragment_table(parsed, residues, radius, strict_radius),
             "failures": fragment_failures(parsed)}

@@ -47,9 +47,9 @@ def ca_residues(text: Column) -> Column:
     return F.transform(atoms, residue)
 
 
-def parse_structures(files: DataFrame, text: str = "value") -> DataFrame:
+def parse_structures(files: DataFrame, text: str = "value", **more: Column) -> DataFrame:
     """Adds ``residues`` and ``pdb_error``: no C-alpha atom, or a number that cannot be read."""
-    out = files.withColumn("residues", ca_residues(F.col(text)))
+    out = fn.once(files, residues=ca_residues(F.col(text)), **more)
     broken = F.exists("residues", lambda r: r.residue_number.isNull() | r.x.isNull() | r.y.isNull() | r.z.isNull() | r.plddt.isNull())
     return out.withColumn("pdb_error", F.when(F.col("residues").isNull() | (F.size("residues") == 0), "no CA atoms")
                           .when(broken, "unreadable number in an ATOM line"))
@@ -136,20 +136,22 @@ def parse_areas(files: DataFrame, keys: list[str], text: str = "value") -> DataF
     return flat.groupBy(*at).agg(F.max_by("area", "__o").alias("area"))
 
 
-def aligned_positions(residues: Column, sequence: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    """(offset, status): position of a residue in the full sequence is residue_index + offset.
+def residue_string(residues: Column) -> Column:
+    return F.array_join(F.transform(residues, lambda r: r.residue_name1), "")
 
-    Tried in order: the declared range spells the residues, the whole sequence does, the first occurrence,
-    equal length only; otherwise the offset is NULL.
-    """
-    letters = F.array_join(F.transform(residues, lambda r: r.residue_name1), "")
+
+def alignment_status(letters: Column, sequence: Column, start: Column, end: Column) -> Column:
+    """How a fragment is placed. Tried in order: the declared range spells the residues, the whole sequence does,
+    the first occurrence, equal length only."""
     first, last = fn.or_default(start, 1), F.coalesce(end, F.lit(0))
-    expected = F.substring(sequence, first, F.greatest(last - first + 1, F.lit(0)))
-    found = F.instr(sequence, letters)
-    n = F.size(residues)
-    status = (F.when(letters == expected, "exact_fragment_match").when(letters == sequence, "exact_full_match")
-              .when(found > 0, "substring_match")
-              .when(n == F.greatest(last - first + 1, F.lit(0)), "range_length_match").otherwise("unresolved"))
-    offset = (F.when(status.isin("exact_fragment_match", "range_length_match"), first - 1)
-              .when(status == "exact_full_match", F.lit(0)).when(status == "substring_match", found - 1))
-    return offset.cast("int"), status
+    span = F.greatest(last - first + 1, F.lit(0))
+    return (F.when(letters == F.substring(sequence, first, span), "exact_fragment_match")
+            .when(letters == sequence, "exact_full_match").when(F.instr(sequence, letters) > 0, "substring_match")
+            .when(F.length(letters) == span, "range_length_match").otherwise("unresolved"))
+
+
+def alignment_offset(status: Column, letters: Column, sequence: Column, start: Column) -> Column:
+    """Position of a residue in the full sequence is residue_index + offset; NULL when unresolved."""
+    return (F.when(status.isin("exact_fragment_match", "range_length_match"), fn.or_default(start, 1) - 1)
+            .when(status == "exact_full_match", F.lit(0))
+            .when(status == "substring_match", F.instr(sequence, letters) - 1)).cast("int")
