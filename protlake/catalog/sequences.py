@@ -146,13 +146,13 @@ def label_vectors(spark, sf):
 # --- fragment roll-up on lines ----------------------------------------------------------------------------------
 
 @query("weighted_rollup", """
-SELECT l_orderkey, round(sum(l_discount * l_quantity) FILTER (WHERE l_linenumber <> 3 AND l_returnflag <> 'N') / nullif(sum(l_quantity) FILTER (WHERE l_linenumber <> 3 AND l_returnflag <> 'N'), 0), 6) AS mean_value,
+SELECT l_orderkey, round(sum(l_discount * l_quantity) FILTER (WHERE l_linenumber <> 3 AND l_returnflag <> 'N') / nullif(sum(l_quantity) FILTER (WHERE l_linenumber <> 3 AND l_returnflag <> 'N'), 0), 10) AS mean_value,
   max(CASE WHEN l_linenumber = 3 THEN NULL ELSE l_discount END) AS max_value, count(*) AS fragments FROM lineitem GROUP BY 1""")
 def weighted_rollup(spark, sf):
     value = F.when(F.col("l_linenumber") != 3, F.col("l_discount"))
     weight = F.when(F.col("l_returnflag") == "N", 0.0).otherwise(F.col("l_quantity"))
-    return rounded(table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        FR.weighted_average(value, weight).alias("mean_value"), F.max(value).alias("max_value"), F.count("*").alias("fragments")))
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.round(FR.weighted_average(value, weight), 10).alias("mean_value"), F.max(value).alias("max_value"), F.count("*").alias("fragments"))
 
 
 @query("distinct_errors", """SELECT o_orderkey, string_agg(e, ' | ' ORDER BY i) AS errors FROM (SELECT o_orderkey, e, min(i) AS i FROM (

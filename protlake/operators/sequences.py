@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from typing import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
@@ -34,41 +38,73 @@ def null_counts(df: DataFrame) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
 
 
+def _word(number: Column, k: int, alphabet: str) -> Column:
+    """The number-th k-letter word in alphabet order."""
+    base, letters = len(alphabet), F.array(*map(F.lit, alphabet))
+    return F.concat(*[F.element_at(letters, (F.floor(number / base ** (k - 1 - i)) % base + 1).cast("int")) for i in range(k)])
+
+
 def kmer_vocabulary(spark, k: int = 2, alphabet: str = C.STANDARD_RESIDUES) -> DataFrame:
     """All k-letter words in order with their index; built by arithmetic on the word number."""
-    size, base = len(alphabet) ** k, len(alphabet)
-    letters = F.array(*map(F.lit, alphabet))
-    word = F.concat(*[F.element_at(letters, (F.floor(F.col("id") / base ** (k - 1 - i)) % base + 1).cast("int"))
-                      for i in range(k)])
-    return spark.range(size).select(word.alias("kmer"), F.col("id").cast("int").alias("kmer_index"))
+    return spark.range(len(alphabet) ** k).select(_word(F.col("id"), k, alphabet).alias("kmer"), F.col("id").cast("int").alias("kmer_index"))
+
+
+def _kmer_slots(text: str, codes: np.ndarray, base: int, k: int) -> np.ndarray:
+    """Vocabulary slot of every in-alphabet k-mer of one text; ``codes`` maps code points to letters, -1 elsewhere."""
+    points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    letters = codes[np.minimum(points, len(codes) - 1)]
+    n = len(letters) - k + 1
+    if n <= 0:
+        return np.empty(0, dtype="int64")
+    parts = [letters[i:i + n] for i in range(k)]
+    inside = np.logical_and.reduce([p >= 0 for p in parts])
+    return sum(p * base ** (k - 1 - i) for i, p in enumerate(parts))[inside]
+
+
+def _letter_codes(alphabet: str) -> np.ndarray:
+    codes = np.full(max(map(ord, alphabet)) + 2, -1, dtype="int64")
+    codes[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
+    return codes
 
 
 def kmer_frequencies(seqs: DataFrame, k: int = 2, sequence: str = "sequence", alphabet: str = C.STANDARD_RESIDUES) -> DataFrame:
-    """(entry_id, kmer, n, freq): counts over all k-mers of the sequence, in-alphabet k-mers kept.
+    """(entry_id, kmer, n, freq): frequencies over all k-mers of the sequence, in-alphabet ones kept.
 
-    One row is exploded inside its task and combined there, so at most one row per distinct k-mer is shuffled.
+    One row per entry, so counting needs no shuffle. Array counting per Arrow batch is several hundred times
+    cheaper per character than exploding k-mers into rows.
     """
-    total = F.length(sequence) - (k - 1)
-    exploded = seqs.where(F.length(sequence) >= k).select(
-        "entry_id", total.alias("__total"), F.explode(fn.kmers(F.col(sequence), k)).alias("kmer"))
-    kept = exploded.where(F.col("kmer").rlike(f"^[{alphabet}]{{{k}}}$"))
-    return kept.groupBy("entry_id", "__total", "kmer").agg(F.count("*").alias("n")) \
-        .select("entry_id", "kmer", "n", (F.col("n") / F.col("__total")).alias("freq"))
+    codes, base = _letter_codes(alphabet), len(alphabet)
+
+    def count(batches):
+        for pdf in batches:
+            found = [np.unique(_kmer_slots(t, codes, base, k), return_counts=True) for t in pdf["text"]]
+            sizes = [len(s) for s, _ in found]
+            if sum(sizes):
+                yield pd.DataFrame({
+                    "entry_id": np.repeat(pdf["entry_id"].to_numpy(), sizes), "total": np.repeat(pdf["total"].to_numpy(), sizes),
+                    "slot": np.concatenate([s for s, _ in found]), "n": np.concatenate([c for _, c in found])})
+
+    src = seqs.where(F.length(sequence) >= k).select(
+        "entry_id", F.col(sequence).alias("text"), (F.length(sequence) - (k - 1)).cast("bigint").alias("total"))
+    rows = src.mapInPandas(count, "entry_id string, total bigint, slot bigint, n bigint")
+    return rows.select("entry_id", _word(F.col("slot"), k, alphabet).alias("kmer"), "n", (F.col("n") / F.col("total")).alias("freq"))
 
 
 def kmer_vectors(seqs: DataFrame, k: int = 2, sequence: str = "sequence", alphabet: str = C.STANDARD_RESIDUES) -> DataFrame:
-    """Dense ARRAY<FLOAT> over the k-mer vocabulary; short sequences are all zero."""
-    base = len(alphabet)
-    size = base ** k
-    position = sum((F.instr(F.lit(alphabet), F.substring("kmer", i + 1, 1)) - 1) * F.lit(base ** (k - 1 - i))
-                   for i in range(k))
-    sparse = kmer_frequencies(seqs, k, sequence, alphabet).groupBy("entry_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(position.alias("i"), "freq"))).alias("__m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
-                        lambda i: F.coalesce(F.try_element_at("__m", i), fn.d(0)).cast("float"))
-    return seqs.select("entry_id").join(sparse, "entry_id", "left").select(
-        "entry_id", F.coalesce(F.when(F.col("__m").isNotNull(), dense),
-                               F.array_repeat(F.lit(0.0).cast("float"), size)).alias("kmer_vector"))
+    """(entry_id, kmer_vector ARRAY<FLOAT>) over the k-mer vocabulary; short sequences are all zero."""
+    codes, base = _letter_codes(alphabet), len(alphabet)
+
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = []
+            for t in texts:
+                slots = _kmer_slots(t or "", codes, base, k)
+                total = max(len(t or "") - k + 1, 1)
+                out.append((np.bincount(slots, minlength=base ** k) / total).astype("float32"))
+            yield pd.Series(out)
+
+    vector = F.pandas_udf(vectors, "array<float>")
+    return seqs.select("entry_id", vector(F.col(sequence)).alias("kmer_vector"))
 
 
 def windows(seqs: DataFrame, size: int, overlap: int, length: Column | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from protlake import schemas
 from protlake.operators import fragments as fr
 from protlake.operators.labels import aspect_lists
+from protlake.session import staged
 from protlake.sources import structures
 
 
@@ -48,7 +49,7 @@ def fragment_tables(proteins: DataFrame, metadata: DataFrame, pae_files: DataFra
                                 F.lit("structure-error file is missing").alias("error"))),
         F.when(bad_pae, F.struct(F.lit("parse_pae").alias("stage"), F.lit("parse_error").alias("status"),
                                  F.lit("structure-error file is not a filled matrix").alias("error")))), lambda p: p.isNotNull())
-    full = joined.withColumn("problems", problems)
+    full = staged(joined.withColumn("problems", problems), "fragments")
     status = F.when(F.exists("problems", lambda p: p.status == "parse_error"), "parse_error") \
         .when(F.size("problems") > 0, "download_error").otherwise("ok")
     table = fr.conform(full.select("*", "pae.*").withColumn("fragment_status", status).withColumn(
