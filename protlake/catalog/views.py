@@ -96,7 +96,8 @@ def _residue(i: Column) -> Column:
 def fragment_source(spark: SparkSession, sf: str) -> DataFrame:
     """(vec_id, entry_id, model_entity_id, taxonomy_id, f, rs ARRAY of residues)."""
     entry = F.concat(F.lit("P"), F.lpad((F.floor(F.col("vec_id") / 2)).cast("string"), 8, "0"))
-    base = table(spark, sf, "embeddings").select("vec_id", entry.alias("entry_id"), (F.col("vec_id") % 2 + 1).alias("f"), "embedding", "label")
+    # rendering and parsing are heavy per row, so the rows of the one small file are spread first
+    base = table(spark, sf, "embeddings").repartition(spark.sparkContext.defaultParallelism, "vec_id").select("vec_id", entry.alias("entry_id"), (F.col("vec_id") % 2 + 1).alias("f"), "embedding", "label")
     return fn.once(base, rs=F.transform(F.sequence(F.lit(1), F.lit(RESIDUES)), _residue)).select(
         "*", F.concat("entry_id", F.lit("-F"), F.col("f").cast("string")).alias("model_entity_id"),
         (F.floor(F.col("vec_id") / 2) % 10).cast("string").alias("taxonomy_id"))
@@ -128,7 +129,7 @@ def pae_text(matrix: Column, vec_id: Column) -> Column:
 
 def pdb_text(rs: Column) -> Column:
     """Fixed-width ATOM lines: a nitrogen and a C-alpha per residue."""
-    names = F.array(*map(F.lit, NAMES))
+    names = F.expr("array(" + ", ".join(f"'{n}'" for n in NAMES) + ")")
 
     def line(r: Column, atom: str, step: int) -> Column:
         return F.format_string(f"ATOM  %5d {atom} %3s A%4d    %8.3f%8.3f%8.3f%6.2f%6.2f", r.i * 2 + step,

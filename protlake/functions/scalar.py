@@ -71,8 +71,17 @@ def f1(precision: Column, recall: Column) -> Column:
     return safe_ratio(d(2) * precision * recall, precision + recall)
 
 
+def _quoted(value) -> str:
+    return f"{value!r}D" if isinstance(value, float) else f"'{value}'"
+
+
 def literal_map(values: dict[str, object]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    """MAP literal of short plain texts or doubles; one parsed expression instead of a call per entry."""
+    return F.expr("map(" + ", ".join(f"{_quoted(k)}, {_quoted(v)}" for k, v in values.items()) + ")")
+
+
+def double_array(values, kind: str = "double") -> Column:
+    return F.expr("cast(array(" + ", ".join(f"{float(v)!r}D" for v in values) + f") AS array<{kind}>)")
 
 
 def residue_letter(name3: Column) -> Column:
@@ -85,10 +94,15 @@ def canonical_residue(letter: Column) -> Column:
     return F.when(aa.isin(*C.RESIDUE_LETTERS), aa).otherwise("X")
 
 
+def _one_hot_table() -> str:
+    width = len(C.RESIDUE_LETTERS)
+    rows = (f"'{a}', array({', '.join('1F' if i == k else '0F' for k in range(width))})" for i, a in enumerate(C.RESIDUE_LETTERS))
+    return f"map({', '.join(rows)})"
+
+
 def residue_one_hot(letter: Column) -> Column:
-    aa = canonical_residue(letter)
-    return F.array(*[F.when(aa == a, F.lit(1.0).cast("float")).otherwise(F.lit(0.0).cast("float"))
-                     for a in C.RESIDUE_LETTERS])
+    """ARRAY<FLOAT> of 21, looked up in a literal table."""
+    return F.element_at(F.expr(_one_hot_table()), canonical_residue(letter))
 
 
 def secondary_one_hot(code: Column) -> Column:
@@ -185,7 +199,7 @@ def typed_value(text: Column) -> Column:
 
 
 def aspect_order(aspect: Column) -> Column:
-    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, C.ASPECTS)), aspect), F.lit(0)), F.lit(99))
+    return F.coalesce(F.try_element_at(F.expr("map('BPO', 1, 'CCO', 2, 'MFO', 3)"), aspect), F.lit(99))
 
 
 def base_node_vector(residue: Column, plddt: Column, very_low: Column, low: Column, confident: Column,

@@ -12,8 +12,8 @@ from protlake.functions import scalar as fn
 def _half_neighbourhood() -> Column:
     """Own cell and the 13 forward neighbours: every unordered cell pair is visited once."""
     offsets = [o for o in product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)]
-    return F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in zip(("ox", "oy", "oz"), o)])
-                     for o in offsets])
+    cells = ", ".join("named_struct('ox', {}L, 'oy', {}L, 'oz', {}L)".format(*o) for o in offsets)
+    return F.expr(f"array({cells})")
 
 
 def pairs_within(points: DataFrame, group: list[str], index: str, radius: float,

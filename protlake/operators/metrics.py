@@ -31,7 +31,7 @@ def even_grid(low: float, high: float, n: int) -> list[float]:
 
 def _grid(thresholds: list[float]) -> Column:
     """Literal FLOAT array: scores are FLOAT and compare as FLOAT."""
-    return F.array(*[F.lit(t).cast("float") for t in thresholds])
+    return fn.double_array(thresholds, "float")
 
 
 def bucket_of(score: Column, thresholds: list[float]) -> Column:
@@ -48,8 +48,7 @@ def bucket_of(score: Column, thresholds: list[float]) -> Column:
         return F.size(F.filter(grid, lambda t: s >= t))
     guess = F.floor((s.cast("double") - fn.d(thresholds[0])) / fn.d(step)).cast("int")
     low = F.least(F.greatest(guess - 1, F.lit(0)), F.lit(n - 3))
-    passed = [F.when(s >= F.get(grid, low + i), 1).otherwise(0) for i in range(3)]
-    return low + passed[0] + passed[1] + passed[2]
+    return low + sum((s >= F.get(grid, low + i)).cast("int") for i in range(3))
 
 
 def join_targets(scores: DataFrame, labels: DataFrame, keep_unscored: bool = True) -> DataFrame:
@@ -91,7 +90,7 @@ def threshold_counts(buckets: DataFrame, thresholds: list[float], by: list[str]
     merged = buckets.groupBy(*by, "bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     cells = F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("pos", "neg"))))
     packed = merged.groupBy(*by).agg(cells.alias("__m"), F.sum("pos").alias("__p"))
-    grid = F.array(*[F.lit(float(t)) for t in thresholds])
+    grid = fn.double_array(thresholds)
     rows = packed.select(*by, "__m", "__p", F.posexplode(grid).alias("k", "threshold")) \
         .withColumn("__c", F.try_element_at("__m", F.col("k") + 1))
     down = W.partitionBy(*by).orderBy(F.col("k").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)

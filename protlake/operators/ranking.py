@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from protlake.functions import scalar as fn
+
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """First ``k`` rows per key.
@@ -74,15 +76,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     hold a wanted rank are sorted, each on its own.
     """
     src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    grid = [i / cuts for i in range(1, cuts)]
+    grid = fn.double_array([i / cuts for i in range(1, cuts)])
     shape = src.groupBy(*keys).agg(
         F.percentile_approx("__v", grid, 10 * cuts).alias("__cuts"), F.count("*").alias("__total"))
-    wanted = F.array(*[
-        F.struct(F.lit(float(p)).alias("q"),
-                 F.floor(F.lit(float(p)) * (F.col("__total") - 1)).alias("low"),
-                 F.ceil(F.lit(float(p)) * (F.col("__total") - 1)).alias("high"),
-                 (F.lit(float(p)) * (F.col("__total") - 1)).alias("pos"))
-        for p in probs])
+    wanted = F.transform(fn.double_array(probs), lambda p: F.struct(
+        p.alias("q"), F.floor(p * (F.col("__total") - 1)).alias("low"), F.ceil(p * (F.col("__total") - 1)).alias("high"),
+        (p * (F.col("__total") - 1)).alias("pos")))
     counted = src.groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
     if keys:
         located = null_safe_join(counted, shape, keys)

@@ -124,7 +124,7 @@ def _mix(a: Column, b: Column, wa: Column, wb: Column) -> Column:
 
 def fusion_grid(pairs: DataFrame, first: str, second: str, weights: int = 11, step: float = 0.01) -> DataFrame:
     """Fmax for each weight 0 … 1 of the first score: rows are multiplied by the weights, not by the thresholds."""
-    grid = F.array(*[F.lit(i / (weights - 1)) for i in range(weights)])
+    grid = fn.double_array([i / (weights - 1) for i in range(weights)])
     mixed = pairs.withColumn("weight", F.explode(grid)).withColumn(
         "score", _mix(F.col(first), F.col(second), F.col("weight"), fn.d(1) - F.col("weight")).cast("float"))
     return metrics.fmax(mixed, step, ["weight"])

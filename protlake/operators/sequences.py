@@ -40,8 +40,8 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def _word(number: Column, k: int, alphabet: str) -> Column:
     """The number-th k-letter word in alphabet order."""
-    base, letters = len(alphabet), F.array(*map(F.lit, alphabet))
-    return F.concat(*[F.element_at(letters, (F.floor(number / base ** (k - 1 - i)) % base + 1).cast("int")) for i in range(k)])
+    base = len(alphabet)
+    return F.concat(*[F.substring(F.lit(alphabet), (F.floor(number / base ** (k - 1 - i)) % base + 1).cast("int"), F.lit(1)) for i in range(k)])
 
 
 def kmer_vocabulary(spark, k: int = 2, alphabet: str = C.STANDARD_RESIDUES) -> DataFrame:
@@ -77,7 +77,8 @@ def kmer_frequencies(seqs: DataFrame, k: int = 2, sequence: str = "sequence", al
 
     def count(batches):
         for pdf in batches:
-            found = [np.unique(_kmer_slots(t, codes, base, k), return_counts=True) for t in pdf["text"]]
+            counts = [np.bincount(_kmer_slots(t, codes, base, k)) for t in pdf["text"]]
+            found = [(s, c[s]) for c in counts for s in (np.flatnonzero(c),)]
             sizes = [len(s) for s, _ in found]
             if sum(sizes):
                 yield pd.DataFrame({
