@@ -85,16 +85,17 @@ def edge_table(edges: DataFrame) -> DataFrame:
 
 
 def summary_table(nodes: DataFrame) -> DataFrame:
-    """Thirteen values per protein. Each edge adds one to two degrees, so the edge count is half their sum."""
-    n = F.count("*")
+    """Thirteen values per protein. Each edge adds one to two degrees, so the edge count is half their sum; fragment
+    numbers are dense from zero."""
+    n, fragments = F.count("*"), F.max("fragment") + 1
     edge_count = F.sum("contact_degree") / 2
     vec = F.array(
-        n.cast("double"), F.count_distinct("fragment").cast("double"), F.avg("plddt"), F.percentile("plddt", F.lit(0.5)),
+        n.cast("double"), fragments.cast("double"), F.avg("plddt"), F.percentile("plddt", F.lit(0.5)),
         *[contacts.bin_fraction("plddt", b) for b in ("very_low", "low", "confident", "very_high")],
         F.avg("contact_degree"), contacts.contact_density(edge_count, n), F.avg("pae_row_mean"),
         F.percentile("pae_row_p90", F.lit(0.9)), contacts.radius_of_gyration())
     return nodes.groupBy("entry_id").agg(vec.alias("graph_feat"), n.alias("residue_count"),
-                                         F.count_distinct("fragment").alias("fragment_count"))
+                                         fragments.alias("fragment_count"))
 
 
 def unresolved_entries(entries: DataFrame, nodes: DataFrame) -> DataFrame:

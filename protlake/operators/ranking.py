@@ -10,14 +10,24 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from protlake.functions import scalar as fn
 
 
+# Spark prunes each map task to k rows per key (WindowGroupLimit) only up to this k.
+GROUP_LIMIT = 1000
+SALTS = 64
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
-    """First ``k`` rows per key.
+    """First ``k`` rows per key; ``order`` must end in a tie-break for a stable result.
 
-    Spark keeps only k rows per key and map task before the shuffle (WindowGroupLimit), so a hot key
-    never arrives whole in one task. ``order`` must end in a tie-break for a stable result.
+    Up to GROUP_LIMIT rows Spark prunes before the shuffle by itself. For a larger k the rows of a key are first
+    ranked in salted parts, so a hot key never arrives whole in one task either.
     """
     name = rank or "__rank"
-    out = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
+    src = df
+    if k > GROUP_LIMIT:
+        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+        part = F.row_number().over(W.partitionBy(*keys, "__salt").orderBy(*order))
+        src = salted.withColumn("__part", part).where(F.col("__part") <= k).drop("__salt", "__part")
+    out = src.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
     return out if rank else out.drop(name)
 
 

@@ -78,16 +78,14 @@ def kmer_frequencies(seqs: DataFrame, k: int = 2, sequence: str = "sequence", al
     def count(batches):
         for pdf in batches:
             counts = [np.bincount(_kmer_slots(t, codes, base, k)) for t in pdf["text"]]
-            found = [(s, c[s]) for c in counts for s in (np.flatnonzero(c),)]
-            sizes = [len(s) for s, _ in found]
-            if sum(sizes):
-                yield pd.DataFrame({
-                    "entry_id": np.repeat(pdf["entry_id"].to_numpy(), sizes), "total": np.repeat(pdf["total"].to_numpy(), sizes),
-                    "slot": np.concatenate([s for s, _ in found]), "n": np.concatenate([c for _, c in found])})
+            slots = [np.flatnonzero(c) for c in counts]
+            yield pd.DataFrame({"entry_id": pdf["entry_id"], "total": pdf["total"], "slots": slots,
+                                "counts": [c[s] for c, s in zip(counts, slots)]})
 
     src = seqs.where(F.length(sequence) >= k).select(
         "entry_id", F.col(sequence).alias("text"), (F.length(sequence) - (k - 1)).cast("bigint").alias("total"))
-    rows = src.mapInPandas(count, "entry_id string, total bigint, slot bigint, n bigint")
+    rows = src.mapInPandas(count, "entry_id string, total bigint, slots array<bigint>, counts array<bigint>") \
+        .select("entry_id", "total", F.inline(F.arrays_zip(F.col("slots").alias("slot"), F.col("counts").alias("n"))))
     return rows.select("entry_id", _word(F.col("slot"), k, alphabet).alias("kmer"), "n", (F.col("n") / F.col("total")).alias("freq"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from protlake.operators.ranking import hash_rank, top_k
+from protlake.operators.ranking import GROUP_LIMIT, hash_rank, top_k
 
 SPLITS = ("train", "val", "test")
 
@@ -78,7 +78,9 @@ def threshold_split(ids: DataFrame, id_col: str, ratios: tuple[float, float, flo
 
 
 def hash_sample(ids: DataFrame, keys: list[str], id_col: str, size: int, seed: int) -> DataFrame:
-    """Fixed-size sample without replacement per key, stable for a seed."""
+    """Fixed-size sample without replacement per key, stable for a seed. Large samples use exact bucket ranks."""
+    if size > GROUP_LIMIT:
+        return hash_rank(ids, keys, id_col, seed).where(F.col("hash_rank") <= size).select(*ids.columns)
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
     return top_k(ids.withColumn("__h", h), keys, [F.col("__h"), F.col(id_col)], size).drop("__h")
 

@@ -317,3 +317,13 @@ def test_vector_widths(spark):
 def test_bundle_compatibility(spark):
     a = spark.createDataFrame([("P", "A"), ("P", "B")], "entry_id string, term string")
     assert checks.bundle_compatibility(a, a).first().compatible and not checks.bundle_compatibility(a, a.limit(1)).first().compatible
+
+
+def test_large_top_k_and_samples_are_exact(spark, monkeypatch):
+    df = spark.createDataFrame([("hot" if i % 3 else "cold", i, (i * 37) % 101) for i in range(600)], "k string, i int, v int").repartition(5)
+    want = {tuple(r) for r in ranking.top_k(df, ["k"], [F.col("v").desc(), F.col("i")], 150).collect()}
+    sample = {tuple(r) for r in S.hash_sample(df, ["k"], "i", 150, 3).collect()}
+    monkeypatch.setattr(ranking, "GROUP_LIMIT", 10)
+    monkeypatch.setattr(S, "GROUP_LIMIT", 10)
+    assert {tuple(r) for r in ranking.top_k(df, ["k"], [F.col("v").desc(), F.col("i")], 150).collect()} == want and len(want) == 300
+    assert {tuple(r) for r in S.hash_sample(df, ["k"], "i", 150, 3).collect()} == sample and len(sample) == 300
