@@ -327,3 +327,21 @@ def test_large_top_k_and_samples_are_exact(spark, monkeypatch):
     monkeypatch.setattr(S, "GROUP_LIMIT", 10)
     assert {tuple(r) for r in ranking.top_k(df, ["k"], [F.col("v").desc(), F.col("i")], 150).collect()} == want and len(want) == 300
     assert {tuple(r) for r in S.hash_sample(df, ["k"], "i", 150, 3).collect()} == sample and len(sample) == 300
+
+
+def test_sinks_write_declared_tables(spark, tmp_path):
+    proteins = _proteins(spark)
+    frags, failures = PT.fragment_tables(proteins, _metadata(spark, tmp_path), *_artifacts(spark))
+    sinks.write_manifest(frags, proteins, str(tmp_path / "manifest"))
+    back = spark.read.parquet(str(tmp_path / "manifest"))
+    assert back.columns == [f.name for f in schemas.struct(schemas.FRAGMENT_MANIFEST)] and back.count() == 2
+    sinks.write_failures(failures, str(tmp_path / "failures"))
+    assert spark.read.csv(str(tmp_path / "failures"), header=True).columns == [f.name for f in schemas.struct(schemas.FAILURE_LOG)]
+    counts = spark.createDataFrame([("BPO", "GO:1", 3), ("CCO", "GO:2", 1)], "aspect string, term string, n int")
+    sinks.write_vocabulary(L.vocabulary(counts, 2), str(tmp_path / "vocab"))
+    assert [(r.aspect, r.term) for r in spark.read.json(str(tmp_path / "vocab")).collect()] == [("BPO", "GO:1")]
+    bundle = spark.createDataFrame([("BPO", "P", "GO:1", 0.5)], "aspect string, entry_id string, term string, score float")
+    sinks.write_bundle(bundle, str(tmp_path / "bundle"))
+    assert runs.read_bundle(spark, str(tmp_path / "bundle")).first().score == 0.5
+    with pytest.raises(ValueError):
+        runs.read_bundle(spark, str(tmp_path / "bundle"), "logits")
