@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from protlake.catalog import views as V
 from protlake.catalog.registry import query, rounded, table
+from protlake.functions import scalar as fn
 from protlake.operators import audit, checks, labels as L, ranking, reshape, splits as S
 
 RATIOS = (0.7, 0.15, 0.15)
@@ -358,3 +359,9 @@ def stacked_reports(spark, sf):
     a = a.withColumn("kind", reshape.relabel(F.col("kind"), {"BUILDING": "B", "MACHINERY": "M"}))
     b = reshape.project(table(spark, sf, "supplier"), {"s_suppkey": "id", "s_acctbal": "value"}, source="supplier")
     return reshape.stack_tables(a, b)
+
+
+@query("aspect_order", f"""WITH {V.LAB}, {V.CNT} SELECT aspect, CASE aspect WHEN 'BPO' THEN 1 WHEN 'CCO' THEN 2 ELSE 3 END AS position, count(*) AS terms FROM cnt GROUP BY 1, 2""")
+def aspect_order(spark, sf):
+    terms = _counts(spark, sf).groupBy("aspect").agg(F.count("*").alias("terms"))
+    return terms.select("aspect", fn.aspect_order(F.col("aspect")).alias("position"), "terms").orderBy("position")

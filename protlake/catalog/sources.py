@@ -355,6 +355,16 @@ def requested_fragments(spark, sf):
         missing.select("entry_id", "model_entity_id", start.alias("sequence_start"), F.lit(False).alias("found")))
 
 
+@query("usable_fragments", f"WITH {_FRAGS} SELECT entry_id, model_entity_id FROM fm WHERE NOT nopdb AND NOT nopae AND NOT badpae")
+def usable_fragments(spark, sf):
+    return FR.usable_fragments(_manifest(spark, sf)[1]).select("entry_id", "model_entity_id")
+
+
+@query("usable_entries", f"WITH {_INDEX} SELECT entry_id FROM ix WHERE status = 'ok'")
+def usable_entries(spark, sf):
+    return FR.usable_entries(PT.training_index(*_manifest(spark, sf))).select("entry_id")
+
+
 # --- incremental runs -------------------------------------------------------------------------------------------
 
 def _stream(spark, sf, name):

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from protlake.functions import scalar as fn
+from protlake.session import staged
 
 MICRO = ("precision", "recall", "f1")
 
@@ -142,14 +143,24 @@ def weighted_fmax(pairs: DataFrame, weights: DataFrame, thresholds: list[float],
 
     Counts per (term, bucket) are made first, so the weight table joins the reduced rows, not the scores.
     """
-    n = list(by)
-    per_term = bucket_counts(pairs, thresholds, [*n, "term"])
-    weighted = per_term.join(weights.select("term", "ia"), "term", "left") \
-        .withColumn("ia", F.coalesce("ia", fn.d(0))) \
-        .select(*n, "bucket", (F.col("pos") * F.col("ia")).alias("pos"), (F.col("neg") * F.col("ia")).alias("neg"))
+    weighted = weigh(bucket_counts(pairs, thresholds, [*by, "term"]), weights, by)
     if implicit is not None:
         weighted = weighted.unionByName(implicit)
-    return best_threshold(with_ratios(threshold_counts(weighted, thresholds, n), eps=True), n, prefix="ia_fmax")
+    return best_threshold(with_ratios(threshold_counts(weighted, thresholds, by), eps=True), by, prefix="ia_fmax")
+
+
+def weigh(per_term: DataFrame, weights: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Per-term bucket counts times each term's weight."""
+    return per_term.join(weights.select("term", "ia"), "term", "left").withColumn("ia", F.coalesce("ia", fn.d(0))) \
+        .select(*by, "bucket", (F.col("pos") * F.col("ia")).alias("pos"), (F.col("neg") * F.col("ia")).alias("neg"))
+
+
+def term_bucket_counts(pairs: DataFrame, thresholds: list[float], at: float, by: list[str] = ()) -> DataFrame:
+    """(by…, term, bucket, pos, neg, tp, fp, fn): one pass that serves the sweeps and the metrics at one threshold."""
+    hit, y = F.col("score").cast("float") >= F.lit(at).cast("float"), F.col("y")
+    return pairs.groupBy(*by, "term", bucket_of(F.col("score"), thresholds).alias("bucket")).agg(
+        F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"), F.count_if(hit & y).alias("tp"),
+        F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & y).alias("fn"))
 
 
 def term_counts_at(pairs: DataFrame, threshold: float, by: list[str] = ()) -> DataFrame:
@@ -271,7 +282,8 @@ def weighted_mean_loss(batches: DataFrame, loss: str, size: str, by: list[str] =
 
 
 def model_comparison(pairs: DataFrame, weights: DataFrame, thresholds: list[float], by: list[str]) -> DataFrame:
-    """One row per group (aspect, model …): weighted Fmax and pooled Fmax on the same grid."""
-    weighted = weighted_fmax(pairs, weights, thresholds, by)
-    plain = best_threshold(sweep(pairs, thresholds, by), by)
-    return weighted.join(plain, list(by))
+    """One row per group (aspect, model …): weighted Fmax and pooled Fmax on the same grid, from one pass."""
+    per_term = staged(bucket_counts(pairs, thresholds, [*by, "term"]), "term-buckets")
+    weighted = with_ratios(threshold_counts(weigh(per_term, weights, by), thresholds, by), eps=True)
+    plain = with_ratios(threshold_counts(per_term, thresholds, by))
+    return best_threshold(weighted, by, prefix="ia_fmax").join(best_threshold(plain, by), list(by))

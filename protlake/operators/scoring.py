@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from protlake import constants as C
 from protlake.functions import scalar as fn
 from protlake.operators import metrics
+from protlake.session import staged
 
 # A weight matrix up to this size is shipped once to every executor; a larger one is joined block by block.
 BROADCAST_LIMIT = 64 << 20
@@ -142,9 +143,12 @@ def clamped(pairs: DataFrame) -> DataFrame:
 
 def evaluate(pairs: DataFrame, terms: DataFrame, threshold: float, step: float = 0.01, by: list[str] = ()) -> DataFrame:
     """All metrics of a score table, one row per group. ``terms`` = (by…, term) is the whole vocabulary."""
-    by, judged = list(by), clamped(pairs)
-    flat = metrics.micro_macro(metrics.complete_terms(metrics.term_counts_at(judged, threshold, by), terms, by), by)
-    best = metrics.fmax(judged, step, by)
+    by, grid = list(by), metrics.step_thresholds(step)
+    # the score table is read once; what is kept has one row per term and bucket
+    counters = staged(metrics.term_bucket_counts(clamped(pairs), grid, threshold, by), "counters")
+    per_term = counters.groupBy(*by, "term").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    flat = metrics.micro_macro(metrics.complete_terms(per_term, terms, by), by)
+    best = metrics.best_threshold(metrics.with_ratios(metrics.threshold_counts(counters, grid, by)), by)
     if by:
         out = flat.join(best, by)
     else:

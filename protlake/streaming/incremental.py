@@ -50,10 +50,3 @@ def snapshot_each_batch(stream: DataFrame, out: str, checkpoint: str) -> Streami
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def watermarked_daily_counts(stream: DataFrame, ts: str, key: str, lateness: str = "1 hour") -> DataFrame:
-    """Daily counts with bounded lateness (an addition for event tables)."""
-    return stream.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", lateness) \
-        .groupBy(F.window("__ts", "1 day"), key).agg(F.count("*").alias("n")) \
-        .select(F.col("window.start").alias("day"), key, "n")
