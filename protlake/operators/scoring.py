@@ -14,6 +14,8 @@ from protlake.session import staged
 # A weight matrix up to this size is shipped once to every executor; a larger one is joined block by block.
 BROADCAST_LIMIT = 64 << 20
 BLOCK_TERMS = 64
+# Most score cells one Python task holds at a time.
+OUTPUT_CELLS = 1 << 20
 
 
 def linear_scores(features: DataFrame, weights: DataFrame, vector: str = "embedding", bias: bool = True,
@@ -23,32 +25,36 @@ def linear_scores(features: DataFrame, weights: DataFrame, vector: str = "embedd
     ``weights`` = (term, w ARRAY[, b]). Its exact size is read first; it decides between one shipped matrix
     (a batched product per Arrow batch) and a block-wise equi-join.
     """
-    size = weights.agg(F.coalesce(F.sum(F.size("w").cast("bigint") * 8), F.lit(0))).first()[0]
     w = weights if bias else weights.withColumn("b", fn.d(0))
-    if size <= broadcast_limit:
-        return _shipped_product(features, w, vector)
-    return _blocked_product(features, w, vector)
+    if not _fits(weights, broadcast_limit):
+        return _blocked_product(features, w, vector)
+    # names come from the same ordering as the matrix rows; only numbers cross the Python boundary
+    names = w.agg(F.array_sort(F.collect_list("term")).alias("t")).scalar()
+    product = _shipped_product(features, w, vector).withColumn("__t", names)
+    return product.select("entry_id", F.inline(F.arrays_zip(F.col("__t").alias("term"), F.col("logits").alias("logit"))))
 
 
-def _shipped_product(features: DataFrame, weights: DataFrame, vector: str) -> DataFrame:
+def _fits(weights: DataFrame, limit: int) -> bool:
+    return weights.agg(F.coalesce(F.sum(F.size("w").cast("bigint") * 8), F.lit(0))).first()[0] <= limit
+
+
+def _shipped_product(features: DataFrame, weights: DataFrame, vector: str, relu: bool = False) -> DataFrame:
+    """(entry_id, logits ARRAY<DOUBLE>) in term order, one matrix product per Arrow batch."""
     rows = weights.select("term", F.col("w").cast("array<double>"), F.col("b").cast("double")).orderBy("term").toArrow()
-    terms = np.array(rows["term"].to_pylist(), dtype=object)
     model = features.sparkSession.sparkContext.broadcast(
-        (terms, np.array(rows["w"].to_pylist(), dtype="float64").reshape(len(terms), -1),
-         np.array(rows["b"].to_pylist(), dtype="float64")))
+        (np.array(rows["w"].to_pylist(), dtype="float64").reshape(rows.num_rows, -1), np.array(rows["b"].to_pylist(), dtype="float64")))
 
     def score(batches):
-        names, w, b = model.value
+        w, b = model.value
+        step = max(1, OUTPUT_CELLS // max(1, len(b)))
         for pdf in batches:
-            if pdf.empty or not len(names):
-                continue
-            x = np.stack(pdf[vector].to_numpy()).astype("float64")
-            out = x @ w.T + b
-            yield pd.DataFrame({"entry_id": np.repeat(pdf["entry_id"].to_numpy(), len(names)),
-                                "term": np.tile(names, len(pdf)), "logit": out.ravel()})
+            for start in range(0, len(pdf), step):
+                part = pdf.iloc[start:start + step]
+                out = np.stack(part[vector].to_numpy()).astype("float64") @ w.T + b
+                yield pd.DataFrame({"entry_id": part["entry_id"].to_numpy(), "logits": list(np.maximum(out, 0.0) if relu else out)})
 
     src = features.where(F.col(vector).isNotNull()).select(F.col("entry_id").cast("string"), vector)
-    return src.mapInPandas(score, "entry_id string, term string, logit double")
+    return src.mapInPandas(score, "entry_id string, logits array<double>")
 
 
 def _blocked_product(features: DataFrame, weights: DataFrame, vector: str, salts: int = 16) -> DataFrame:
@@ -65,12 +71,19 @@ def _blocked_product(features: DataFrame, weights: DataFrame, vector: str, salts
     return spread.join(blocked, ["block", "salt"]).select("entry_id", "term", (dot + F.col("b")).alias("logit"))
 
 
-def two_layer_scores(features: DataFrame, hidden: DataFrame, output: DataFrame, vector: str = "embedding") -> DataFrame:
-    """ReLU hidden layer then linear output. ``hidden`` = (unit INT, w, b), ``output`` = (term, w, b)."""
-    first = linear_scores(features, hidden.select(F.format_string("%09d", "unit").alias("term"), "w", "b"), vector)
-    activated = first.groupBy("entry_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("term", "logit"))), lambda s: F.greatest(s.logit, fn.d(0))).alias("__h"))
-    return linear_scores(activated, output, "__h")
+def two_layer_scores(features: DataFrame, hidden: DataFrame, output: DataFrame, vector: str = "embedding",
+                     broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """ReLU hidden layer then linear output. ``hidden`` = (unit INT, w, b), ``output`` = (term, w, b).
+
+    A hidden layer that fits stays one vector per entry; only a larger one is regrouped from rows.
+    """
+    units = hidden.select(F.format_string("%09d", "unit").alias("term"), "w", "b")
+    if _fits(units, broadcast_limit):
+        activated = _shipped_product(features, units, vector, relu=True).withColumnRenamed("logits", "__h")
+    else:
+        activated = _blocked_product(features, units, vector).groupBy("entry_id").agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("term", "logit"))), lambda s: F.greatest(s.logit, fn.d(0))).alias("__h"))
+    return linear_scores(activated, output, "__h", broadcast_limit=broadcast_limit)
 
 
 def label_vector_scores(features: DataFrame, term_vectors: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -140,3 +140,14 @@ def test_losses_by_hand(spark):
     assert row.bce == pytest.approx(-(math.log(.8) + math.log(.7)) / 2, abs=1e-6)
     assert row.weighted_bce == pytest.approx(-(3 * math.log(.8) + math.log(.7)) / 2, abs=1e-6)
     assert row.focal_bce == pytest.approx((.25 * .04 * -math.log(.8) + .75 * .09 * -math.log(.7)) / 2, abs=1e-6)
+
+
+def test_two_layer_routes_agree(spark):
+    x = spark.createDataFrame([(f"E{i}", [float(i), 1.0 - i]) for i in range(4)], "entry_id string, embedding array<float>")
+    hidden = spark.createDataFrame([(j, [1.0, -1.0 * j], 0.5) for j in range(12)], "unit int, w array<double>, b double")
+    out = spark.createDataFrame([("A", [0.1 * j for j in range(12)], 1.0), ("B", [1.0] * 12, 0.0)], "term string, w array<double>, b double")
+    strip = lambda df: {(r.entry_id, r.term): round(r.logit, 9) for r in df.collect()}
+    got = strip(S.two_layer_scores(x, hidden, out))
+    assert got == strip(S.two_layer_scores(x, hidden, out, broadcast_limit=0))
+    want = sum(0.1 * j * max(0.0, 3 - j * -2.0 + 0.5) for j in range(12)) + 1.0
+    assert got[("E3", "A")] == pytest.approx(want)
