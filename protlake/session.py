@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # capturing a Python stack for every Column costs more than small plans take to run
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
