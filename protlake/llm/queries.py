@@ -147,9 +147,9 @@ h AS (SELECT u.page_id, u.url, u.fetched, v.key, v.verdict, row_number() OVER (P
       FROM u JOIN v ON u.key = v.key AND v.action = 'add' AND v.dated <= u.fetched AND (v.until IS NULL OR u.fetched < v.until))
 SELECT c.page_id, c.url, c.fetched, c.host, h.verdict, h.key AS matched, coalesce(h.active_entries, 0) AS active_entries FROM c LEFT JOIN h ON h.page_id = c.page_id AND h.r = 1""",
     "op8_exact_top_scores": r"""
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.x, v.x), p -> p[1] * p[2]))::BIGINT AS score
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.x, v.x), lambda p: p[1] * p[2]))::BIGINT AS score
       FROM v q JOIN v ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
