@@ -57,3 +57,33 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+class Scratch:
+    """Tables in the shared folder for the length of a ``with`` block; all of them are deleted at its end.
+
+    What the block returns must not read them: write it out with ``staged`` first.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = scratch_path(spark, name)
+        self._written = 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self._written += 1
+        path = f"{self.folder}/{self._written}"
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        delete_tree(self.spark, self.folder)
+
+
+def delete_tree(spark: SparkSession, folder: str) -> None:
+    """Delete a folder through Spark's file systems; a missing one is fine."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
