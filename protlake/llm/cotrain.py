@@ -5,8 +5,8 @@ regressions on sparse binary features. Each starts from labelled documents; in e
 documents, and those of which it is surest, by its calibrated score, join the other view's training set with the predicted
 label. In the end both scores are calibrated on held-out labels, combined, and every document is scored.
 
-What is fitted is bounded by parameters: ``max_labelled`` labelled documents (by hash of the id) and ``per_round`` pseudo-labels per view, class and round. The
-pool for pseudo-labels is the whole table.
+What is fitted is bounded by parameters: about ``max_labelled`` labelled documents (by hash of the id) and ``per_round`` pseudo-labels per view, class and round. The
+pool for pseudo-labels is the whole table but for that sample.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from protlake.llm import textkit as tk
-from protlake.session import staged
+from protlake.session import Scratch, staged
 
 WORD_SLOTS, SHAPES, STEPS = 1 << 15, 12, 32
 TEXT_SIZE = WORD_SLOTS + SHAPES * STEPS
@@ -204,10 +204,10 @@ def _unpacked(words: list, meta: list) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.frombuffer(b"".join(words), np.uint16).astype(np.int64), count, np.array(meta, np.int64).reshape(len(meta), 4)
 
 
-def _surest(pool: DataFrame, model: Model, n: int, sure: float) -> list[list]:
+def _surest(pool: DataFrame, model: Model, n: int, sure: float, scratch: Scratch) -> list[list]:
     """For each kind (view, class) the n unlabelled documents the view is surest of, with their features.
 
-    Parts give their own n best of each kind, so the n best of all are among them; a sorted limit takes those.
+    Parts give their own n best of each kind, so the n best of all are among them; only their ids and scores are sorted.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,31 +218,43 @@ def _surest(pool: DataFrame, model: Model, n: int, sure: float) -> list[list]:
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(best), pa.int32()), pa.array(p).take(best), *[c.take(best) for c in batch.columns]],
                                                  names=["kind", "p", "doc_id", "words", "meta"])
 
-    sure_ones = staged(pool.mapInArrow(run, "kind int, p double, " + FEATURES_SCHEMA), "cotrain-sure")
-    return [sure_ones.filter(F.col("kind") == kind).orderBy(F.desc("p"), "doc_id").limit(n).select("words", "meta").collect() for kind in range(4)]
+    sure_ones = scratch.table(pool.mapInArrow(run, "kind int, p double, " + FEATURES_SCHEMA))
+    out = []
+    for kind in range(4):
+        of_kind = sure_ones.filter(F.col("kind") == kind)
+        ids = [r.doc_id for r in of_kind.select("doc_id", "p").distinct().orderBy(F.desc("p"), "doc_id").limit(n).collect()]
+        out.append(of_kind.filter(F.col("doc_id").isin(ids)).dropDuplicates(["doc_id"]).orderBy("doc_id").select("words", "meta").collect() if ids else [])
+    return out
 
 
-def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, per_round: int = PER_ROUND, sure: float = SURE) -> tuple[Model, DataFrame]:
-    """The model and the features of all documents.
+def _sampled(labels: DataFrame, bound: int) -> DataFrame:
+    """Labels of about ``bound`` documents, by hash, with ``good``: bounded, so fit for a broadcast."""
+    good = (labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+            .agg(F.min(F.when((F.col("quality") > 0) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("good")))
+    total = good.count()
+    if total <= bound:
+        return good
+    return good.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40)) < int(bound / total * (1 << 40)))
+
+
+def train(table: DataFrame, labels: DataFrame, scratch: Scratch, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, per_round: int = PER_ROUND, sure: float = SURE) -> Model:
+    """The model. ``table``: features of all documents.
 
     A document is good if its quality label is 1 and it isn't toxic. Of several labels of a document the worst counts; labels without a
     doc_id or quality are left out, a null ``toxic`` is 0. A fifth of the labelled documents, by hash, calibrates and is not fitted on.
     """
-    good = (labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-            .agg(F.min(F.when((F.col("quality") > 0) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("good")))
-    table = staged(features(docs).join(good, "doc_id", "left"), "cotrain-features")
-    order = F.xxhash64("doc_id", F.lit(11))
-    known = (table.filter("good is not null").dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(max_labelled)
+    sample = scratch.table(_sampled(labels, max_labelled))
+    known = (table.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")
              .select("words", "meta", "good", (F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(5)) == 0).alias("held")).collect())
     model = Model(View(TEXT_SIZE), View(META_SIZE))
     parts = [[r for r in known if bool(r.held) == held] for held in (False, True)]
     if any(len({r.good for r in part}) < 2 for part in parts):
         model.prior = 1.0 if not known else float(np.mean([r.good for r in known]))
-        return model, table
+        return model
     held = _unpacked([r.words for r in parts[1]], [r.meta for r in parts[1]])
     y = np.array([r.good for r in parts[1]], float)
     sets = [[(r.words, r.meta, r.good) for r in parts[0]] for _ in range(2)]
-    pool = table.filter("good is null and doc_id is not null").select("doc_id", "words", "meta")
+    pool = table.filter("doc_id is not null").join(F.broadcast(sample), "doc_id", "left_anti").select("doc_id", "words", "meta")
     for step in range(rounds + 1):
         for view, rows in zip((model.text, model.meta), sets, strict=True):
             number, count, meta = _unpacked([r[0] for r in rows], [r[1] for r in rows])
@@ -252,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled
             check = held[:2] if view is model.text else (held[2].reshape(-1), np.full(len(held[2]), 4))
             view.calibrate(view.raw(*check), y)
         if step < rounds:
-            found = _surest(pool, model, per_round, sure)
+            found = _surest(pool, model, per_round, sure, scratch)
             for kind, rows in enumerate(found):  # what one view is sure of teaches the other
                 taught = sets[1 if kind < 2 else 0]
                 taught += [(r.words, r.meta, 1 - kind % 2) for r in rows]
@@ -260,7 +272,7 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled
     m = model.meta.calibrated(held[2].reshape(-1), np.full(len(held[2]), 4))
     (x, z), bias = logistic(np.column_stack((t, m)), y)
     model.mix = (float(x), float(z), bias)
-    return model, table
+    return model
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
@@ -270,20 +282,24 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *
     ``labels``. Null and empty texts and null metadata have features of their own and are scored like others; null and repeated doc_ids stay. Without labels of both
     classes every score is the share of good labels (1 without labels).
     """
-    model, table = train(docs, labels, **how)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, meta, both = model.scores(*_unpacked(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text), pa.array(meta), pa.array(both), pa.array(both >= threshold)],
                                              names=["doc_id", "text_score", "meta_score", "score", "keep"])
 
-    return table.select("doc_id", "words", "meta").mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
+    tk.small_batches(docs.sparkSession)
+    with Scratch(docs.sparkSession, "cotrain") as scratch:
+        table = scratch.table(features(docs))
+        model = train(table, labels, scratch, **how)
+        return staged(table.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean"), "quality-scores")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
     """The rows of ``docs`` whose document is kept, all columns as they are; texts are scored where they lie."""
-    model, _ = train(docs, labels, **how)
+    tk.small_batches(docs.sparkSession)
+    with Scratch(docs.sparkSession, "cotrain") as scratch:
+        model = train(scratch.table(features(docs)), labels, scratch, **how)
     names = [f"c{i}" for i in range(len(docs.columns))]
     schema = docs.schema
     inner = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"),

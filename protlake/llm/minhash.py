@@ -8,9 +8,9 @@ arrival and only up to the time by which every component is filled, so the work
 with the document.
 
 Signatures are cut into bands; documents that share a band are candidates, and the exact multiset overlap of the texts decides.
-Within a band bucket every document is verified against the bucket's first document, which links groups of near copies with as
-many pairs as members. What still lies in different classes of one bucket is verified pair by pair, behind a length bound
-(exact) and a 128-bit signature sketch (a pair of similarity 0.8 or more fails it with a probability below one in a million).
+Every document is verified against the first document (leader) of each of its band buckets, which links groups of near copies with
+about as many pairs as members. Where the documents under one leader still lie in different classes, those outside the largest class are
+compared with all others exactly, in blocks of bounded size inside tasks; only links that are found leave the task.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from protlake.llm import textkit as tk
-from protlake.session import staged
+from protlake.session import Scratch, staged
 
 BANDS, ROWS = 24, 5
-SKETCH_MISSES = 36  # of 128 bits; 12.8 are expected at similarity 0.8
+BLOCK = 256  # documents on either side of an exact block comparison
 
-SIGNATURE_SCHEMA = "doc_id long, shingles long, content_a long, content_b long, sketch_a long, sketch_b long, bands array<long>"
+SIGNATURE_SCHEMA = "doc_id long, shingles long, content_a long, content_b long, bands array<long>"
 
 
 def _uniform(seed: np.ndarray) -> np.ndarray:
@@ -99,21 +99,18 @@ def _signature_rows(ids: list, texts: list, bands: int, rows: int, k: int) -> pa
         for r in range(rows):
             key = tk.mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, b * rows + r])
         keys[:, b] = key
-    bits = tk.mix(values[:, np.arange(128) % size] + (np.arange(128) // size).astype(np.uint64)) >> np.uint64(63)
-    sketch = np.ascontiguousarray(np.packbits(bits.astype(np.uint8), axis=1)).view(np.uint64)
     content = []
     for step in (0xA0761D6478BD642F | 1, 0xE7037ED1A0B428DB | 1):
         prefix, inverse = tk.sequence_prefix(words.hash, step)
         content.append(_signed(tk.span_hash(prefix, inverse, words.first[:-1], words.first[1:])))
     flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(_signed(keys).reshape(-1)))
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(content[0]), pa.array(content[1]),
-         pa.array(_signed(sketch[:, 0])), pa.array(_signed(sketch[:, 1])), flat],
-        names=["doc_id", "shingles", "content_a", "content_b", "sketch_a", "sketch_b", "bands"])
+        [pa.array(ids, pa.int64()), pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(content[0]), pa.array(content[1]), flat],
+        names=["doc_id", "shingles", "content_a", "content_b", "bands"])
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = 5) -> DataFrame:
-    """One row per document: shingle count, content hash, sketch and band keys. Needs ``doc_id`` and ``text``."""
+    """One row per document: shingle count, content hash and band keys. Needs ``doc_id`` and ``text``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -136,16 +133,19 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return shared / union if shared else 0.0
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float, k: int = 5) -> DataFrame:
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id`` and ``t`` of the documents named in ``ids``. Both sides grow with the data, so neither is to be broadcast."""
+    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
+    return source.join(ids.hint("merge"), "id", "left_semi")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int = 5) -> DataFrame:
     """Of the pairs (a, b), those whose texts have at least ``threshold`` weighted Jaccard similarity, with ``similarity``.
 
-    Only texts that occur in a pair travel; the pairs of one document stand together, so its bag is made once per run.
+    The pairs of one b stand together after the join, so its bag is made once per run.
     """
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
-    texts = staged(source.join(wanted, "id", "left_semi"), "minhash-texts")
-    joined = (pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-              .join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb"))
+    joined = (pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")).hint("merge"), "a")
+              .join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")).hint("merge"), "b").select("a", "b", "ta", "tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, bag = None, None
@@ -156,25 +156,88 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, k: int = 5) ->
                 if last != b[i]:
                     last, bag = b[i], _bag(batch.column(3)[i].as_py(), k)
                 out[i] = overlap(_bag(batch.column(2)[i].as_py(), k), bag)
-            keep = np.flatnonzero(out >= threshold - 1e-12)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(out[keep])], names=["a", "b", "similarity"])
+            keep = pa.array(np.flatnonzero(out >= threshold - 1e-12))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(out).take(keep)], names=["a", "b", "similarity"])
 
     return joined.mapInArrow(run, "a long, b long, similarity double")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def block_overlap(texts: list, left: np.ndarray, right: np.ndarray, k: int) -> np.ndarray:
+    """Weighted Jaccard similarity of every left text with every right one.
+
+    The j-th occurrence of a shingle is a unit of its own, so the shared weight of two bags is a product of 0/1 rows; units of a single text need no column.
+    """
+    units, owners = [], []
+    for a, b in tk.grouped(texts):
+        doc, shingle, count = _units(*tk.shingles(tk.Words(texts[a:b], tk.NON_WORD, lower=True), k))
+        occurrence = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        units.append(tk.mix(np.repeat(shingle, count) + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        owners.append(np.repeat(doc, count) + a)
+    unit, owner = np.concatenate(units), np.concatenate(owners)
+    size = np.bincount(owner, minlength=len(texts)).astype(np.float64)
+    order = np.argsort(unit, kind="stable")
+    unit, owner = unit[order], owner[order]
+    new = np.append(True, unit[1:] != unit[:-1]) if len(unit) else np.zeros(0, bool)
+    column = np.cumsum(new) - 1
+    common = np.bincount(column, minlength=1)[column] > 1 if len(unit) else np.zeros(0, bool)
+    column, owner = column[common], owner[common]
+    column = np.cumsum(np.append(True, column[1:] != column[:-1])) - 1 if len(column) else column
+    shared = np.zeros((len(left), len(right)))
+    at, step = 0, 8192
+    while at < len(column):
+        to = int(np.searchsorted(column, column[at] + step))
+        rows = np.zeros((len(texts), step), np.float32)
+        rows[owner[at:to], column[at:to] - column[at]] = 1
+        shared += rows[left] @ rows[right].T
+        at = to
+    union = size[left][:, None] + size[right][None, :] - shared
+    return np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+
+
+def cross_links(star: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float, k: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between documents under one leader that lie in different classes; at least one for any two classes that have one.
+
+    ``star``: pairs (a, b) of a document and its leader, ``roots``: classes so far. Documents of a leader's largest class meet only
+    those outside of it. Both sides are dealt into parts of about ``block`` documents, and every pair of parts is one group.
+    """
+    placed = star.join(roots.select(F.col("id").alias("a"), "root").hint("merge"), "a", "left").select(F.col("b").alias("leader"), "a", F.coalesce("root", "a").alias("root"))
+    sizes = placed.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("leader").agg(
+        F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    parts = sizes.select("leader", F.col("top.root").alias("major"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("left_parts"),
+                         F.ceil(F.col("all") / block).cast("int").alias("right_parts"))
+    rest = placed.join(parts.hint("merge"), "leader").join(texts.select(F.col("id").alias("a"), "t").hint("merge"), "a")
+    own = [F.pmod(F.xxhash64("a", F.lit(i)), F.col(c)).cast("int") for i, c in enumerate(("left_parts", "right_parts"))]
+    as_left = F.transform(F.sequence(F.lit(0), F.col("right_parts") - 1), lambda p: F.struct(own[0].alias("x"), p.alias("y"), F.lit(True).alias("left")))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("left_parts") - 1), lambda p: F.struct(p.alias("x"), own[1].alias("y"), F.lit(False).alias("left")))
+    places = F.when(F.col("root") == F.col("major"), as_right).otherwise(F.concat(as_left, as_right))
+    dealt = rest.withColumn("place", F.explode(places)).select("leader", "place.x", "place.y", "a", "root", "place.left", "t")
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, root, side = (group[c].to_numpy() for c in ("a", "root", "left"))
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        close = block_overlap(group["t"].to_pylist(), left, right, k) >= threshold - 1e-12
+        i, j = np.nonzero(close & (root[left][:, None] != root[right][None, :]))
+        pairs = np.stack((root[left[i]], root[right[j]]), axis=1)
+        _, first = np.unique(pairs, axis=0, return_index=True)
+        return pa.table({"a": ids[left[i[first]]], "b": ids[right[j[first]]]})
+
+    return dealt.groupBy("leader", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Smallest reachable id (``root``) of every ``id`` that stands in an edge (a, b).
 
     Labels pass along the edges and then jump to their label's label; each round ends in files, so lineage stays short.
     """
-    both = staged(edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct(), "component-edges")
-    labels = staged(both.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("root")), "component-labels")
+    both = scratch.table(edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct())
+    labels = scratch.table(both.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("root")))
     while True:
-        near = (both.join(labels.select(F.col("id").alias("other"), "root"), "other").groupBy("id").agg(F.min("root").alias("near")))
+        near = both.join(labels.select(F.col("id").alias("other"), "root"), "other").groupBy("id").agg(F.min("root").alias("near"))
         best = labels.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
         jumped = best.join(labels.select(F.col("id").alias("mid"), F.col("root").alias("far")), "mid", "left")
-        after = staged(jumped.select("id", "old", F.least("mid", F.coalesce("far", "mid")).alias("root")), "component-labels")
+        after = scratch.table(jumped.select("id", "old", F.least("mid", F.coalesce("far", "mid")).alias("root")))
         labels = after.select("id", "root")
         if after.filter("root <> old").isEmpty():
             return labels
@@ -188,43 +251,28 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
     connected parts. A text with fewer than ``k`` words is one shingle. A null, empty or wordless text is a class of its own.
     A null doc_id takes no part and has a null class (kept). Rows that repeat a doc_id share its class. Other columns are not read.
     """
-    sig = staged(signatures(docs, bands, rows, k), "minhash-signatures")
-    usable = sig.filter("doc_id is not null and shingles > 0")
-    copies = usable.groupBy("content_a", "content_b").agg(F.min("doc_id").alias("first_copy"))
-    firsts = usable.join(copies.select(F.col("first_copy").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    buckets = firsts.select("doc_id", F.explode("bands").alias("band"))
-    leaders = buckets.groupBy("band").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader < last")
-    shared = staged(buckets.join(leaders.select("band", "leader"), "band"), "minhash-buckets")
-
-    star = staged(shared.filter("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct(), "minhash-pairs")
-    links = staged(verified(star, docs, threshold, k).select("a", "b"), "minhash-links")
-    roots = components(links)
-
-    # buckets that still hold several classes: the rest of their pairs, but for those compared already
-    placed = shared.select("band", "doc_id").distinct().join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    placed = staged(placed.select("band", "doc_id", F.coalesce("root", "doc_id").alias("root")), "minhash-placed")
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    facts = firsts.select("doc_id", "shingles", "sketch_a", "sketch_b").dropDuplicates(["doc_id"])
-    rest = staged(placed.join(mixed, "band", "left_semi").join(facts, "doc_id"), "minhash-rest")
-    left = rest.select("band", *[F.col(c).alias(f"l_{c}") for c in ("doc_id", "root", "shingles", "sketch_a", "sketch_b")])
-    right = rest.select("band", *[F.col(c).alias(f"r_{c}") for c in ("doc_id", "root", "shingles", "sketch_a", "sketch_b")])
-    differing = (F.bit_count(F.col("l_sketch_a").bitwiseXOR(F.col("r_sketch_a"))) + F.bit_count(F.col("l_sketch_b").bitwiseXOR(F.col("r_sketch_b"))))
-    more = (left.join(right, (left["band"] == right["band"]) & (F.col("l_doc_id") > F.col("r_doc_id")) & (F.col("l_root") != F.col("r_root"))
-                      & (F.least("l_shingles", "r_shingles") >= threshold * F.greatest("l_shingles", "r_shingles"))
-                      & (differing <= SKETCH_MISSES))
-            .select(F.col("l_doc_id").alias("a"), F.col("r_doc_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
-    more = staged(more, "minhash-more")
-    if not more.isEmpty():
-        found = staged(verified(more, docs, threshold, k).select("a", "b"), "minhash-links")
+    tk.small_batches(docs.sparkSession)
+    with Scratch(docs.sparkSession, "minhash") as scratch:
+        sig = scratch.table(signatures(docs, bands, rows, k))
+        usable = sig.filter("doc_id is not null and shingles > 0")
+        copies = scratch.table(usable.groupBy("content_a", "content_b").agg(F.min("doc_id").alias("first_copy")))
+        firsts = usable.join(copies.select(F.col("first_copy").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+        buckets = scratch.table(firsts.select("doc_id", F.explode("bands").alias("band")))
+        leaders = buckets.groupBy("band").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader < last")
+        star = scratch.table(buckets.join(leaders.select("band", "leader").hint("merge"), "band").filter("doc_id <> leader")
+                             .select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct())
+        texts = scratch.table(texts_of(docs, star.select(F.col("a").alias("id")).union(star.select("b")).distinct()))
+        links = scratch.table(verified(star, texts, threshold, k).select("a", "b"))
+        roots = components(links, scratch)
+        found = scratch.table(cross_links(star, roots, texts, threshold, k))
         if not found.isEmpty():
-            roots = components(links.union(found))
-
-    classes = copies.join(roots.withColumnRenamed("id", "first_copy"), "first_copy", "left").select(
-        "content_a", "content_b", F.coalesce("root", "first_copy").alias("class_id"))
-    named = (sig.withColumn("usable", F.expr("doc_id is not null and shingles > 0"))
-             .join(classes, (sig["content_a"] == classes["content_a"]) & (sig["content_b"] == classes["content_b"]) & F.col("usable"), "left"))
-    return named.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
-                        F.coalesce(F.coalesce("class_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+            roots = components(links.union(found), scratch)
+        classes = copies.join(roots.withColumnRenamed("id", "first_copy"), "first_copy", "left").select(
+            F.col("content_a").alias("ca"), F.col("content_b").alias("cb"), F.coalesce("root", "first_copy").alias("class_id"))
+        named = (sig.withColumn("usable", F.expr("doc_id is not null and shingles > 0"))
+                 .join(classes, (F.col("content_a") == F.col("ca")) & (F.col("content_b") == F.col("cb")) & F.col("usable"), "left"))
+        own = F.coalesce("class_id", "doc_id")
+        return staged(named.select("doc_id", own.alias("class_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept")), "minhash-classes")
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -232,6 +280,6 @@ def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Columns stay as they are, whatever their names. Rows without a doc_id stay.
     """
-    kept = near_duplicates(docs, threshold).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = near_duplicates(docs, threshold).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct().hint("merge")
     one = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.filter("doc_id is null"))

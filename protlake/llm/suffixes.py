@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from protlake.llm import textkit as tk
-from protlake.session import staged
+from protlake.session import Scratch, staged
 
 LENGTH, HEAD = 50, 10
 SORTED_ROWS = 400_000  # suffixes in one sorted part
@@ -83,7 +83,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def shared_suffixes(found: DataFrame) -> DataFrame:
+def shared_suffixes(found: DataFrame, scratch: Scratch) -> DataFrame:
     """Sort the suffixes and keep those whose head another document has too.
 
     Parts are ranges of (head, document, place), so a frequent head spreads over several parts. Heads at a part's borders, at most two a
@@ -109,7 +109,7 @@ def shared_suffixes(found: DataFrame) -> DataFrame:
         out = out.append_column("shared", pa.array(shared[run_of[keep]])).append_column("border", pa.array(border[run_of[keep]]))
         yield from out.to_batches(max_chunksize=50_000)
 
-    near = staged(ordered.mapInArrow(run, "head long, around long, doc_id long, pos int, lo int, hi int, shared boolean, border boolean"), "suffix-sorted")
+    near = scratch.table(ordered.mapInArrow(run, "head long, around long, doc_id long, pos int, lo int, hi int, shared boolean, border boolean"))
     across = (near.filter("border").groupBy("head").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("head"))
     columns = ["head", "around", "doc_id", "lo", "hi"]
     return near.filter("shared").select(*columns).union(near.filter("border and not shared").join(across, "head", "left_semi").select(*columns))
@@ -171,21 +171,23 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, head: int = HEAD) -
     """
     if not 1 <= head < length:
         raise ValueError("head must lie below length")
-    all_suffixes = staged(suffixes(docs, length, head), "suffix-anchors")
-    shared = shared_suffixes(all_suffixes)
-    firsts = shared.groupBy("around").agg(F.min("doc_id").alias("first_doc"))
-    placed = staged(shared.join(firsts, "around"), "suffix-placed")
-    whole = placed.filter("doc_id > first_doc").select("doc_id", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"), "first_doc")
-
-    rest = placed.filter("doc_id = first_doc").select("head", "doc_id", "lo", "hi")
-    several = rest.groupBy("head").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("head")
-    ranges = (rest.join(several, "head", "left_semi").select("doc_id", "lo", "hi").distinct()
-              .groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
-    windows = staged(_windows(_texts(docs).join(ranges, "doc_id").select("doc_id", "text", "ranges"), length), "suffix-windows")
-    earliest = windows.groupBy("words").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
-    single = (windows.join(earliest, "words").filter("doc_id > first_doc")
-              .select("doc_id", "start", (F.col("start") + length).alias("end"), "first_doc"))
-    return _merged(whole.union(single))
+    tk.small_batches(docs.sparkSession)
+    with Scratch(docs.sparkSession, "suffixes") as scratch:
+        shared = shared_suffixes(scratch.table(suffixes(docs, length, head)), scratch)
+        firsts = shared.groupBy("around").agg(F.min("doc_id").alias("first_doc"))
+        placed = scratch.table(shared.join(firsts, "around"))
+        whole = placed.filter("doc_id > first_doc").select("doc_id", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"), "first_doc")
+
+        rest = placed.filter("doc_id = first_doc").select("head", "doc_id", "lo", "hi")
+        several = rest.groupBy("head").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("head")
+        ranges = (rest.join(several, "head", "left_semi").select("doc_id", "lo", "hi").distinct()
+                  .groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+        # ids with ranges grow with the data: no side is to be broadcast
+        windows = scratch.table(_windows(_texts(docs).join(ranges.hint("merge"), "doc_id").select("doc_id", "text", "ranges"), length))
+        earliest = windows.groupBy("words").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
+        single = (windows.join(earliest, "words").filter("doc_id > first_doc")
+                  .select("doc_id", "start", (F.col("start") + length).alias("end"), "first_doc"))
+        return staged(_merged(whole.union(single)), "suffix-spans")
 
 
 @F.pandas_udf(T.StringType())
@@ -219,7 +221,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A document of which no word is left goes; one without repeats stays as it is, and so do null and empty texts. Columns stay.
     """
     spans = repeated_passages(docs, length).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("__id"), "left")
+    joined = docs.join(spans.hint("merge"), F.col("doc_id").cast("long") == F.col("__id"), "left")
     hit = F.col("__spans").isNotNull()
     joined = joined.withColumn("__cut", cut(F.when(hit, F.col("text").cast("string")), F.col("__spans")))
     joined = joined.filter(~hit | F.col("__cut").rlike(r"[^\x20\x09-\x0D]"))

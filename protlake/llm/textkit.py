@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark.sql import SparkSession
 
-PIECE = 1 << 20  # bytes hashed at a time
-GROUP = 4 << 20  # bytes of text handled together
+PIECE = 1 << 17  # bytes hashed at a time
+GROUP = 1 << 20  # bytes of text handled together
+BATCH = 1000  # rows in an Arrow batch of texts
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -27,6 +29,13 @@ NON_WORD = np.zeros(256, bool)
 NON_WORD[:128] = [not chr(c).isalnum() for c in range(128)]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand texts to tasks in batches of at most ``BATCH`` rows, so that a batch fits beside the executor's heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     x = np.asarray(x, np.uint64)

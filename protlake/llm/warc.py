@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from protlake.llm import textkit as tk
 from protlake.session import scratch_path, staged
 
 # fixed values of the seekable format
@@ -145,6 +146,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_BYTES, fr
             out.write(seek_table(frames))
             out.close()
 
+    tk.small_batches(pages.sparkSession)
     return typed(pages, least).mapInArrow(run, INDEX_SCHEMA)
 
 

@@ -13,6 +13,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from protlake.llm import textkit as tk
+
 REMEMBERED = 300_000  # words whose count a task keeps
 UNKNOWN = 1 << 40  # added to a word's count of 1 when no sequence of pieces spells it
 
@@ -102,6 +104,7 @@ def token_counts(docs: DataFrame, initial: list[str], inner: list[str]) -> DataF
     words. Texts are read whole, words of any length in linear time. Null and repeated ids stay; other columns are not read. The vocabulary
     goes to the executors once; its size doesn't depend on the data.
     """
+    tk.small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast((initial, inner))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
