@@ -26,6 +26,7 @@ from protlake.session import scratch_path, staged
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 
 FRAME_BYTES = 1 << 20
+FRAMES_A_TASK = 16
 REVISIT_BYTES = 1000
 INDEX_SCHEMA = "page_id long, bundle string, frame long, frame_start long, frame_bytes long, record_start long, record_bytes long"
 
@@ -157,9 +158,10 @@ def read_archives(spark: SparkSession, index: DataFrame) -> DataFrame:
     """All records of the bundles in ``index``, frame by frame as their seek tables say.
 
     Digest and size of a response come from its payload as read; a payload that doesn't match its header fails the job. A revisit has those of its
-    header. One task reads one run of frames of a bundle.
+    header. A task reads about ``FRAMES_A_TASK`` frames.
     """
     frames = index.select("bundle", "frame").distinct()
+    frames = frames.repartition(max(1, -(-frames.count() // FRAMES_A_TASK)), "bundle", "frame")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
