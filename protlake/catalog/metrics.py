@@ -25,11 +25,14 @@ _SAFE = "CASE WHEN {1} = 0 THEN 0.0::DOUBLE ELSE CAST({0} AS DOUBLE) / ({1}) END
 _P, _R = _SAFE.format("tp", "tp + fp"), _SAFE.format("tp", "tp + fn")
 
 
-def _sweep_sql(grid, by: str = "", source: str = "pairs", score: str = "score") -> str:
-    """Threshold counters by a direct count at every threshold."""
-    lead = f"{by}, " if by else ""
+ALL_CELLS = "(SELECT count(*) FROM orders) * (SELECT count(*) FROM supplier)"
+
+
+def _sweep_sql(grid, by: str = "", source: str = "pairs", score: str = "score", cells: str = "") -> str:
+    """Threshold counters by a direct count at every threshold; ``cells`` of a group that have no row are negatives of score 0."""
+    lead, rest = f"{by}, " if by else "", f" + CASE WHEN t <= 0 THEN {cells} - count(*) ELSE 0 END" if cells else ""
     return f"""{_grid_sql(grid)}, sw AS (SELECT {lead}k, t, count(*) FILTER (WHERE {score} >= t::FLOAT AND y) AS tp,
-  count(*) FILTER (WHERE {score} >= t::FLOAT AND NOT y) AS fp, count(*) FILTER (WHERE {score} < t::FLOAT AND y) AS fn FROM {source}, grid GROUP BY {lead}k, t),
+  count(*) FILTER (WHERE {score} >= t::FLOAT AND NOT y){rest} AS fp, count(*) FILTER (WHERE {score} < t::FLOAT AND y) AS fn FROM {source}, grid GROUP BY {lead}k, t),
 pr AS (SELECT *, {_P} AS precision, {_R} AS recall FROM sw),
 ff AS (SELECT *, {_SAFE.format('2 * precision * recall', 'precision + recall')} AS f1 FROM pr)"""
 
@@ -49,14 +52,14 @@ pr AS (SELECT *, tp / (tp + fp + 1e-12) AS precision, tp / (tp + fn + 1e-12) AS
 ff AS (SELECT *, 2 * precision * recall / (precision + recall + 1e-12) AS f1 FROM pr)"""
 
 
-@query("fmax", f"WITH {V.PAIRS}, {_sweep_sql(STEPS)} {_best_sql()}")
+@query("fmax", f"WITH {V.PAIRS}, {_sweep_sql(STEPS, cells=ALL_CELLS)} {_best_sql()}")
 def fmax(spark, sf):
-    return rounded(M.fmax(V.pairs(spark, sf)))
+    return rounded(M.fmax(V.pairs(spark, sf), entries=V.entries(spark, sf), terms=V.terms(spark, sf)))
 
 
-@query("fmax_by_aspect", f"WITH {V.PAIRS}, {_sweep_sql(STEPS, 'aspect')} {_best_sql('aspect')}")
+@query("fmax_by_aspect", f"WITH {V.PAIRS}, {V.TERMS}, nc AS (SELECT aspect, count(*) * (SELECT count(*) FROM orders) AS cells FROM terms GROUP BY 1), pc AS (SELECT pairs.*, cells FROM pairs JOIN nc ON nc.aspect = pairs.aspect), {_sweep_sql(STEPS, 'aspect', 'pc', cells='max(cells)')} {_best_sql('aspect')}")
 def fmax_by_aspect(spark, sf):
-    return rounded(M.fmax(V.pairs(spark, sf), by=["aspect"]))
+    return rounded(M.fmax(V.pairs(spark, sf), by=["aspect"], entries=V.entries(spark, sf), terms=V.terms(spark, sf)))
 
 
 @query("fmax_all_cells", f"""
@@ -244,16 +247,16 @@ _FUSION = f"""wts AS (SELECT unnest(generate_series(0, 10)) / 10.0::DOUBLE AS we
 mixed AS (SELECT weight, {_MIX.format(w='weight', a='score', b='second_score')} AS score, y FROM pairs, wts)"""
 
 
-@query("fusion_grid", f"WITH {V.PAIRS}, {_FUSION}, {_sweep_sql(STEPS, 'weight', 'mixed')} {_best_sql('weight').replace('SELECT weight,', 'SELECT round(weight, 6) AS weight,', 1)}")
+@query("fusion_grid", f"WITH {V.PAIRS}, {_FUSION}, {_sweep_sql(STEPS, 'weight', 'mixed', cells=ALL_CELLS)} {_best_sql('weight').replace('SELECT weight,', 'SELECT round(weight, 6) AS weight,', 1)}")
 def fusion_grid(spark, sf):
-    return rounded(S.fusion_grid(V.pairs(spark, sf), "score", "second_score"))
+    return rounded(S.fusion_grid(V.pairs(spark, sf), "score", "second_score", entries=V.entries(spark, sf), terms=V.terms(spark, sf)))
 
 
-@query("best_fusion_weight", f"""WITH {V.PAIRS}, {_FUSION}, {_sweep_sql(STEPS, 'weight', 'mixed')},
+@query("best_fusion_weight", f"""WITH {V.PAIRS}, {_FUSION}, {_sweep_sql(STEPS, 'weight', 'mixed', cells=ALL_CELLS)},
 b AS (SELECT weight, f1 FROM ff QUALIFY row_number() OVER (PARTITION BY weight ORDER BY f1 DESC, k) = 1)
 SELECT round(weight, 6) AS weight, round(f1, 6) AS fmax FROM b ORDER BY f1 DESC, weight LIMIT 1""")
 def best_fusion_weight(spark, sf):
-    return rounded(S.best_fusion_weight(S.fusion_grid(V.pairs(spark, sf), "score", "second_score")))
+    return rounded(S.best_fusion_weight(S.fusion_grid(V.pairs(spark, sf), "score", "second_score", entries=V.entries(spark, sf), terms=V.terms(spark, sf))))
 
 
 @query("join_targets", f"""WITH {V.PAIRS}, lb AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS entry_id, CAST(l_suppkey AS VARCHAR) AS term FROM lineitem WHERE l_tax > 0.05),
@@ -268,22 +271,22 @@ def join_targets(spark, sf):
 
 
 @query("clamped_evaluation", f"""WITH {V.PAIRS}, {V.TERMS}, cl AS (SELECT entry_id, term, aspect, y, CAST(least(greatest(score::DOUBLE, 1e-7), 1.0 - 1e-7) AS FLOAT) AS score FROM pairs),
-{_TERM.replace('FROM pairs', 'FROM cl')}, {_MICRO}, {_sweep_sql(STEPS, source='cl').replace('pr AS', 'pr2 AS').replace('FROM pr)', 'FROM pr2)')},
+{_TERM.replace('FROM pairs', 'FROM cl')}, {_MICRO}, {_sweep_sql(STEPS, source='cl', cells=ALL_CELLS).replace('pr AS', 'pr2 AS').replace('FROM pr)', 'FROM pr2)')},
 bb AS ({_best_sql()}) SELECT {_MICRO_COLS}, bb.*, 0.5::DOUBLE AS metric_threshold, 0.01::DOUBLE AS fmax_threshold_step FROM mm, bb""")
 def clamped_evaluation(spark, sf):
-    return rounded(S.evaluate(V.pairs(spark, sf), V.terms(spark, sf), T))
+    return rounded(S.evaluate(V.pairs(spark, sf), V.terms(spark, sf), T, entries=V.entries(spark, sf)))
 
 
 @query("fusion_report", f"""WITH {V.PAIRS}, md AS (SELECT 'graph' AS model, term, CAST(least(greatest(score::DOUBLE, 1e-7), 1.0 - 1e-7) AS FLOAT) AS score, y FROM pairs
 UNION ALL SELECT 'sequence', term, CAST(least(greatest(second_score::DOUBLE, 1e-7), 1.0 - 1e-7) AS FLOAT), y FROM pairs
 UNION ALL SELECT 'fused', term, CAST(least(greatest(CAST(0.5 * score::DOUBLE + 0.5 * second_score::DOUBLE AS FLOAT)::DOUBLE, 1e-7), 1.0 - 1e-7) AS FLOAT), y FROM pairs),
-{_sweep_sql(STEPS, 'model', 'md')}, b AS (SELECT * FROM ff QUALIFY row_number() OVER (PARTITION BY model ORDER BY f1 DESC, k) = 1)
+{_sweep_sql(STEPS, 'model', 'md', cells=ALL_CELLS)}, b AS (SELECT * FROM ff QUALIFY row_number() OVER (PARTITION BY model ORDER BY f1 DESC, k) = 1)
 SELECT model, round(f1, 6) AS fmax, round(t, 6) AS fmax_threshold, round(f1 - (SELECT f1 FROM b WHERE model = 'graph'), 6) AS fmax_delta FROM b""")
 def fusion_report(spark, sf):
     p = V.pairs(spark, sf)
     second = p.select("entry_id", "term", F.col("second_score").alias("score"))
     report = reports.fusion_report(p.select("entry_id", "term", "score"), second, p.where("y").select("entry_id", "term"),
-                                   V.terms(spark, sf), 1.0, 1.0)
+                                   V.terms(spark, sf), 1.0, 1.0, entries=V.entries(spark, sf))
     return rounded(report.select("model", "fmax", "fmax_threshold", "fmax_delta"))
 
 

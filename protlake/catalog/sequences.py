@@ -133,14 +133,32 @@ def feature_matrix(spark, sf):
     return Q.feature_matrix(cohort, emb).select("entry_id", F.size("embedding").alias("width"), r6(F.get("embedding", 0), "first"))
 
 
-@query("label_vectors", f"""WITH {V.LAB}, {V.CNT}, voc AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS k FROM cnt WHERE aspect = 'BPO' AND n >= 60)
-SELECT DISTINCT entry_id, CAST(k AS INTEGER) AS slot FROM lab JOIN voc ON voc.term = lab.term WHERE aspect = 'BPO'""")
+@query("label_vectors", f"""WITH {V.LAB}, {V.CNT}, voc AS (SELECT aspect, term, row_number() OVER (PARTITION BY aspect ORDER BY term) - 1 AS k FROM cnt WHERE n >= 60)
+SELECT DISTINCT lab.aspect, entry_id, CAST(k AS INTEGER) AS slot FROM lab JOIN voc ON voc.term = lab.term AND voc.aspect = lab.aspect""")
 def label_vectors(spark, sf):
-    """Dense label vectors of one aspect, shown by their set slots."""
-    lab = V.labels(spark, sf).where("aspect = 'BPO'")
+    """Dense label vectors of every aspect, shown by their set slots."""
+    lab = V.labels(spark, sf)
     vocab = L.vocabulary(L.term_counts(lab), 60)
-    dense = L.label_vector(lab, vocab, 400)
-    return dense.select("entry_id", F.posexplode("label_vector").alias("slot", "v")).where("v = 1").select("entry_id", "slot")
+    dense = L.label_vector(lab, vocab)
+    return dense.select("aspect", "entry_id", F.posexplode("label_vector").alias("slot", "v")).where("v = 1").select("aspect", "entry_id", "slot")
+
+
+@query("split_arrays", f"""WITH {V.LAB}, {V.CNT}, voc AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS k FROM cnt WHERE aspect = 'MFO' AND n >= 60),
+on_ AS (SELECT entry_id, count(DISTINCT k) AS n_on, CAST(sum(DISTINCT k) AS BIGINT) AS slots FROM lab JOIN voc ON voc.term = lab.term WHERE aspect = 'MFO' GROUP BY 1)
+SELECT CASE WHEN o_orderkey % 10 < 8 THEN 'train' WHEN o_orderkey % 10 = 8 THEN 'val' ELSE 'test' END AS split, o_orderkey AS ord, CAST(o_orderkey AS VARCHAR) AS entry_id,
+  round(o_totalprice::DOUBLE, 6) AS price, (SELECT count(*) FROM voc) AS width, coalesce(n_on, 0) AS n_on, coalesce(slots, 0) AS slots FROM orders LEFT JOIN on_ ON entry_id = CAST(o_orderkey AS VARCHAR)""")
+def split_arrays(spark, sf):
+    """Split ids with features and label vectors, zero vectors included."""
+    from protlake.operators import splits
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("entry_id"), F.col("o_totalprice").cast("double").alias("p"))
+    split = F.when(F.col("o_orderkey") % 10 < 8, "train").when(F.col("o_orderkey") % 10 == 8, "val").otherwise("test")
+    lab = V.labels(spark, sf).where("aspect = 'MFO'")
+    vectors = L.label_vector(lab, L.vocabulary(L.term_counts(lab), 60), orders)
+    out = splits.split_arrays(orders.select(split.alias("split"), F.col("o_orderkey").alias("ord"), "entry_id"),
+                              orders.select("entry_id", F.array("p").alias("embedding")), vectors)
+    slots = F.aggregate(F.transform("label_vector", lambda v, i: F.when(v == 1, i).otherwise(0).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+    return out.select("split", "ord", "entry_id", r6(F.get("embedding", F.lit(0)), "price"), F.size("label_vector").cast("long").alias("width"),
+                      F.size(F.filter("label_vector", lambda v: v == 1)).cast("long").alias("n_on"), slots.alias("slots"))
 
 
 # --- fragment roll-up on lines ----------------------------------------------------------------------------------

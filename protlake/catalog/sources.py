@@ -59,7 +59,9 @@ def _fasta_path(spark, sf):
     def record(body):
         return F.concat(F.lit(">D"), F.col("doc_id").cast("string"), F.lit(" first > part\n"), F.regexp_replace(body, "(.{60})", "$1\n"))
 
-    both = docs.select("doc_id", F.posexplode(F.array(record(F.col("s")), F.when(F.col("doc_id") % 5 == 0, record(F.concat(F.lit("X"), F.col("s")))))).alias("k", "value"))
+    # every seventh document has one more record under a blank header
+    unnamed = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit(">\n"), F.col("s")))
+    both = docs.select("doc_id", F.posexplode(F.array(record(F.col("s")), unnamed, F.when(F.col("doc_id") % 5 == 0, record(F.concat(F.lit("X"), F.col("s")))))).alias("k", "value"))
     both.where("value IS NOT NULL").orderBy("k", "doc_id").select("value").write.text(path)
     return path
 
@@ -69,7 +71,7 @@ def fasta_scan(spark, sf):
     return text.read_fasta(spark, _fasta_path(spark, sf))
 
 
-@query("fasta_quality", """SELECT count(*) + count(*) FILTER (WHERE doc_id % 5 = 0) AS records, count(*) FILTER (WHERE doc_id % 5 = 0) AS duplicate_ids, 0::BIGINT AS missing_ids,
+@query("fasta_quality", """SELECT count(*) + count(*) FILTER (WHERE doc_id % 5 = 0) + count(*) FILTER (WHERE doc_id % 7 = 0) AS records, count(*) FILTER (WHERE doc_id % 5 = 0) AS duplicate_ids, count(*) FILTER (WHERE doc_id % 7 = 0) AS missing_ids,
   count(*) FILTER (WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) = 0) AS empty_sequences FROM documents""")
 def fasta_quality(spark, sf):
     return text.fasta_quality(text.read_fasta_records(spark, _fasta_path(spark, sf)))
@@ -404,7 +406,7 @@ _EVENT_GRID = M.step_thresholds(0.05)
 
 @query("incremental_fmax", f"""WITH p AS (SELECT CAST((event_id * 37 % 1000) / 1000.0 AS FLOAT) AS score, event_type = 'click' OR value > 60 AS y FROM events),
 grid(k, t) AS (VALUES {', '.join(f'({k}, {v!r}::DOUBLE)' for k, v in enumerate(_EVENT_GRID))}),
-sw AS (SELECT k, t, count(*) FILTER (WHERE score >= t::FLOAT AND y) AS tp, count(*) FILTER (WHERE score >= t::FLOAT AND NOT y) AS fp, count(*) FILTER (WHERE score < t::FLOAT AND y) AS fn FROM p, grid GROUP BY 1, 2),
+sw AS (SELECT k, t, count(*) FILTER (WHERE score >= t::FLOAT AND y) AS tp, count(*) FILTER (WHERE score >= t::FLOAT AND NOT y) + CASE WHEN t <= 0 THEN (SELECT count(*) * count(DISTINCT event_type) FROM events) - count(*) ELSE 0 END AS fp, count(*) FILTER (WHERE score < t::FLOAT AND y) AS fn FROM p, grid GROUP BY 1, 2),
 pr AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp::DOUBLE / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp::DOUBLE / (tp + fn) END AS r FROM sw)
 SELECT round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS fmax, round(t, 6) AS fmax_threshold, round(p, 6) AS fmax_precision, round(r, 6) AS fmax_recall FROM pr
 ORDER BY CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END DESC, k LIMIT 1""")
@@ -413,4 +415,6 @@ def incremental_fmax(spark, sf):
     s = _stream(spark, sf, "events").select(((F.col("event_id") * 37 % 1000) / 1000.0).cast("float").alias("score"),
                                             ((F.col("event_type") == "click") | (F.col("value") > 60)).alias("y"))
     INC.running_buckets(s, _EVENT_GRID, [], out, check).awaitTermination()
-    return rounded(INC.metrics_on_read(spark.read.parquet(out), _EVENT_GRID))
+    # every event is an entry with a cell for each event type
+    cells = table(spark, sf, "events").agg(F.count("*") * F.count_distinct("event_type")).scalar()
+    return rounded(INC.metrics_on_read(spark.read.parquet(out), _EVENT_GRID, cells=cells))

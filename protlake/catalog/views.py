@@ -49,7 +49,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     first = ((F.col("l_orderkey") * 31 + F.col("l_partkey") * 17) % 1000).cast("double") / 1000.0
     second = ((F.col("l_orderkey") * 7 + F.col("l_suppkey") * 13 + F.col("l_linenumber") * 101) % 1000).cast("double") / 1000.0
     return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(
-        F.max(first).cast("float").alias("score"), F.max(second).cast("float").alias("second_score"),
+        (F.max(first) * 0.6 + F.when(F.bool_or(F.col("l_returnflag") == "R"), 0.35).otherwise(0.0)).cast("float").alias("score"), F.max(second).cast("float").alias("second_score"),
         F.bool_or(F.col("l_returnflag") == "R").alias("y")).select(
         F.col("l_orderkey").cast("string").alias("entry_id"), F.col("l_suppkey").cast("string").alias("term"),
         aspect_of(F.col("l_suppkey")).alias("aspect"), "score", "second_score", "y")
@@ -57,7 +57,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 PAIRS = f"""pairs AS (SELECT CAST(l_orderkey AS VARCHAR) AS entry_id, CAST(l_suppkey AS VARCHAR) AS term,
   {ASPECT_SQL.format('l_suppkey')} AS aspect,
-  CAST(max(CAST((l_orderkey * 31 + l_partkey * 17) % 1000 AS DOUBLE) / 1000.0) AS FLOAT) AS score,
+  CAST(max(CAST((l_orderkey * 31 + l_partkey * 17) % 1000 AS DOUBLE) / 1000.0) * 0.6::DOUBLE + CASE WHEN bool_or(l_returnflag = 'R') THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END AS FLOAT) AS score,
   CAST(max(CAST((l_orderkey * 7 + l_suppkey * 13 + l_linenumber * 101) % 1000 AS DOUBLE) / 1000.0) AS FLOAT) AS second_score,
   bool_or(l_returnflag = 'R') AS y FROM lineitem GROUP BY l_orderkey, l_suppkey)"""
 

@@ -43,12 +43,24 @@ def encode_labels(labels: DataFrame, vocab: DataFrame) -> DataFrame:
         .select("aspect", "entry_id", "term_index").distinct()
 
 
-def label_vector(labels: DataFrame, vocab: DataFrame, width: int) -> DataFrame:
-    """Dense 0/1 vector per entry, on demand only; ``width`` is the vocabulary size."""
-    idx = encode_labels(labels, vocab).groupBy("aspect", "entry_id").agg(F.collect_set("term_index").alias("__on"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
-                        lambda i: F.when(F.array_contains("__on", i), F.lit(1.0)).otherwise(F.lit(0.0)).cast("float"))
-    return idx.select("aspect", "entry_id", dense.alias("label_vector"))
+def label_vector(labels: DataFrame, vocab: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """Dense 0/1 vector per aspect and entry, on demand only; as wide as the aspect's vocabulary.
+
+    With ``entries`` every one of them has a row in every aspect, all zero without an in-vocabulary label.
+    """
+    width = vocab.groupBy("aspect").agg((F.max("term_index") + 1).alias("__width"))
+    on = encode_labels(labels, vocab).groupBy("aspect", "entry_id").agg(F.array_sort(F.collect_set("term_index")).alias("__on"))
+    if entries is not None:
+        aspects = width.agg(F.collect_list("aspect")).scalar()
+        every = entries.select("entry_id").distinct().withColumn("aspect", F.explode(aspects))
+        on = every.join(on, ["aspect", "entry_id"], "left").withColumn("__on", F.coalesce("__on", F.array().cast("array<int>")))
+    # runs of zeros between the set slots, so the work is the width and not width times labels
+    one, zero = F.lit(1.0).cast("float"), F.lit(0.0).cast("float")
+    before = F.concat(F.array(F.lit(-1)), F.col("__on"))
+    runs = F.flatten(F.transform("__on", lambda i, n: F.concat(F.array_repeat(zero, i - F.get(before, n) - 1), F.array(one))))
+    last = F.coalesce(F.get("__on", F.size("__on") - 1), F.lit(-1))
+    dense = F.concat(runs, F.array_repeat(zero, (F.col("__width") - last - 1).cast("int")))
+    return on.join(width, "aspect").select("aspect", "entry_id", dense.alias("label_vector"))
 
 
 def project_labels(labels: DataFrame, vocab: DataFrame, aspect: str | None = None) -> DataFrame:

@@ -7,6 +7,9 @@ negative. ``implicit_cells`` adds those by arithmetic, never as rows.
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate, repeat
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from protlake.functions import scalar as fn
@@ -16,14 +19,11 @@ MICRO = ("precision", "recall", "f1")
 
 
 def step_thresholds(step: float = 0.01) -> list[float]:
-    """0, step, 2*step … accumulated in double, closed by 1.0."""
-    if step <= 0:
+    """Running sums of ``step`` in double below 1, from 0 and closed by 1."""
+    if not step > 0:
         raise ValueError("threshold step must be positive")
-    values, current = [0.0], step
-    while current < 1.0:
-        values.append(current)
-        current += step
-    return values if values[-1] == 1.0 else values + [1.0]
+    sums = accumulate(repeat(step, math.ceil(1 / step) + 1))
+    return [0.0, *(t for t in sums if t < 1.0), 1.0]
 
 
 def even_grid(low: float, high: float, n: int) -> list[float]:
@@ -52,8 +52,16 @@ def bucket_of(score: Column, thresholds: list[float]) -> Column:
     return low + sum((s >= F.get(grid, low + i)).cast("int") for i in range(3))
 
 
-def join_targets(scores: DataFrame, labels: DataFrame, keep_unscored: bool = True) -> DataFrame:
-    """Scores with y; labels nobody scored enter as positives of score 0."""
+def join_targets(scores: DataFrame, labels: DataFrame, keep_unscored: bool = True, entries: DataFrame | None = None) -> DataFrame:
+    """Scores with y; labels nobody scored enter as positives of score 0.
+
+    With ``entries`` (those that have a label record) a scored entry that isn't among them is an error.
+    """
+    if entries is not None:
+        known = entries.select("entry_id").distinct().withColumn("__known", F.lit(True))
+        message = F.concat(F.lit("no label record for scored entry "), F.col("entry_id"))
+        checked = F.when(F.col("__known"), True).otherwise(F.raise_error(message).cast("boolean"))
+        scores = scores.join(known, "entry_id", "left").where(checked).drop("__known")
     y = labels.select("entry_id", "term").distinct().withColumn("__y", F.lit(True))
     joined = scores.join(y, ["entry_id", "term"], "full" if keep_unscored else "left")
     return joined.withColumn("y", F.coalesce("__y", F.lit(False))).drop("__y") \
@@ -62,13 +70,18 @@ def join_targets(scores: DataFrame, labels: DataFrame, keep_unscored: bool = Tru
 
 def implicit_cells(pairs: DataFrame, entries: DataFrame, terms: DataFrame, thresholds: list[float],
                    by: list[str] = (), weight: str | None = None) -> DataFrame:
-    """Bucket row of the cells without a pair: (by…, bucket, pos=0, neg). ``terms`` lists (by…, term[, weight])."""
+    """Bucket row of the cells without a pair: (by…, bucket, pos=0, neg). ``terms`` lists (by…, term[, weight]).
+
+    Entries without the ``by`` columns count in every group.
+    """
     by = list(by)
-    n_entries = entries.agg(F.count("*")).scalar() if not by else None
+    entry_by = [c for c in by if c in entries.columns]
     seen = pairs.groupBy(*by, "term").agg(F.count("*").alias("__seen"))
     base = terms.join(seen, [*by, "term"], "left")
-    base = base.withColumn("__n", n_entries) if not by else \
-        base.join(entries.groupBy(*by).agg(F.count("*").alias("__n")), by)
+    if entry_by:
+        base = base.join(entries.groupBy(*entry_by).agg(F.count("*").alias("__n")), entry_by)
+    else:
+        base = base.withColumn("__n", entries.agg(F.count("*")).scalar())
     w = F.col(weight) if weight else F.lit(1)
     missing = w * (F.col("__n") - F.coalesce("__seen", F.lit(0)))
     agg = base.groupBy(*by).agg(F.sum(missing).alias("neg"))
@@ -76,6 +89,16 @@ def implicit_cells(pairs: DataFrame, entries: DataFrame, terms: DataFrame, thres
                       F.lit(0).cast("double" if weight else "bigint").alias("pos"), "neg")
 
 
+def unscored(pairs: DataFrame, entries: DataFrame | None, terms: DataFrame | None, dense: bool, thresholds: list[float],
+             by: list[str] = (), weight: str | None = None) -> DataFrame | None:
+    """Bucket row of the cells without a pair; none for a table declared dense, which has a row for every cell."""
+    if dense:
+        return None
+    if entries is None or terms is None:
+        raise ValueError("entries and terms are needed to count the cells without a score; or declare the table dense")
+    return implicit_cells(pairs, entries, terms, thresholds, by, weight)
+
+
 def bucket_counts(pairs: DataFrame, thresholds: list[float], by: list[str] = (), weight: str | None = None) -> DataFrame:
     """(by…, bucket, pos, neg): the only pass over the score table; combines map-side into few rows."""
     w = F.col(weight) if weight else F.lit(1)
@@ -132,9 +155,11 @@ def sweep(pairs: DataFrame, thresholds: list[float], by: list[str] = (), weight:
     return with_ratios(threshold_counts(buckets, thresholds, by), eps)
 
 
-def fmax(pairs: DataFrame, step: float = 0.01, by: list[str] = (), implicit: DataFrame | None = None) -> DataFrame:
-    """Pooled F1 maximised over the step grid."""
-    return best_threshold(sweep(pairs, step_thresholds(step), by, implicit=implicit), by)
+def fmax(pairs: DataFrame, step: float = 0.01, by: list[str] = (), *, entries: DataFrame | None = None, terms: DataFrame | None = None,
+         dense: bool = False) -> DataFrame:
+    """Pooled F1 over every entry x term cell, maximised over the step grid."""
+    grid = step_thresholds(step)
+    return best_threshold(sweep(pairs, grid, by, implicit=unscored(pairs, entries, terms, dense, grid, by)), by)
 
 
 def weighted_fmax(pairs: DataFrame, weights: DataFrame, thresholds: list[float], by: list[str] = (),

@@ -24,7 +24,7 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     name = rank or "__rank"
     src = df
     if k > GROUP_LIMIT:
-        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+        salted = df.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))  # any dealing will do, whatever the column types
         part = F.row_number().over(W.partitionBy(*keys, "__salt").orderBy(*order))
         src = salted.withColumn("__part", part).where(F.col("__part") <= k).drop("__salt", "__part")
     out = src.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)

@@ -26,7 +26,9 @@ def linear_scores(features: DataFrame, weights: DataFrame, vector: str = "embedd
     (a batched product per Arrow batch) and a block-wise equi-join.
     """
     w = weights if bias else weights.withColumn("b", fn.d(0))
-    if not _fits(weights, broadcast_limit):
+    size, width = _checked(w)
+    features = _of_width(features, vector, width)
+    if size > broadcast_limit:
         return _blocked_product(features, w, vector)
     # names come from the same ordering as the matrix rows; only numbers cross the Python boundary
     names = w.agg(F.array_sort(F.collect_list("term")).alias("t")).scalar()
@@ -34,8 +36,22 @@ def linear_scores(features: DataFrame, weights: DataFrame, vector: str = "embedd
     return product.select("entry_id", F.inline(F.arrays_zip(F.col("__t").alias("term"), F.col("logits").alias("logit"))))
 
 
-def _fits(weights: DataFrame, limit: int) -> bool:
-    return weights.agg(F.coalesce(F.sum(F.size("w").cast("bigint") * 8), F.lit(0))).first()[0] <= limit
+def _checked(weights: DataFrame) -> tuple[int, int]:
+    """Bytes of the matrix with its term texts, and its width. A NULL or doubled term, a NULL or ragged vector or a NULL bias is an error on every route."""
+    width = F.size("w")
+    s = weights.agg(F.count("*").alias("n"), F.count_distinct("term").alias("terms"), F.min(width).alias("low"), F.max(width).alias("high"), F.count("w").alias("vectors"),
+                    F.count("b").alias("biases"), F.coalesce(F.sum(width.cast("bigint") * 8 + F.octet_length(F.col("term").cast("string"))), F.lit(0)).alias("bytes")).first()
+    if s["n"] != s["terms"]:
+        raise ValueError("weights: terms must be distinct and not NULL")
+    if s["n"] != s["vectors"] or s["n"] != s["biases"] or s["low"] != s["high"]:
+        raise ValueError("weights: vectors must have one width, and vectors and biases must not be NULL")
+    return s["bytes"], s["low"] or 0
+
+
+def _of_width(features: DataFrame, vector: str, width: int) -> DataFrame:
+    """Features whose vectors fit the weights; another width is an error on every route."""
+    fits = F.col(vector).isNull() | (F.size(vector) == width)
+    return features.where(F.when(fits, True).otherwise(F.raise_error(F.lit(f"features: a vector does not have the width {width} of the weights")).cast("boolean")))
 
 
 def _shipped_product(features: DataFrame, weights: DataFrame, vector: str, relu: bool = False) -> DataFrame:
@@ -78,7 +94,9 @@ def two_layer_scores(features: DataFrame, hidden: DataFrame, output: DataFrame,
     A hidden layer that fits stays one vector per entry; only a larger one is regrouped from rows.
     """
     units = hidden.select(F.format_string("%09d", "unit").alias("term"), "w", "b")
-    if _fits(units, broadcast_limit):
+    size, width = _checked(units)
+    features = _of_width(features, vector, width)
+    if size <= broadcast_limit:
         activated = _shipped_product(features, units, vector, relu=True).withColumnRenamed("logits", "__h")
     else:
         activated = _blocked_product(features, units, vector).groupBy("entry_id").agg(F.transform(
@@ -136,12 +154,16 @@ def _mix(a: Column, b: Column, wa: Column, wb: Column) -> Column:
     return wa * a.cast("double") + wb * b.cast("double")
 
 
-def fusion_grid(pairs: DataFrame, first: str, second: str, weights: int = 11, step: float = 0.01) -> DataFrame:
+def fusion_grid(pairs: DataFrame, first: str, second: str, weights: int = 11, step: float = 0.01, *, entries: DataFrame | None = None,
+                terms: DataFrame | None = None, dense: bool = False) -> DataFrame:
     """Fmax for each weight 0 … 1 of the first score: rows are multiplied by the weights, not by the thresholds."""
-    grid = fn.double_array([i / (weights - 1) for i in range(weights)])
+    grid, steps = fn.double_array([i / (weights - 1) for i in range(weights)]), metrics.step_thresholds(step)
+    # a cell that nobody scored has score 0 at every weight
+    extra = metrics.unscored(pairs, entries, terms, dense, steps)
+    extra = extra if extra is None else extra.withColumn("weight", F.explode(grid))
     mixed = pairs.withColumn("weight", F.explode(grid)).withColumn(
         "score", _mix(F.col(first), F.col(second), F.col("weight"), fn.d(1) - F.col("weight")).cast("float"))
-    return metrics.fmax(mixed, step, ["weight"])
+    return metrics.best_threshold(metrics.sweep(mixed, steps, ["weight"], implicit=extra), ["weight"])
 
 
 def best_fusion_weight(grid: DataFrame) -> DataFrame:
@@ -154,14 +176,23 @@ def clamped(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("score", fn.clamp(F.col("score").cast("double"), C.SCORE_CLAMP, 1.0 - C.SCORE_CLAMP).cast("float"))
 
 
-def evaluate(pairs: DataFrame, terms: DataFrame, threshold: float, step: float = 0.01, by: list[str] = ()) -> DataFrame:
-    """All metrics of a score table, one row per group. ``terms`` = (by…, term) is the whole vocabulary."""
+def evaluate(pairs: DataFrame, terms: DataFrame, threshold: float, step: float = 0.01, by: list[str] = (), *, entries: DataFrame | None = None,
+             dense: bool = False) -> DataFrame:
+    """All metrics of a score table, one row per group. ``terms`` = (by…, term) is the whole vocabulary, ``entries`` all entries.
+
+    Cells without a row are negatives of score 0, so ``threshold`` must lie above the clamp.
+    """
+    if threshold <= C.SCORE_CLAMP:
+        raise ValueError("threshold must lie above the score clamp")
     by, grid = list(by), metrics.step_thresholds(step)
+    extra = metrics.unscored(pairs, entries, terms, dense, grid, by)
     # the score table is read once; what is kept has one row per term and bucket
     counters = staged(metrics.term_bucket_counts(clamped(pairs), grid, threshold, by), "counters")
     per_term = counters.groupBy(*by, "term").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     flat = metrics.micro_macro(metrics.complete_terms(per_term, terms, by), by)
-    best = metrics.best_threshold(metrics.with_ratios(metrics.threshold_counts(counters, grid, by)), by)
+    buckets = counters.select(*by, "bucket", "pos", "neg")
+    buckets = buckets if extra is None else buckets.unionByName(extra)
+    best = metrics.best_threshold(metrics.with_ratios(metrics.threshold_counts(buckets, grid, by)), by)
     if by:
         out = flat.join(best, by)
     else:

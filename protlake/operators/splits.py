@@ -109,3 +109,15 @@ def split_overview(split: DataFrame, vocab: DataFrame) -> DataFrame:
     total = sum((F.coalesce(s, F.lit(0)) for s in SPLITS[1:]), F.coalesce(SPLITS[0], F.lit(0)))
     return counts.join(labels, "aspect", "left").select(
         "aspect", total.alias("proteins"), "labels", "train", F.col("val").alias("validation"), "test")
+
+
+def split_arrays(split_ids: DataFrame, features: DataFrame, label_vectors: DataFrame) -> DataFrame:
+    """Training arrays in split order: (split, ord, entry_id, embedding, label_vector).
+
+    ``split_ids`` = (split, ord, entry_id). An id without a feature or label row is an error; sort by (split, ord) when writing.
+    """
+    joined = split_ids.join(features.select("entry_id", "embedding"), "entry_id", "left") \
+        .join(label_vectors.select("entry_id", "label_vector"), "entry_id", "left")
+    message = F.concat(F.lit("no feature or label row for split id "), F.col("entry_id"))
+    whole = F.col("embedding").isNotNull() & F.col("label_vector").isNotNull()
+    return joined.where(F.when(whole, True).otherwise(F.raise_error(message).cast("boolean"))).select("split", "ord", "entry_id", "embedding", "label_vector")

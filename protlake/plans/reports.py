@@ -21,14 +21,17 @@ def results_mart(epoch_metrics: DataFrame, configs: DataFrame | None = None) ->
 
 
 def fusion_report(graph: DataFrame, sequence: DataFrame, labels: DataFrame, terms: DataFrame, graph_weight: float,
-                  sequence_weight: float, space: str = "probabilities", threshold: float = 0.5, step: float = 0.01) -> DataFrame:
-    """Metrics of the graph scores, the sequence scores and their fusion, with deltas to the graph row."""
+                  sequence_weight: float, space: str = "probabilities", threshold: float = 0.5, step: float = 0.01, *, entries: DataFrame) -> DataFrame:
+    """Metrics of the graph scores, the sequence scores and their fusion over all entry x term cells, with deltas to the graph row.
+
+    Labels that a table doesn't score count as missed by it; a scored entry outside of ``entries`` is an error.
+    """
     tables = {"graph": graph, "sequence": sequence,
               "fused": scoring.fuse(graph, sequence, graph_weight, sequence_weight, space)}
-    scores = reshape.stack_tables(*[t.select(F.lit(name).alias("model"), "entry_id", "term", "score") for name, t in tables.items()])
-    pairs = metrics.join_targets(scores, labels, keep_unscored=False)
+    pairs = reshape.stack_tables(*[metrics.join_targets(t.select("entry_id", "term", "score"), labels, entries=entries)
+                                   .select(F.lit(name).alias("model"), "entry_id", "term", "score", "y") for name, t in tables.items()])
     vocab = terms.select("term", F.explode(F.array(*map(F.lit, tables))).alias("model"))
-    rows = scoring.evaluate(pairs, vocab, threshold, step, ["model"])
+    rows = scoring.evaluate(pairs, vocab, threshold, step, ["model"], entries=entries)
     return reshape.delta_to_baseline(rows, ["metric_threshold"], "fmax", F.col("model").startswith("graph"), "fmax_delta")
 
 

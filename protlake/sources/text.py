@@ -39,35 +39,35 @@ def drop_incomplete(rows: DataFrame) -> DataFrame:
 
 
 def read_fasta_records(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, entry_id, sequence) of every record, duplicates included."""
+    """(ord, entry_id, sequence) of every record, duplicates and records without an id ('') included."""
     raw = _with_order(spark.read.text(path, lineSep="\n>"))
-    return raw.select("ord", *fasta_columns(F.col("value"))).where(F.col("entry_id") != "")
+    return raw.where(r"value rlike '\\S'").select("ord", *fasta_columns(F.col("value")))
 
 
 def fasta_columns(record: Column) -> list[Column]:
-    """Id = first header token; the sequence is the rest without white space."""
-    text = F.regexp_replace(record, r"^\s*>?", "")
+    """Id = first token of the first line, '' if that is blank; the sequence is the rest without white space."""
+    text = F.regexp_replace(record, r"^\s*>", "")
     header = F.regexp_extract(text, r"^([^\r\n]*)", 1)
     body = F.regexp_replace(text, r"^[^\r\n]*", "")
     return [F.regexp_extract(header, r"^\s*(\S*)", 1).alias("entry_id"), F.regexp_replace(body, r"\s+", "").alias("sequence")]
 
 
 def read_fasta(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
-    """(entry_id, sequence); of records with the same id the last wins."""
-    rows = read_fasta_records(spark, path)
+    """(entry_id, sequence); of records with the same id the last wins, those without an id are left out."""
+    rows = read_fasta_records(spark, path).where(F.col("entry_id") != "")
     if ids is not None:
         rows = rows.join(ids.select("entry_id"), "entry_id", "left_semi")
     return rows.groupBy("entry_id").agg(F.max_by("sequence", "ord").alias("sequence"))
 
 
 def fasta_quality(records: DataFrame) -> DataFrame:
-    """Records, duplicate ids, records without an id, empty sequences."""
+    """Records, duplicate ids, records without an id (in no other counter), empty sequences."""
     per_id = records.groupBy("entry_id").agg(F.count("*").alias("n"), F.count_if(F.length("sequence") == 0).alias("e"))
     named = F.col("entry_id") != ""
     return per_id.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"),
                       F.coalesce(F.sum(F.when(named, F.col("n") - 1)), F.lit(0)).alias("duplicate_ids"),
                       F.coalesce(F.sum(F.when(~named, F.col("n"))), F.lit(0)).alias("missing_ids"),
-                      F.coalesce(F.sum("e"), F.lit(0)).alias("empty_sequences"))
+                      F.coalesce(F.sum(F.when(named, F.col("e"))), F.lit(0)).alias("empty_sequences"))
 
 
 def read_obo_edges(spark: SparkSession, path: str) -> DataFrame:

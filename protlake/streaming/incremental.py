@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from protlake.operators import metrics
@@ -41,7 +41,15 @@ def running_buckets(stream: DataFrame, thresholds: list[float], by: list[str], o
         .option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
 
 
-def metrics_on_read(buckets: DataFrame, thresholds: list[float], by: list[str] = ()) -> DataFrame:
+def metrics_on_read(buckets: DataFrame, thresholds: list[float], by: list[str] = (), *, cells: Column | None = None, dense: bool = False) -> DataFrame:
+    """Best threshold so far. ``cells``: entries times terms of a group; those that no row has scored yet are negatives of score 0."""
+    if not dense:
+        if cells is None:
+            raise ValueError("cells are needed to count what has no score; or declare the rows dense")
+        seen = buckets.groupBy(*by).agg(F.sum(F.col("pos") + F.col("neg")).alias("__seen"))
+        extra = seen.select(*by, metrics.bucket_of(F.lit(0.0), thresholds).alias("bucket"), F.lit(0).cast("bigint").alias("pos"),
+                            (cells - F.col("__seen")).cast("bigint").alias("neg"))
+        buckets = buckets.select(*by, "bucket", "pos", "neg").unionByName(extra)
     return metrics.best_threshold(metrics.with_ratios(metrics.threshold_counts(buckets, thresholds, by)), by)
 
 

@@ -26,7 +26,7 @@ def worked(spark):
 
 def test_micro_macro_and_fmax(spark, worked):
     terms = spark.createDataFrame([("A",), ("B",)], "term string")
-    row = S.evaluate(worked, terms, 0.5, 0.5).first()
+    row = S.evaluate(worked, terms, 0.5, 0.5, dense=True).first()
     assert (row.micro_precision, row.micro_recall) == (pytest.approx(0.75), 1.0)
     assert row.micro_f1 == pytest.approx(6 / 7)
     assert row.macro_f1 == pytest.approx((1 + 2 / 3) / 2) == row.macro_f1_positive_labels
@@ -35,7 +35,7 @@ def test_micro_macro_and_fmax(spark, worked):
 
 def test_labels_without_rows_count_in_macro(spark, worked):
     terms = spark.createDataFrame([("A",), ("B",), ("C",)], "term string")
-    row = S.evaluate(worked, terms, 0.5, 0.5).first()
+    row = S.evaluate(worked, terms, 0.5, 0.5, dense=True).first()
     assert row.macro_f1 == pytest.approx((1 + 2 / 3) / 3) and row.macro_f1_positive_labels == pytest.approx((1 + 2 / 3) / 2)
 
 
