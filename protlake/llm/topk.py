@@ -57,14 +57,14 @@ def _scored(left: pa.Table, right: pa.Table):
         yield some, asked, ids, scores
 
 
-def _histogram(k: int, span: int, width: int, bins: int):
-    """Counts of a block's best scores in [low, low + span), by query and bin of ``width`` scores."""
+def _histogram(k: int, width: int, bins: int):
+    """Counts of a block's best scores in [low, high), by query and bin of ``width`` scores."""
     def histogram(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
             for some, asked, _, scores in _scored(left, right):
-                low = some["low"].to_numpy()
-                scores[scores >= (low + span)[:, None]] = -np.inf  # counted in an earlier pass
+                low, high = some["low"].to_numpy(), some["high"].to_numpy()
+                scores[scores >= high[:, None]] = -np.inf  # counted in an earlier pass
                 row, col = best_of(scores, k, low.astype(np.float64))
                 place = (scores[row, col].astype(np.int64) - low[row]) // width
                 pair, times = np.unique(row * bins + place, return_counts=True)
@@ -90,20 +90,22 @@ def top_scores(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int =
         raise ValueError("scores beyond 2**53 can't be told apart")
     blocks, query_blocks = max(1, -(-count // BLOCK)), max(1, -(-wanted // QUERY_BLOCK))
 
-    # where the k-th score of each query lies: in [low, low + span), and how many are wanted from its top down
-    state = asked.select("query_id", "dim", "x", F.lit(-reach).cast("long").alias("low"), F.lit(k).cast("long").alias("need"))
+    # where the k-th score of each query lies: in [low, high), and how many are wanted from its top down
     span = 2 * reach + 1
+    state = asked.select("query_id", "dim", "x", F.lit(-reach).cast("long").alias("low"), F.lit(reach + 1).cast("long").alias("high"), F.lit(k).cast("long").alias("need"))
     while span > 1:
         width = -(-span // bins)
 
-        counted = _blocks(rows, state, blocks, query_blocks).applyInArrow(_histogram(k, span, width, bins), "query_id long, bin int, n long")
+        counted = _blocks(rows, state, blocks, query_blocks).applyInArrow(_histogram(k, width, bins), "query_id long, bin int, n long")
         summed = counted.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("query_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
         reached = summed.withColumn("sum", F.sum("n").over(down)).join(state.select("query_id", "need"), "query_id")
         # the first bin by which enough are there; with too few candidates the lowest score of all
         chosen = reached.filter(F.col("sum") >= F.col("need")).groupBy("query_id").agg(F.max(F.struct("bin", (F.col("sum") - F.col("n")).alias("above"))).alias("hit"))
+        low = F.coalesce(F.col("low") + F.col("hit.bin") * F.lit(width), "low").cast("long")
+        # the last bin may reach beyond the range that was divided: what lies there is counted already
         state = staged(state.join(chosen, "query_id", "left").select(
-            "query_id", "dim", "x", F.coalesce(F.col("low") + F.col("hit.bin") * F.lit(width), "low").cast("long").alias("low"),
+            "query_id", "dim", "x", low.alias("low"), F.least(low + F.lit(width).cast("long"), "high").alias("high"),
             (F.col("need") - F.coalesce("hit.above", F.lit(0))).alias("need")), "topk-state")
         span = width
 
