@@ -1,6 +1,7 @@
 """Document quality by co-training two views.
 
-The text view sees the words (hashed) and the shape of the text in steps; the metadata view sees language, source and length. Both are logistic
+The text view sees the words (hashed) and the shape of the text in steps; the metadata view sees language, source and length. Words enter a
+fit only if their share of good and bad training documents differs clearly, so the many rare words of the corpus add no noise. Both are logistic
 regressions on sparse binary features. Each starts from labelled documents; in every round each view scores all unlabelled
 documents, and those of which it is surest, by its calibrated score, join the other view's training set with the predicted
 label. In the end both scores are calibrated on held-out labels, combined, and every document is scored.
@@ -25,6 +26,7 @@ WORD_SLOTS, SHAPES, STEPS = 1 << 15, 12, 32
 TEXT_SIZE = WORD_SLOTS + SHAPES * STEPS
 META_SIZE = 1 << 12
 MAX_LABELLED, ROUNDS, PER_ROUND, SURE = 12_000, 2, 300, 0.97
+CLEAR, LEAST_DOCS = 3.5, 5  # a word's difference between the classes in standard errors, and training documents that hold it
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[:128] = [not (chr(c).isalnum() or chr(c) in " \t\n\r\v\f.,;:!?'\"()-") for c in range(128)]
@@ -105,8 +107,9 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class View:
-    """A logistic regression on sparse binary features with a calibration a * z + c."""
+    """A logistic regression on sparse binary features with a calibration a * z + c. Features numbered below ``tested`` have to be informative."""
     size: int
+    tested: int = 0
     weights: np.ndarray = field(init=False)
     bias: float = 0.0
     a: float = 1.0
@@ -117,6 +120,10 @@ class View:
 
     def fit(self, number: np.ndarray, count: np.ndarray, y: np.ndarray, steps: int = 70, rate: float = 0.15, decay: float = 1e-5) -> None:
         """Adaptive gradient steps over the whole set, classes weighing the same."""
+        if self.tested:
+            use = np.append(informative(number, count, y, self.tested), np.ones(self.size - self.tested, bool))[number]
+            count = np.bincount(np.repeat(np.arange(len(count)), count)[use], minlength=len(count))
+            number = number[use]
         weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
         self.weights, self.bias = np.zeros(self.size), 0.0
         seen, seen_bias = np.full(self.size, 1e-10), 1e-10
@@ -140,6 +147,19 @@ class View:
         return self.a * self.raw(number, count) + self.c
 
 
+def informative(number: np.ndarray, count: np.ndarray, y: np.ndarray, size: int, clear: float = CLEAR, least: int = LEAST_DOCS) -> np.ndarray:
+    """Which of the features below ``size`` have clearly different shares of the two classes (two-proportion z test)."""
+    of = np.repeat(y, count)
+    held = number < size
+    good = np.bincount(number[held], weights=of[held], minlength=size)
+    every = np.bincount(number[held], minlength=size)
+    n, n_good = len(y), y.sum()
+    share = every / max(n, 1)
+    error = np.sqrt(share * (1 - share) * (1 / max(n_good, 1) + 1 / max(n - n_good, 1)))
+    apart = np.abs(good / max(n_good, 1) - (every - good) / max(n - n_good, 1))
+    return (every >= least) & (apart > clear * error)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
     """Few-feature logistic regression by Newton's method; weights and bias."""
     x1 = np.column_stack((np.clip(x, -40, 40), np.ones(len(x))))
@@ -246,7 +266,7 @@ def train(table: DataFrame, labels: DataFrame, scratch: Scratch, rounds: int = R
     sample = scratch.table(_sampled(labels, max_labelled))
     known = (table.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")
              .select("words", "meta", "good", (F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(5)) == 0).alias("held")).collect())
-    model = Model(View(TEXT_SIZE), View(META_SIZE))
+    model = Model(View(TEXT_SIZE, WORD_SLOTS), View(META_SIZE))
     parts = [[r for r in known if bool(r.held) == held] for held in (False, True)]
     if any(len({r.good for r in part}) < 2 for part in parts):
         model.prior = 1.0 if not known else float(np.mean([r.good for r in known]))
