@@ -107,7 +107,8 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap:
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("payload"), F.col("doc_id").alias("__id"), F.col("source").cast("string").alias("source"),
                        words(F.col("text").cast("string")).alias("size"), key.alias("order"),
                        F.pmod(F.xxhash64(key, F.lit(1)), F.lit(buckets)).cast("int").alias("bucket"))
-    sums = staged(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
+    # one small row for each source and bucket: few files, whatever the number of shuffle partitions
+    sums = staged(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")).coalesce(1 + buckets // 1024), "mix-buckets")
     goals = staged(targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, cap)
                    .withColumn("stretch", F.round("target").cast("long")), "mix-targets")
 
