@@ -174,7 +174,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, head: int = HEAD) -
     tk.small_batches(docs.sparkSession)
     with Scratch(docs.sparkSession, "suffixes") as scratch:
         shared = shared_suffixes(scratch.table(suffixes(docs, length, head)), scratch)
-        firsts = shared.groupBy("around").agg(F.min("doc_id").alias("first_doc"))
+        # written first: a join on plain shuffles is split where one passage holds most of the rows
+        firsts = scratch.table(shared.groupBy("around").agg(F.min("doc_id").alias("first_doc")))
         placed = scratch.table(shared.join(firsts, "around"))
         whole = placed.filter("doc_id > first_doc").select("doc_id", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"), "first_doc")
 
@@ -184,7 +185,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, head: int = HEAD) -
                   .groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
         # ids with ranges grow with the data: no side is to be broadcast
         windows = scratch.table(_windows(_texts(docs).join(ranges.hint("merge"), "doc_id").select("doc_id", "text", "ranges"), length))
-        earliest = windows.groupBy("words").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
+        earliest = scratch.table(windows.groupBy("words").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc"))
         single = (windows.join(earliest, "words").filter("doc_id > first_doc")
                   .select("doc_id", "start", (F.col("start") + length).alias("end"), "first_doc"))
         return staged(_merged(whole.union(single)), "suffix-spans")
