@@ -194,7 +194,7 @@ def block_overlap(texts: list, left: np.ndarray, right: np.ndarray, k: int) -> n
     return np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
 
 
-def cross_links(star: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float, k: int, block: int = BLOCK) -> DataFrame:
+def cross_links(star: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float, k: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between documents under one leader that lie in different classes; at least one for any two classes that have one.
 
     ``star``: pairs (a, b) of a document and its leader, ``roots``: classes so far. Documents of a leader's largest class meet only
@@ -203,8 +203,9 @@ def cross_links(star: DataFrame, roots: DataFrame, texts: DataFrame, threshold:
     placed = star.join(roots.select(F.col("id").alias("a"), "root").hint("merge"), "a", "left").select(F.col("b").alias("leader"), "a", F.coalesce("root", "a").alias("root"))
     sizes = placed.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("leader").agg(
         F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    parts = sizes.select("leader", F.col("top.root").alias("major"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("left_parts"),
-                         F.ceil(F.col("all") / block).cast("int").alias("right_parts"))
+    # written first: a join on plain shuffles is split where one leader has most of the documents
+    parts = scratch.table(sizes.select("leader", F.col("top.root").alias("major"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("left_parts"),
+                                       F.ceil(F.col("all") / block).cast("int").alias("right_parts")))
     rest = placed.join(parts.hint("merge"), "leader").join(texts.select(F.col("id").alias("a"), "t").hint("merge"), "a")
     own = [F.pmod(F.xxhash64("a", F.lit(i)), F.col(c)).cast("int") for i, c in enumerate(("left_parts", "right_parts"))]
     as_left = F.transform(F.sequence(F.lit(0), F.col("right_parts") - 1), lambda p: F.struct(own[0].alias("x"), p.alias("y"), F.lit(True).alias("left")))
@@ -264,7 +265,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
         texts = scratch.table(texts_of(docs, star.select(F.col("a").alias("id")).union(star.select("b")).distinct()))
         links = scratch.table(verified(star, texts, threshold, k).select("a", "b"))
         roots = components(links, scratch)
-        found = scratch.table(cross_links(star, roots, texts, threshold, k))
+        found = scratch.table(cross_links(star, roots, texts, threshold, k, scratch))
         if not found.isEmpty():
             roots = components(links.union(found), scratch)
         classes = copies.join(roots.withColumnRenamed("id", "first_copy"), "first_copy", "left").select(
