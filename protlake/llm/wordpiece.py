@@ -20,9 +20,13 @@ UNKNOWN = 1 << 40  # added to a word's count of 1 when no sequence of pieces spe
 
 
 class LengthAutomaton:
-    """Piece counts of words. ``initial`` may begin a word, ``inner`` may continue it."""
+    """Piece counts of words. ``initial`` may begin a word, ``inner`` may continue it.
+
+    An empty initial piece is the bare word-begin piece: it counts as a piece where no longer initial piece fits.
+    """
 
     def __init__(self, initial: Iterable[str], inner: Iterable[str]):
+        initial = set(initial)
         self.next: list[dict[str, int]] = [{}, {}]  # node 0 begins a word, node 1 stands inside it
         depth_one: list[bool] = [False, False]
         for root, pieces in ((0, initial), (1, inner)):
@@ -39,6 +43,8 @@ class LengthAutomaton:
                     depth_one[node] = True
         self.link: list[int] = [-1] * len(self.next)
         self.popped: list[int] = [0] * len(self.next)
+        if "" in initial:
+            self.link[0], self.popped[0] = 1, 1
         queue = deque([0, 1])
         while queue:
             node = queue.popleft()
@@ -85,7 +91,10 @@ class _Remembered(dict):
 
 
 def pieces_of_model(path: str) -> tuple[list[str], list[str]]:
-    """Vocabulary of a sentencepiece model as word-initial and inner pieces; control, byte and unknown pieces are left out."""
+    """Vocabulary of a sentencepiece model as word-initial and inner pieces; control, byte and unknown pieces are left out.
+
+    The bare word-begin piece, if the vocabulary has it, is the empty word-initial piece.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -94,13 +103,13 @@ def pieces_of_model(path: str) -> tuple[list[str], list[str]]:
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
             piece = model.id_to_piece(i)
             (initial if piece.startswith("▁") else inner).append(piece.removeprefix("▁"))
-    return [p for p in initial if p], inner
+    return initial, inner
 
 
 def token_counts(docs: DataFrame, initial: list[str], inner: list[str]) -> DataFrame:
     """``doc_id``, ``words``, ``tokens``, ``unknown_words`` of every row of ``docs``.
 
-    Words are separated by white space; a word that the pieces can't spell is one token and counts as unknown. A null or empty text has no
+    Words are separated by white space; a bare word-begin piece (an empty initial piece) counts as a token; a word that the pieces can't spell is one token and counts as unknown. A null or empty text has no
     words. Texts are read whole, words of any length in linear time. Null and repeated ids stay; other columns are not read. The vocabulary
     goes to the executors once; its size doesn't depend on the data.
     """

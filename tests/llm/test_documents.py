@@ -202,6 +202,49 @@ def test_token_counts_of_odd_rows(odd, none):
     assert wordpiece.token_counts(none, initial, inner).count() == 0
 
 
+def test_bare_piece_by_brute_force():
+    from itertools import product
+
+    for initial, inner in (({"", "ab", "abca"}, {"a", "b", "bca", "c"}), ({"", "abc"}, {"ab", "abcab", "b", "c"}), ({"", "a", "bbb"}, {"b", "bc", "ca"})):
+        automaton = wordpiece.LengthAutomaton(initial, inner)
+        marked = {"_" + p for p in initial}
+        for size in range(1, 8):
+            for word in map("".join, product("abc", repeat=size)):
+                want = greedy("_" + word, marked, inner)
+                assert automaton.count(word) == (want if want else 1 + wordpiece.UNKNOWN), word
+
+
+@given
+def test_token_counts_with_the_models_bare_piece(spark):
+    from protlake.llm.queries import PIECE_MODEL
+
+    initial, inner = wordpiece.pieces_of_model(PIECE_MODEL)
+    assert "" in initial
+    begins, continues = {"▁" + p for p in initial}, set(inner)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [*texts(docs), (-1, "ñta çouê. êèchouch"), (-2, "a\u4e00b \U0001F9FF")]
+    got = Counter(map(tuple, wordpiece.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), initial, inner).collect()))
+    longest, known = max(map(len, begins | continues)), {}
+
+    def pieces(word):  # plain longest match over the word with its word-begin mark
+        n, at, word, usable = 0, 0, "▁" + word, begins
+        while at < len(word):
+            size = next((k for k in range(min(longest, len(word) - at), 0, -1) if word[at:at + k] in usable), 0)
+            if not size:
+                return None
+            n, at, usable = n + 1, at + size, continues
+        return n
+
+    want = Counter()
+    for doc_id, text in rows:
+        found = (text or "").split()
+        for w in set(found) - known.keys():
+            known[w] = pieces(w)
+        want[doc_id, len(found), sum(known[w] or 1 for w in found), sum(known[w] is None for w in found)] += 1
+    assert got == want
+    assert known["ñta"] > 1
+
+
 def targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
     """Reshares the excess over and over until no source is above its cap."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
