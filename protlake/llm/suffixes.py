@@ -37,6 +37,11 @@ def _window_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:len(out) - rest], out[rest:]) if rest else out
 
 
+def _around(prefix: np.ndarray, inverse: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Hash of the words [first, last) that an anchor's windows cover, and of the anchor's place in them."""
+    return tk.mix(tk.span_hash(prefix, inverse, first, last) + place.astype(np.uint64))
+
+
 def anchors_of(texts: list, length: int = LENGTH, head: int = HEAD) -> dict[str, np.ndarray]:
     """Anchors of all windows of the texts.
 
@@ -60,7 +65,7 @@ def anchors_of(texts: list, length: int = LENGTH, head: int = HEAD) -> dict[str,
     lo, pos = start[first], anchor[first]
     hi = start[np.append(first[1:], len(start)) - 1] if len(first) else first
     doc = words.doc[lo]
-    around = tk.mix(tk.span_hash(prefix, inverse, lo, hi + length) + (pos - lo).astype(np.uint64))
+    around = _around(prefix, inverse, lo, hi + length, pos - lo)
     base = words.first[doc]
     return {"doc": doc, "pos": pos - base, "lo": lo - base, "hi": hi - base, "head": grams[pos].view(np.int64), "around": around.view(np.int64)}
 
@@ -111,39 +116,49 @@ def shared_suffixes(found: DataFrame, scratch: Scratch) -> DataFrame:
 
     near = scratch.table(ordered.mapInArrow(run, "head long, around long, doc_id long, pos int, lo int, hi int, shared boolean, border boolean"))
     across = (near.filter("border").groupBy("head").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("head"))
-    columns = ["head", "around", "doc_id", "lo", "hi"]
+    columns = ["head", "around", "doc_id", "pos", "lo", "hi"]
     return near.filter("shared").select(*columns).union(near.filter("border and not shared").join(across, "head", "left_semi").select(*columns))
 
 
 def _windows(texts: DataFrame, length: int) -> DataFrame:
-    """Hash and start of the windows in ``ranges`` (array of lo, hi) of each text."""
+    """Hash and start of the windows in ``ranges`` (array of lo, hi, pos, around, copied) of each text.
+
+    ``around``, of a range with ``copied``, and the place in the range (``nth``) go along. Ranges of another text under the same doc_id are
+    passed over.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, ranges = (batch.column(i).to_pylist() for i in range(3))
             for a, b in tk.grouped(texts):
                 words = tk.Words(texts[a:b], tk.SPACE)
                 prefix, inverse = tk.sequence_prefix(words.hash)
-                spans = [(i, r["lo"], r["hi"]) for i in range(b - a) for r in ranges[a + i]]
-                doc, lo, hi = (np.array(x, np.int64) for x in zip(*spans, strict=True))
+                spans = [(i, r["lo"], r["hi"], r["pos"], r["around"], r["copied"]) for i in range(b - a) for r in ranges[a + i]]
+                doc, lo, hi, pos, around, copied = (np.array(x, np.int64) for x in zip(*spans, strict=True))
+                first, last = words.first[doc] + lo, words.first[doc] + hi + length
+                own = last <= words.first[doc + 1]  # always, unless one doc_id stands for several texts
+                own[own] = _around(prefix, inverse, first[own], last[own], (pos - lo)[own]).view(np.int64) == around[own]
+                doc, lo, hi, around, copied = doc[own], lo[own], hi[own], around[own], copied[own]
                 width = hi - lo + 1
-                owner = np.repeat(doc, width)
-                start = np.repeat(lo, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+                nth = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+                owner, start = np.repeat(doc, width), np.repeat(lo, width) + nth
                 begin = words.first[owner] + start
-                fits = begin + length <= words.first[owner + 1]  # always, unless one doc_id stands for several texts
-                begin, owner, start = begin[fits], owner[fits], start[fits]
                 hashes = tk.span_hash(prefix, inverse, begin, begin + length)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.array(ids[a:b], np.int64)[owner]), pa.array(start.astype(np.int32))],
-                                                 names=["words", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes.view(np.int64)), pa.array(np.array(ids[a:b], np.int64)[owner]), pa.array(start.astype(np.int32)),
+                     pa.array(np.repeat(around, width), mask=np.repeat(copied == 0, width)), pa.array(nth.astype(np.int32))],
+                    names=["words", "doc_id", "start", "around", "nth"])
 
-    return texts.mapInArrow(run, "words long, doc_id long, start int")
+    return texts.mapInArrow(run, "words long, doc_id long, start int, around long, nth int")
 
 
 SPANS_SCHEMA = "doc_id long, spans array<struct<start:int,end:int>>, repeated_words long, first_docs array<long>"
 
 
 def _merged(spans: DataFrame) -> DataFrame:
-    """Union of the word ranges (start, end) of each document and the documents they come from."""
-    grouped = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"), F.collect_set("first_doc").alias("first_docs"))
+    """Union of the word ranges (start, end) of each document and the documents they come from: ``first_doc`` or, if that is null, ``first_docs``."""
+    grouped = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"), F.collect_set("first_doc").alias("one"),
+                                          F.collect_set("first_docs").alias("several"))
+    grouped = grouped.withColumn("first_docs", F.array_union("one", F.flatten("several")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,19 +190,27 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, head: int = HEAD) -
     with Scratch(docs.sparkSession, "suffixes") as scratch:
         shared = shared_suffixes(scratch.table(suffixes(docs, length, head)), scratch)
         # written first: a join on plain shuffles is split where one passage holds most of the rows
-        firsts = scratch.table(shared.groupBy("around").agg(F.min("doc_id").alias("first_doc")))
+        firsts = scratch.table(shared.groupBy("around").agg(F.min("doc_id").alias("first_doc"), (F.max("doc_id") > F.min("doc_id")).alias("copied")))
         placed = scratch.table(shared.join(firsts, "around"))
-        whole = placed.filter("doc_id > first_doc").select("doc_id", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"), "first_doc")
 
-        rest = placed.filter("doc_id = first_doc").select("head", "doc_id", "lo", "hi")
+        rest = placed.filter("doc_id = first_doc").select("head", "doc_id", "lo", "hi", "pos", "around", "copied")
         several = rest.groupBy("head").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("head")
-        ranges = (rest.join(several, "head", "left_semi").select("doc_id", "lo", "hi").distinct()
-                  .groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+        ranges = (rest.join(several, "head", "left_semi").drop("head").distinct()
+                  .groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "pos", "around", "copied")).alias("ranges")))
         # ids with ranges grow with the data: no side is to be broadcast
         windows = scratch.table(_windows(_texts(docs).join(ranges.hint("merge"), "doc_id").select("doc_id", "text", "ranges"), length))
         earliest = scratch.table(windows.groupBy("words").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc"))
-        single = (windows.join(earliest, "words").filter("doc_id > first_doc")
-                  .select("doc_id", "start", (F.col("start") + length).alias("end"), "first_doc"))
+        single = scratch.table(windows.join(earliest, "words").filter("doc_id > first_doc").select("doc_id", "start", "first_doc", "around", "nth"))
+
+        # where the first of equal surroundings has windows of a still earlier document, the others have them of that document as well;
+        # a set has at most one row for each window of an anchor
+        held = scratch.table(single.filter("around is not null").groupBy("around").agg(F.collect_set(F.struct("nth", "first_doc")).alias("held")))
+        earlier = F.array_distinct(F.col("held.first_doc"))
+        first_docs = F.when(F.size("held") <= F.col("hi") - F.col("lo"), F.array_append(earlier, F.col("first_doc"))).otherwise(earlier)
+        whole = (placed.filter("doc_id > first_doc").join(held, "around", "left")
+                 .select("doc_id", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"),
+                         F.when(F.col("held").isNull(), F.col("first_doc")).alias("first_doc"), F.when(F.col("held").isNotNull(), first_docs).alias("first_docs")))
+        single = single.select("doc_id", "start", (F.col("start") + length).alias("end"), "first_doc", F.lit(None).cast("array<long>").alias("first_docs"))
         return staged(_merged(whole.union(single)), "suffix-spans")
 
 

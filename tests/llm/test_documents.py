@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from protlake.llm import cotrain, minhash, mixing, packing, suffixes, wordpiece
-from tests.llm.support import DOC_SCHEMA, near_classes, odd_documents, repeats, with_clashes
+from tests.llm.support import DOC_SCHEMA, near_classes, odd_documents, repeats, sentence, with_clashes
 
 SF = "/root/testdata/sf0.001"
 given = pytest.mark.skipif(not os.path.isdir(SF), reason="given tables are not here")
@@ -78,6 +78,29 @@ def test_passages_of_odd_rows(odd, none):
     assert suffixes.repeated_passages(none).count() == 0
 
 
+def test_passages_whose_first_holder_has_other_surroundings(spark):
+    passage = sentence(99, 58)
+    longer = sentence(98, 130)
+    part = " ".join(longer.split()[:75])  # the copies' own words go on after the part that the earliest document holds
+    whole = part + " " + sentence(97, 60)
+    rows = [(1, sentence(1, 60) + " " + passage + " " + sentence(2, 60)), *[(i, passage) for i in (2, 3, 4)],
+            (5, longer), *[(i, whole) for i in (6, 7, 8)], (8, sentence(90, 30) + " " + passage), (2, sentence(96, 200)), (9, whole + " " + passage + " end")]
+    got = spans_of(suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    first = {}
+    for doc_id, text in sorted(rows):
+        ws = text.split()
+        for i in range(len(ws) - 49):
+            first.setdefault(tuple(ws[i:i + 50]), doc_id)
+    links = {}
+    for doc_id, text in rows:
+        ws = text.split()
+        for i in range(len(ws) - 49):
+            if first[tuple(ws[i:i + 50])] < doc_id:
+                links.setdefault(doc_id, set()).add(first[tuple(ws[i:i + 50])])
+    assert {d: f for d, (_, f) in got.items()} == links
+    assert links[3] == links[4] == {1} and links[7] == {5, 6}
+
+
 @given
 def test_passages_of_given_rows(real):
     got, want = spans_of(suffixes.repeated_passages(real)), repeats(texts(real))
