@@ -1,17 +1,20 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 A table has K hash functions floor((a.x + b) / w) with Gaussian a, which is 2-stable: the projected distance of two points is distributed like
-their distance. Largest inner products become smallest distances by dividing all vectors by the largest norm and appending one component that
-makes them unit vectors (queries: zero). A query visits its own cell and then perturbed cells in the order of the estimated chance to hold a
+their distance. Vectors are cut into narrow norm ranges. Inside a range largest inner products become smallest distances by dividing its vectors by
+its largest norm and appending one component that makes them unit vectors (queries: zero); so a few long vectors don't push the others away from the
+queries. A query's cells are the same numbers in all ranges, so one visit to a cell searches it in each of them. A query visits its own cell and then perturbed cells in the order of the estimated chance to hold a
 neighbour: the smaller the summed squares of the distances to the crossed cell borders, the sooner. Candidates of all tables are scored exactly.
 
 Cells are dealt by hash into a fixed number of groups; a group with many rows is split, so a cell with a third of all vectors is
-searched in parts. A query travels once to each group with the list of cells it visits there.
+searched in parts. A query travels once to each group with the list of cells it visits there. Queries that found fewer than k rows go on: first
+to all cells next to their own, then to all vectors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -24,6 +27,7 @@ from protlake.session import staged
 
 TABLES, FUNCTIONS, WIDTH, PROBES = 2, 6, 2.0, 200
 GROUPS, BLOCK = 16, 4096
+RANGES = 8  # norm ranges from one power of two to the next
 SEED = 20240715
 
 
@@ -32,8 +36,8 @@ def _functions(table: int, size: int, functions: int, width: float, seed: int) -
     return rng.normal(size=(size + 1, functions)), rng.uniform(0, width, functions)
 
 
-def _unit(v: np.ndarray, norm: float) -> np.ndarray:
-    scaled = v / norm
+def _unit(v: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    scaled = v / norms[:, None]
     rest = np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(axis=1)))
     return np.column_stack((scaled, rest))
 
@@ -64,12 +68,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     """``query_id``, ``rank``, ``vec_id``, ``score``: for each query the k vectors found with the largest inner products.
 
     ``vectors`` and ``queries`` have ``vec_id`` and ``embedding``; a query doesn't find its own id. Ties go to the smaller vec_id. Vectors that are null, zero or hold a null or non-finite component take
-    no part; vectors of another length than the query's aren't candidates. Every vector is indexed; nothing but the largest norm is fitted. A query with
-    fewer candidates in its cells than k has fewer rows. Other columns are not read.
+    no part; vectors of another length than the query's aren't candidates. Every vector is indexed; nothing but the largest norm of each norm range is
+    fitted. A query has fewer than k rows only if there are fewer candidates. Other columns are not read.
     """
-    rows = staged(usable(vectors).filter("exists(v, x -> x <> 0)"), "probe-vectors")
+    # norms beyond these bounds fall into the outermost ranges
+    measured = usable(vectors).filter("exists(v, x -> x <> 0)").withColumn(
+        "norm", F.expr("greatest(least(sqrt(aggregate(v, 0D, (s, x) -> s + x * x)), 1e300D), 1e-300D)"))
+    rows = staged(measured.withColumn("span", F.floor(F.log2("norm") * RANGES + 0.5).cast("int")), "probe-vectors")
     asked = usable(queries).filter("exists(v, x -> x <> 0)")
-    norm = rows.agg(F.max(F.expr("sqrt(aggregate(v, 0D, (s, x) -> s + x * x))"))).first()[0] or 1.0
+    # at most RANGES rows for each power of two a norm can have
+    longest = {r.span: r.norm for r in rows.groupBy("span").agg(F.max("norm").alias("norm")).collect()}
     groups, block = GROUPS, BLOCK
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +86,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
             for size in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == size))
                 v = matrix(part.column(1))
-                unit = _unit(v, norm)
+                unit = _unit(v, np.array([longest[x] for x in part.column(2).to_pylist()]))
                 for t in range(tables):
                     a, b = _functions(t, int(size), functions, width, seed)
                     cells = _cell(np.floor((unit @ a + b) / width).astype(np.int64))
@@ -87,7 +95,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
                         [pa.array(group), pa.array(np.full(len(v), size, np.int32)), pa.array(cells), part.column(0), part.column(1)],
                         names=["grp", "dim", "cell", "vec_id", "v"])
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probe(batches: Iterator[pa.RecordBatch], probes: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column(1).value_lengths().to_numpy()
             for size in np.unique(sizes):
@@ -107,13 +115,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
                                 [pa.array(np.full(len(v), g + t * groups, np.int32)), pa.array(np.full(len(v), size, np.int32)), some.column(0), some.column(1),
                                  pa.ListArray.from_arrays(pa.array(at), pa.array(cells[here]))], names=["grp", "dim", "query_id", "v", "cells"])
 
-    indexed = staged(rows.mapInArrow(index, "grp int, dim int, cell long, vec_id long, v array<double>"), "probe-index")
+    indexed = staged(rows.select("vec_id", "v", "span").mapInArrow(index, "grp int, dim int, cell long, vec_id long, v array<double>"), "probe-index")
     # one row per group and vector length, whatever the data: how many parts the group needs
     parts = indexed.groupBy("grp", "dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     parts = staged(parts, "probe-parts")
     dealt = indexed.join(parts, ["grp", "dim"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
-    visits = (asked.mapInArrow(probe, "grp int, dim int, query_id long, v array<double>, cells array<long>").filter("size(cells) > 0")
-              .join(parts, ["grp", "dim"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
+
+    def visits(asked: DataFrame, probes: int | None) -> DataFrame:
+        if probes:
+            to = (asked.mapInArrow(lambda batches: probe(batches, probes), "grp int, dim int, query_id long, v array<double>, cells array<long>")
+                  .filter("size(cells) > 0").join(parts, ["grp", "dim"]))
+        else:  # the groups of one table hold all vectors
+            to = (asked.select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim")).join(parts.filter(F.col("grp") < groups), "dim")
+                  .select("grp", "dim", "query_id", "v", F.lit(None).cast("array<long>").alias("cells"), "parts"))
+        return to.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -134,14 +149,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
             some = right.slice(low, 512).combine_chunks()
             q, asked_ids = matrix(some["v"]), some["query_id"].to_numpy()
             lists = some["cells"].combine_chunks()
-            owner = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
-            wanted = lists.flatten().to_numpy()
-            at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-            hit = known[at] == wanted
-            owner, at = owner[hit], at[hit]
-            order = np.argsort(at, kind="stable")
-            owner, at = owner[order], at[order]
             scores = np.full((len(q), len(ids)), -np.inf)
+            if lists.null_count:  # of all queries or of none: all cells
+                at = []
+                scores[:, column] = np.round(q @ v.T, 12)
+            else:
+                owner = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
+                wanted = lists.flatten().to_numpy()
+                at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                hit = known[at] == wanted
+                owner, at = owner[hit], at[hit]
+                order = np.argsort(at, kind="stable")
+                owner, at = owner[order], at[order]
             cut = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else []
             for i, s in enumerate(cut):
                 e = cut[i + 1] if i + 1 < len(cut) else len(at)
@@ -156,7 +175,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
             out.append(pa.table({"query_id": asked_ids[row], "vec_id": ids[by_id[col]], "score": exact}))
         return pa.concat_tables(out) if out else none
 
-    found = dealt.groupBy("grp", "dim", "part").cogroup(visits.groupBy("grp", "dim", "part")).applyInArrow(search, "query_id long, vec_id long, score double")
-    distinct = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return distinct.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def answers(asked: DataFrame, probes: int | None) -> DataFrame:
+        found = (dealt.groupBy("grp", "dim", "part").cogroup(visits(asked, probes).groupBy("grp", "dim", "part"))
+                 .applyInArrow(search, "query_id long, vec_id long, score double"))
+        distinct = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return distinct.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    settled = []
+    for further in (probes, 3 ** functions, None):
+        some = staged(answers(asked, further), "probe-answers")
+        if further is None:
+            settled.append(some)
+            break
+        # the k-th row is there or the query is short
+        full = some.filter(F.col("rank") == k).select("query_id")
+        settled.append(some.join(full, "query_id", "left_semi"))
+        asked = staged(asked.join(full, asked["vec_id"] == full["query_id"], "left_anti"), "probe-short")
+        if asked.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, settled).select("query_id", "rank", "vec_id", "score")

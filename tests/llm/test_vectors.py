@@ -74,3 +74,31 @@ def test_recall_on_given_rows(spark):
     got = {(r.query_id, r.vec_id) for r in multiprobe.nearest(df, df.filter("vec_id % 20 = 0")).collect()}
     print("recall", len(got & want) / len(want))
     assert len(got & want) >= 0.9 * len(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="given tables are not here")
+@pytest.mark.parametrize("stretch", ["one by 3", "one by 20", "half to three halves"])
+def test_recall_with_uneven_norms(spark, stretch):
+    table = sorted((r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect())
+    by = np.random.default_rng(5).uniform(0.5, 1.5, len(table)) if stretch.startswith("half") else np.ones(len(table))
+    if stretch.startswith("one"):
+        by[77] = float(stretch.split()[-1])
+    table = [(i, [float(np.float32(x * f)) for x in v]) for (i, v), f in zip(table, by, strict=True)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<float>").repartition(3)
+    want = {(q, i) for q, _, i, _ in brute(table, False, False)}
+    rows = multiprobe.nearest(df, df.filter("vec_id % 20 = 0")).collect()
+    got = {(r.query_id, r.vec_id) for r in rows}
+    print("recall", stretch, len(got & want) / len(want))
+    assert len(rows) == len(want)
+    assert len(got & want) >= 0.88 * len(want)
+
+
+def test_short_queries_go_on_to_all_vectors(spark):
+    rng = np.random.default_rng(2)
+    table = [(i, [float(np.float32(x)) for x in rng.normal(size=16) * (1 if i % 20 else -1) + (9 if i % 20 else -9)]) for i in range(200)]
+    table += [(1000 + 20 * i, [1.0, float(i), 2.0]) for i in range(5)]  # fewer candidates than k
+    df = spark.createDataFrame(table, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in multiprobe.nearest(df, df.filter("vec_id % 20 = 0"), probes=1).collect())
+    want = brute(table, False, False)
+    assert [(q, n) for q, n, *_ in got] == [(q, n) for q, n, *_ in want]
+    assert all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(got, want, strict=True) if a[0] >= 1000)
