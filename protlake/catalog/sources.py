@@ -108,6 +108,15 @@ def ontology_edges(spark, sf):
     return text.vocabulary_edges(text.read_obo_edges(spark, _obo_path(spark, sf)), L.vocabulary(counts))
 
 
+@query("ontology_edges_all", f"""WITH {_OBO}, v AS (SELECT 'GO:' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS term, row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part)
+SELECT DISTINCT CAST(a.k AS INTEGER) AS child_index, CAST(b.k AS INTEGER) AS parent_index FROM ob JOIN v a ON a.term = child JOIN v b ON b.term = parent WHERE child <> parent""")
+def ontology_edges_all(spark, sf):
+    """The same with every part in the vocabulary."""
+    counts = table(spark, sf, "part").select(
+        F.lit("BPO").alias("aspect"), F.concat(F.lit("GO:"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("term"), F.lit(1).alias("n"))
+    return text.vocabulary_edges(text.read_obo_edges(spark, _obo_path(spark, sf)), L.vocabulary(counts))
+
+
 @query("weights_scan", "SELECT 'T' || CAST(p_partkey AS VARCHAR) AS term, p_retailprice / 100.0 + 1 AS ia FROM part")
 def weights_scan(spark, sf):
     path = scratch_path(spark, "weights")
@@ -171,6 +180,14 @@ def ground_truth_file(spark, sf):
     return spark.read.csv(path, sep="\t", header=True, schema="EntryID STRING, term STRING, aspect STRING")
 
 
+@query("ground_truth_all", f"WITH {V.LAB} SELECT DISTINCT entry_id AS \"EntryID\", term, aspect FROM lab")
+def ground_truth_all(spark, sf):
+    """The same with the labels of all aspects."""
+    path = scratch_path(spark, "truth")
+    sinks.write_ground_truth(V.labels(spark, sf), path)
+    return spark.read.csv(path, sep="\t", header=True, schema="EntryID STRING, term STRING, aspect STRING")
+
+
 @query("report_file", "SELECT n_name AS name, count(*) AS customers FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
 def report_file(spark, sf):
     path = scratch_path(spark, "report")

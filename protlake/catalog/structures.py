@@ -223,6 +223,14 @@ def unresolved_entries(spark, sf):
     return G.unresolved_entries(V.sequences(spark, sf), G.resolved(t))
 
 
+@query("unresolved_entries_all", _with("SELECT entry_id, 'no resolved residue positions' AS error FROM res GROUP BY entry_id HAVING count(CASE WHEN (vec_id // 2) % 9 <> 0 THEN pos END) = 0"))
+def unresolved_entries_all(spark, sf):
+    """Placing all fragments: every ninth entry has structures without atoms and gets no residue."""
+    empty = F.floor(F.col("vec_id") / 2) % 9 == 0
+    requests = V.requests(spark, sf).withColumn("pdb_text", F.when(empty, "END").otherwise(F.col("pdb_text")))
+    return G.unresolved_entries(V.sequences(spark, sf), G.resolved(SF.residue_rows(SF.parsed_fragments(requests))))
+
+
 @query("shape_failures", """
 SELECT 'P' || lpad(CAST(vec_id // 2 AS VARCHAR), 8, '0') AS entry_id, 'P' || lpad(CAST(vec_id // 2 AS VARCHAR), 8, '0') || '-F' || CAST(vec_id % 2 + 1 AS VARCHAR) AS model_entity_id,
   'parse_error' AS status, CASE vec_id % 11 WHEN 0 THEN 'structure-error matrix is missing' WHEN 1 THEN 'structure-error matrix does not match the residue count' ELSE 'no CA atoms' END AS error
