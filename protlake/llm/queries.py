@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from protlake.llm import cotrain, minhash, mixing, multiprobe, packing, suffixes, topk, url_lists, warc, wordpiece
+from protlake.llm import cotrain, minhash, mixing, multiprobe, ngram_ratio, packing, repair, spelling, suffixes, topk, url_lists, warc, wordpiece
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -93,6 +93,21 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged, with its faults, the cost and edits of its repair, and the hash of the repaired text."""
+    return repair.repairs(_table(spark, sf_dir, "conversations"))
+
+
+def op12_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the counts of the rules and whether it is kept."""
+    return ngram_ratio.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its spelling variants."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,7 +116,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_minhash_dedup, op2_best_fit_packing, op3_quality_cotraining, op4_suffix_dedup, op5_url_list_join, op6_multiprobe_neighbours, op7_wordpiece_counts,
-    op8_exact_top_scores, op9_source_mixing, op10_warc_bundles, pipeline)}
+    op8_exact_top_scores, op9_source_mixing, op10_warc_bundles, op11_conversation_repair, op12_ngram_ratio_rules, op13_spelling_variants, pipeline)}
 
 ORACLES = {
     "op1_minhash_dedup": r"""
@@ -158,4 +173,54 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html,
 m AS (SELECT d, n, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY 1, 2)
 SELECT page_id, p.n AS payload_bytes, p.d AS payload_digest, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN last <> page_id THEN last END AS refers_to FROM p LEFT JOIN m ON m.d = p.d AND m.n = p.n""",
+    "op11_conversation_repair": r"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY n) AS t FROM range(256) x(n)),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+h AS (SELECT k.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS h FROM k, tab),
+r AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(range(CASE h WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS r FROM r),
+q AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+      NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open, lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+f AS (SELECT *, blank OR seen AS gone, CASE WHEN open AND NOT (blank OR seen) THEN 1 ELSE 0 END AS cut, chr(10) || role || ':' || text AS own,
+      chr(10) || 'user:' || text AS as_u, chr(10) || 'assistant:' || text AS as_a FROM q),
+d AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 'a': '', 'o': ''} AS st, {'c': 1000000000000::BIGINT, 'a': '', 'o': ''} AS ss,
+    {'c': 1000000000000::BIGINT, 'a': '', 'o': ''} AS su, {'c': 1000000000000::BIGINT, 'a': '', 'o': ''} AS sa FROM conversations
+  UNION ALL
+  SELECT conv_id, i, {'c': st.c + 3, 'a': st.a || 'D', 'o': st.o},
+    list_min([{'c': ss.c + 3, 'a': ss.a || 'D', 'o': ss.o}, {'c': st.c + CASE WHEN NOT gone AND r = 's' THEN cut ELSE 1000000000000 END, 'a': st.a || 'K', 'o': st.o || own}]),
+    list_min([{'c': u.c + 3, 'a': u.a || 'D', 'o': u.o}] || list_concat(
+      list_transform([st, ss, a], lambda x: {'c': x.c + CASE WHEN gone THEN 1000000000000 ELSE 2 + cut END, 'a': x.a || 'R', 'o': x.o || as_u}),
+      list_transform([st, ss, a], lambda x: {'c': x.c + CASE WHEN NOT gone AND r = 'u' THEN cut ELSE 1000000000000 END, 'a': x.a || 'K', 'o': x.o || own}))),
+    list_min([{'c': a.c + 3, 'a': a.a || 'D', 'o': a.o}, {'c': u.c + CASE WHEN gone THEN 1000000000000 ELSE 2 + cut END, 'a': u.a || 'R', 'o': u.o || as_a},
+      {'c': u.c + CASE WHEN NOT gone AND r = 'a' THEN cut ELSE 1000000000000 END, 'a': u.a || 'K', 'o': u.o || own}])
+  FROM (SELECT *, list_min([sa, {'c': u.c + 2, 'a': u.a || 'I', 'o': u.o || chr(10) || 'assistant:'}]) AS a FROM (
+    SELECT d.conv_id, f.i, st, ss, sa, f.gone, f.cut, f.r, f.own, f.as_u, f.as_a,
+      list_min([su] || list_transform([st, ss, sa], lambda x: {'c': x.c + 2, 'a': x.a || 'I', 'o': x.o || chr(10) || 'user:'})) AS u
+    FROM d JOIN f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.i = d.i + 1))),
+g AS (SELECT conv_id, arg_max(st, i) AS st, arg_max(sa, i) AS sa, arg_max(list_min([su] || list_transform([st, ss, sa], lambda x: {'c': x.c + 2, 'a': x.a || 'I', 'o': x.o || chr(10) || 'user:'})), i) AS u
+      FROM d GROUP BY conv_id),
+b AS (SELECT conv_id, list_min([st, sa, {'c': u.c + 2, 'a': u.a || 'I', 'o': u.o || chr(10) || 'assistant:'}]) AS z FROM g),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE seen AND NOT blank) AS duplicate,
+      sum(cut)::BIGINT AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  z.c AS cost, z.a AS audit, sha256(substr(z.o, 2)) AS repaired_sha256 FROM b LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM b.conv_id""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY n) AS t FROM range(256) x(n)),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+u AS (SELECT doc_id, run, count(*) AS m, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r GROUP BY doc_id, run),
+h AS (SELECT run, m, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM u, tab),
+w AS (SELECT word, sum(m)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, m FROM h)
+      GROUP BY word HAVING length(word) >= 5 AND sum(m) >= 3),
+d AS (SELECT word, n, unnest(range(length(word))) AS p FROM w),
+k AS (SELECT word, n, p, left(word, p) || substr(word, p + 2) AS rest FROM d),
+e AS (SELECT DISTINCT k.word AS a, w.word AS b FROM k JOIN w ON w.word = k.rest),
+near AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT x.word, y.word FROM k x JOIN k y ON x.rest = y.rest AND x.p = y.p AND x.word <> y.word),
+z AS (SELECT a, count(*) AS n_near, arg_min(b, (-w.n, b)) AS best, max(w.n) AS top FROM near JOIN w ON w.word = b GROUP BY a),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * n THEN best END AS form, CASE WHEN top >= 2 * n THEN top END AS form_n FROM w LEFT JOIN z ON z.a = w.word),
+g AS (SELECT word, word AS root, 0 AS far FROM f UNION ALL SELECT g.word, f.form, far + 1 FROM g JOIN f ON f.word = g.root WHERE f.form IS NOT NULL)
+SELECT word, n, n_near, form, form_n, root FROM f JOIN (SELECT word, arg_max(root, far) AS root FROM g GROUP BY word) USING (word)""",
 }

@@ -8,6 +8,7 @@ their length; only one hash and two offsets per word are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -36,6 +37,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH))
 
 
+@contextmanager
+def batches(spark: SparkSession, rows: int = BATCH) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the tables written inside the block; the session's setting comes back at its end."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     x = np.asarray(x, np.uint64)
