@@ -170,6 +170,16 @@ def array_quantile(values: Column, q: float) -> Column:
     return F.when(F.size(values) > 0, low + (high - low) * (pos - F.floor(pos)))
 
 
+def array_quantiles(values: Column, qs: list[float]) -> Column:
+    """ARRAY of linear-interpolated quantiles; the values are sorted once for all of them."""
+    def of(s: Column) -> Column:
+        at = [(q * (F.size(s) - 1)) for q in map(d, qs)]
+        ends = [(F.get(s, F.floor(p).cast("int")), F.get(s, F.ceil(p).cast("int")), p - F.floor(p)) for p in at]
+        return F.array(*[low + (high - low) * part for low, high, part in ends])
+
+    return F.when(F.size(values) > 0, F.get(F.transform(F.array(F.array_sort(values)), of), F.lit(0)))
+
+
 def array_sum(values: Column) -> Column:
     return F.aggregate(values, d(0), lambda acc, v: acc + v)
 

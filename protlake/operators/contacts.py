@@ -1,9 +1,11 @@
-"""Residue contacts: distance-bounded self-join on a spatial grid, degrees and shape."""
+"""Residue contacts: cell lists inside a fragment's row, distance-bounded self-join for points in rows of their own, degrees and shape."""
 
 from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from protlake.functions import scalar as fn
@@ -43,6 +45,102 @@ def pairs_within(points: DataFrame, group: list[str], index: str, radius: float,
                          dist.alias("distance"))
 
 
+POINTS = 1 << 14  # points searched together
+CONTACTS = "struct<source: array<int>, target: array<int>, distance: array<double>, degree: array<int>, strict_degree: array<int>>"
+
+
+def cell_pairs(group: np.ndarray, xyz: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions i < j and distances of all points of one group at distance <= radius, in order of (i, j).
+
+    Points are sorted by group and grid cell; the partners of a point are runs of the sorted order, one for each forward
+    neighbour cell and one for the rest of its own. Points without finite coordinates have no partner.
+    """
+    usable = np.flatnonzero(np.isfinite(xyz).all(axis=1))
+    if not len(usable):
+        return usable, usable, np.zeros(0)
+    cell = np.floor(xyz[usable] / radius)
+    # a free cell on either side keeps neighbours of one group, row or layer apart from the next
+    numbers = [np.unique(cell[:, a], return_inverse=True) for a in range(3)]
+    steps = [np.concatenate(([1], np.cumsum(np.where(np.diff(v) == 1, 1, 2)) + 1)) for v, _ in numbers]
+    c = [s[inv].astype(np.int64) for s, (_, inv) in zip(steps, numbers)]
+    wide = [int(x.max()) + 2 for x in c]
+    stride = (wide[1] * wide[2], wide[2], 1)
+    key = group[usable].astype(np.int64) * (wide[0] * stride[0]) + c[0] * stride[0] + c[1] * stride[1] + c[2]
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], usable[order]
+    place = np.arange(len(at))
+    found_i, found_j = [], []
+    for o in product((-1, 0, 1), repeat=3):
+        if o < (0, 0, 0):
+            continue
+        if o == (0, 0, 0):
+            first, last = place + 1, np.searchsorted(key, key, side="right")
+        else:
+            there = key + o[0] * stride[0] + o[1] * stride[1] + o[2]
+            first, last = np.searchsorted(key, there, side="left"), np.searchsorted(key, there, side="right")
+        many = last - first
+        i = np.repeat(place, many)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+        found_i.append(at[i])
+        found_j.append(at[j])
+    i, j = np.concatenate(found_i), np.concatenate(found_j)
+    d = xyz[i] - xyz[j]
+    distance = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
+    near = distance <= radius
+    low, high, distance = np.minimum(i[near], j[near]), np.maximum(i[near], j[near]), distance[near]
+    order = np.lexsort((high, low))
+    return low[order], high[order], distance[order]
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values, kind))
+
+
+def row_contacts(radius: float, strict_radius: float):
+    """Column function of (x, y, z), one array of coordinates per row: pairs of positions from 1 within ``radius``, and the degrees of all positions.
+
+    Everything stays in the row; a null array has no points.
+    """
+    if radius <= 0:
+        raise ValueError("radius must be positive")
+
+    def search(x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
+        sizes = x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        xyz = np.stack([np.asarray(c.flatten().to_numpy(zero_copy_only=False), np.float64) for c in (x, y, z)], axis=1)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        row = 0
+        while row < len(sizes):
+            more = max(row + 1, int(np.searchsorted(ends, starts[row] + POINTS, side="right")))
+            a, b = starts[row], ends[more - 1]
+            i, j, d = cell_pairs(group[a:b] - row, xyz[a:b], radius)
+            parts.append((i + a, j + a, d))
+            row = more
+        i, j, d = (np.concatenate(p) for p in zip(*parts))
+        strict = d <= strict_radius
+        degree = np.bincount(i, minlength=len(xyz)) + np.bincount(j, minlength=len(xyz))
+        strict_degree = np.bincount(i[strict], minlength=len(xyz)) + np.bincount(j[strict], minlength=len(xyz))
+        pairs = np.bincount(group[i], minlength=len(sizes))
+        base = starts[group[i]] - 1
+        ints = pa.int32()
+        return pa.StructArray.from_arrays(
+            [_lists(i - base, pairs, ints), _lists(j - base, pairs, ints), _lists(d, pairs, pa.float64()), _lists(degree, sizes, ints), _lists(strict_degree, sizes, ints)],
+            names=["source", "target", "distance", "degree", "strict_degree"])
+
+    search.__annotations__ = {"x": pa.Array, "y": pa.Array, "z": pa.Array, "return": pa.Array}
+    return F.arrow_udf(search, CONTACTS)
+
+
+def row_edges(contacts: Column, matrix: Column) -> Column:
+    """ARRAY of (source, target, distance, pae_lr, pae_rl): the pairs with both of their cells of the row's own error matrix."""
+    cell = lambda a, b: F.get(F.get(matrix, a - 1), b - 1)
+    return F.transform(F.arrays_zip(contacts.source.alias("source"), contacts.target.alias("target"), contacts.distance.alias("distance")), lambda e: F.struct(
+        e.source.alias("source"), e.target.alias("target"), e.distance.alias("distance"),
+        cell(e.source, e.target).alias("pae_lr"), cell(e.target, e.source).alias("pae_rl")))
+
+
 def edge_flags(edges: DataFrame, strict_radius: float) -> DataFrame:
     sep = F.col("target") - F.col("source")
     return edges.select(
@@ -50,23 +148,6 @@ def edge_flags(edges: DataFrame, strict_radius: float) -> DataFrame:
         (sep <= 5).alias("is_short_range_sequence"), (F.col("distance") <= strict_radius).alias("is_strict_contact"))
 
 
-def attach_pair_error(edges: DataFrame, rows: DataFrame, group: list[str], both: list[str] = (), once: list[str] = ()) -> DataFrame:
-    """Both directions of the error matrix for each pair; ``rows`` = (group…, residue_index, pae_row, …).
-
-    The matrix stays one array per residue; only two cells per pair are read from it. Columns in ``both`` come
-    along as source_/target_ columns, those in ``once`` from the source.
-    """
-    def side(end: str, more: list[str]) -> DataFrame:
-        return rows.select(*group, F.col("residue_index").alias(end), F.col("pae_row").alias(f"__{end}"), *more,
-                           *[F.col(c).alias(f"{end}_{c}") for c in both])
-
-    return edges.join(side("source", list(once)), [*group, "source"]) \
-        .withColumn("pae_lr", F.element_at("__source", F.col("target").cast("int"))).drop("__source") \
-        .join(side("target", []), [*group, "target"]) \
-        .withColumn("pae_rl", F.element_at("__target", F.col("source").cast("int"))).drop("__target") \
-        .withColumn("pae_mean_pair", (F.col("pae_lr") + F.col("pae_rl")) / 2.0)
-
-
 def degrees(edges: DataFrame, group: list[str], strict: str = "is_strict_contact",
             ends: tuple[str, str] = ("source", "target"), name: str = "node") -> DataFrame:
     """Contact and strict-contact degree of every residue that has an edge."""

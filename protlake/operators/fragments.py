@@ -36,10 +36,13 @@ def fragment_columns(record: str = "record") -> list[Column]:
 
 def matrix_summary(matrix: Column) -> Column:
     """STRUCT(pae_mean, pae_median, pae_p90, pae_max) of a nested array; NULL when it has no cell."""
-    v = F.flatten(matrix)
-    return F.when(F.size(v) > 0, F.struct(
-        fn.array_mean(v).alias("pae_mean"), fn.array_quantile(v, 0.5).alias("pae_median"),
-        fn.array_quantile(v, 0.9).alias("pae_p90"), F.array_max(v).alias("pae_max")))
+    def of(v: Column) -> Column:
+        def with_ranks(q: Column) -> Column:
+            return F.when(F.size(v) > 0, F.struct(fn.array_mean(v).alias("pae_mean"), F.get(q, F.lit(0)).alias("pae_median"),
+                                                  F.get(q, F.lit(1)).alias("pae_p90"), F.array_max(v).alias("pae_max")))
+        return F.get(F.transform(F.array(fn.array_quantiles(v, [0.5, 0.9])), with_ranks), F.lit(0))
+
+    return F.get(F.transform(F.array(F.flatten(matrix)), of), F.lit(0))
 
 
 def row_statistics(row: Column) -> Column:

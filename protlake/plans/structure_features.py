@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from protlake import schemas
 from protlake.functions import scalar as fn
 from protlake.operators import contacts, fragments as fr
-from protlake.session import staged
+from protlake.session import arrow_batches, staged
 from protlake.sources import structures
 
 KEY = ["entry_id", "model_entity_id"]
+FRAGMENTS = 64  # in an Arrow batch
 
 
 def parsed_fragments(requests: DataFrame) -> DataFrame:
@@ -36,13 +37,23 @@ def fragment_failures(parsed: DataFrame) -> DataFrame:
     return fr.conform(bad, schemas.FAILURE_LOG)
 
 
+def with_contacts(parsed: DataFrame, radius: float, strict_radius: float) -> DataFrame:
+    """Adds ``contacts`` and ``edges`` to each fragment's row (see ``contacts.row_contacts``); nothing leaves the row."""
+    coordinates = [F.when(F.col("error").isNull(), F.col(f"residues.{c}")) for c in "xyz"]
+    found = fn.once(parsed, contacts=contacts.row_contacts(radius, strict_radius)(*coordinates))
+    return found.withColumn("edges", contacts.row_edges(F.col("contacts"), F.col("matrix")))
+
+
 def residue_rows(parsed: DataFrame) -> DataFrame:
-    """Residues with position, confidence flags, their matrix row and its statistics (before degrees)."""
+    """Residues with position, confidence flags, their matrix row and its statistics; with degrees if the contacts have been searched."""
     good = parsed.where(F.col("error").isNull())
+    parts = [F.col("residues"), F.col("matrix").alias("pae_row")]
+    if "contacts" in parsed.columns:
+        parts += [F.col(f"contacts.{c}").cast("array<bigint>").alias(f"contact_{c}") for c in ("degree", "strict_degree")]
     flat = good.select(
         "entry_id", "taxonomy_id", "model_entity_id", "alignment_status", "offset", F.size("residues").alias("total"),
-        F.explode(F.arrays_zip("residues", F.col("matrix").alias("pae_row"))).alias("__z")) \
-        .select("*", "__z.residues.*", F.col("__z.pae_row").alias("pae_row")).drop("__z")
+        F.explode(F.arrays_zip(*parts)).alias("__z")) \
+        .select("*", "__z.residues.*", "__z.*").drop("__z", "residues").withColumnRenamed("contact_strict_degree", "strict_contact_degree")
     bins = fn.confidence_bin(F.col("plddt"))
     return fn.once(flat, s=fr.row_statistics(F.col("pae_row"))).withColumn("seq_position", F.col("residue_index") + F.col("offset")) \
         .withColumn("plddt_bin", bins) \
@@ -52,17 +63,18 @@ def residue_rows(parsed: DataFrame) -> DataFrame:
         .withColumn("sequence_position_fraction", F.col("residue_index") / F.col("total")).drop("s", "offset", "total")
 
 
-def edge_rows(residues: DataFrame, radius: float, strict_radius: float) -> DataFrame:
+def edge_rows(searched: DataFrame, strict_radius: float) -> DataFrame:
     """Contact pairs of each fragment with both error directions and both positions."""
-    pairs = contacts.edge_flags(contacts.pairs_within(residues, KEY, "residue_index", radius), strict_radius)
-    out = contacts.attach_pair_error(pairs, residues, KEY, ["seq_position"], ["taxonomy_id"]).withColumnsRenamed(
+    pairs = searched.where(F.col("error").isNull()).select(*KEY, "taxonomy_id", "offset", F.inline("edges"))
+    out = contacts.edge_flags(pairs, strict_radius).select(
+        "*", *[(F.col(end) + F.col("offset")).alias(f"{end}_seq_position") for end in ("source", "target")],
+        ((F.col("pae_lr") + F.col("pae_rl")) / 2.0).alias("pae_mean_pair")).withColumnsRenamed(
         {"source": "source_residue_index", "target": "target_residue_index", "distance": "distance_ca"})
     return fr.conform(out, schemas.EDGES)
 
 
-def residue_table(residues: DataFrame, edges: DataFrame) -> DataFrame:
-    counted = contacts.with_degrees(residues, edges, KEY, "residue_index", ("source_residue_index", "target_residue_index"))
-    return fr.conform(counted, schemas.RESIDUES)
+def residue_table(residues: DataFrame) -> DataFrame:
+    return fr.conform(residues, schemas.RESIDUES)
 
 
 def fragment_table(parsed: DataFrame, residues: DataFrame, radius: float, strict_radius: float) -> DataFrame:
@@ -89,12 +101,11 @@ def fragment_table(parsed: DataFrame, residues: DataFrame, radius: float, strict
 
 
 def feature_tables(requests: DataFrame, radius: float = 10.0, strict_radius: float = 8.0) -> dict[str, DataFrame]:
-    """residues, edges, fragments and failures. Files are parsed once and pairs searched once; see ``staged``."""
-    parsed = staged(parsed_fragments(requests), "parsed")
-    raw = residue_rows(parsed)
-    edges = staged(edge_rows(raw, radius, strict_radius), "edges")
-    residues = residue_table(raw, edges)
-    return {"residues": residues, "edges": edges, "fragments": fragment_table(parsed, residues, radius, strict_radius),
+    """residues, edges, fragments and failures. Files are parsed and contacts searched once, in the fragment's row, and staged."""
+    with arrow_batches(requests.sparkSession, FRAGMENTS):
+        parsed = staged(with_contacts(parsed_fragments(requests), radius, strict_radius), "parsed")
+    residues = residue_table(residue_rows(parsed))
+    return {"residues": residues, "edges": edge_rows(parsed, strict_radius), "fragments": fragment_table(parsed, residues, radius, strict_radius),
             "failures": fragment_failures(parsed)}
 
 

@@ -153,3 +153,45 @@ def test_ontology_penalty(spark):
 def test_structure_vector_width(spark):
     v = spark.range(1).select(fn.structure_vector(F.lit("L"), F.lit("H"), fn.d(95.5), fn.d(90), fn.d(0), fn.d(7)).alias("v")).first().v
     assert len(v) == 10 and v[:3] == [1, 0, 0] and v[3] == pytest.approx(1) and v[8] == pytest.approx(0.5) and v[9] == 7
+
+
+def test_row_contacts_equal_brute_force(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    rows = [(g, rnd.uniform(-s, s, (n, 3)).tolist()) for g, (n, s) in enumerate([(0, 1), (1, 1), (2, 0.1), (90, 6), (300, 20), (40, 1e6), (60, 0.0)])]
+    grid = [[float(a), float(b), 0.0] for a in range(-4, 5) for b in range(-4, 5)]  # points on cell borders and exactly at the radius
+    rows += [(7, grid), (8, None), (9, [[0.0, 0.0, float("nan")], [0.0, 0.0, 0.0], [0.0, 0.0, 0.5], [1e300, 0.0, float("inf")]])]
+    df = spark.createDataFrame(rows, "g int, p array<array<double>>").repartition(2).selectExpr("g", *[f"transform(p, q -> q[{i}]) as {c}" for i, c in enumerate("xyz")])
+    got = {r.g: r.c for r in df.select("g", K.row_contacts(2.0, 1.0)("x", "y", "z").alias("c")).collect()}
+    for g, points in rows:
+        points = points or []
+        want = [(i + 1, j + 1, math.dist(points[i], points[j])) for i in range(len(points)) for j in range(i + 1, len(points)) if math.dist(points[i], points[j]) <= 2.0]
+        c = got[g]
+        assert list(zip(c.source, c.target)) == [w[:2] for w in want] and c.distance == pytest.approx([w[2] for w in want])
+        for degree, limit in ((c.degree, 2.0), (c.strict_degree, 1.0)):
+            assert degree == [sum(w[2] <= limit for w in want if n in w[:2]) for n in range(1, len(points) + 1)]
+
+
+def test_pairs_of_many_rows_in_pieces(monkeypatch):
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    xyz, group = rnd.uniform(0, 9, (200, 3)), np.repeat(np.arange(10), 20)
+    whole = K.cell_pairs(group, xyz, 2.5)
+    want = {(i, j) for i in range(200) for j in range(i + 1, 200) if group[i] == group[j] and math.dist(xyz[i], xyz[j]) <= 2.5}
+    assert set(zip(whole[0].tolist(), whole[1].tolist())) == want and len(whole[0]) == len(want)
+
+
+def test_no_exchange_between_parsing_and_edges(spark):
+    searched = SF.with_contacts(SF.parsed_fragments(requests(spark)), 10.0, 8.0)
+    for table in (SF.edge_rows(searched, 8.0), SF.residue_table(SF.residue_rows(searched))):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    assert SF.edge_rows(searched, 8.0).count() == 2
+
+
+def test_one_sort_gives_all_ranks(spark):
+    rows = [([3.0, 1.0, 2.0],), ([5.0],), ([],), (None,), ([1.0, 2.0, 3.0, 4.0, 10.0],)]
+    got = [r.q for r in spark.createDataFrame(rows, "v array<double>").select(fn.array_quantiles(F.col("v"), [0.0, 0.5, 0.9, 1.0]).alias("q")).collect()]
+    assert got[0] == pytest.approx([1, 2, 2.8, 3]) and got[1] == [5, 5, 5, 5] and got[2] is None and got[3] is None and got[4] == pytest.approx([1, 3, 7.6, 10])
