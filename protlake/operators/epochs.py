@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import bisect
 import math
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-CHUNK = 4096
+from protlake.functions import scalar as fn
+from protlake.operators.ranking import null_safe_join, numbered
+from protlake.session import staged
+
+CHUNK = 4096  # epochs of a chunk
+FAN = 64  # chunks whose step functions are composed together
 
 
 def best_epoch(history: DataFrame, keys: list[str], metric: str = "val_fmax", epoch: str = "epoch") -> DataFrame:
@@ -19,80 +27,167 @@ def best_epoch(history: DataFrame, keys: list[str], metric: str = "val_fmax", ep
         F.max(epoch).alias("epochs_completed")).select(*keys, "__b.*", "epochs_completed")
 
 
-def _numbered(history: DataFrame, keys: list[str], mode: str) -> DataFrame:
-    """Position ``n`` in the run and best earlier value ``__prev``, by epoch chunks so a long run is not one task.
+def _chunks(history: DataFrame, keys: list[str], mode: str) -> DataFrame:
+    """Rows (keys…, __i, __skip, __e, __v): chunks of a run in order, with their epochs and values and how many epochs lie before.
 
-    Values are negated in min mode, so larger is always better; non-finite ones are NULL and never improve.
+    Values are negated in min mode, so larger is always better; non-finite ones are NULL and never improve. A chunk holds ``CHUNK``
+    epochs of the run's order, so a long run lies in many rows and tasks.
     """
+    if mode not in ("min", "max"):
+        raise ValueError(f"unknown mode {mode!r}")
     v = F.col("value").cast("double") * (1.0 if mode == "max" else -1.0)
     finite = ~F.isnan(v) & (F.abs(v) < F.lit(math.inf))
-    rows = history.select(*keys, "epoch", F.when(finite, v).alias("v"), F.floor(F.col("epoch") / CHUNK).alias("__c"))
-    before = W.partitionBy(*keys).orderBy("__c").rowsBetween(W.unboundedPreceding, -1)
-    chunks = rows.groupBy(*keys, "__c").agg(F.count("*").alias("__m"), F.max("v").alias("__top")) \
-        .select(*keys, "__c", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__skip"), F.max("__top").over(before).alias("__best"))
-    inside = W.partitionBy(*keys, "__c").orderBy("epoch")
-    return rows.withColumn("__rn", F.row_number().over(inside)) \
-        .withColumn("__in", F.max("v").over(inside.rowsBetween(W.unboundedPreceding, -1))) \
-        .join(chunks, [*keys, "__c"]) \
-        .select(*keys, "epoch", "v", (F.col("__skip") + F.col("__rn")).alias("n"), F.greatest("__in", "__best").alias("__prev"))
+    rows = numbered(history.select(*keys, "epoch", F.when(finite, v).alias("v")), keys, ["epoch", "v"], "__n")
+    held = rows.groupBy(*keys, F.floor(F.col("__n") / CHUNK).alias("__i")).agg(F.array_sort(F.collect_list(F.struct("__n", "epoch", "v"))).alias("__r"))
+    return held.select(*keys, "__i", (F.col("__i") * CHUNK).alias("__skip"), F.col("__r.epoch").alias("__e"), F.col("__r.v").alias("__v"))
 
 
-def improvements(history: DataFrame, keys: list[str], mode: str = "max", min_delta: float = 0.0, strict: bool = True) -> DataFrame:
-    """Epochs that beat the running best by more than ``min_delta`` (or by at least it when not ``strict``).
+def improving(values: np.ndarray, best: float | None, min_delta: float, strict: bool) -> list[int]:
+    """Positions that beat the best so far by the rule; NaN never does. Only prefix maxima are looked at one by one."""
+    filled = np.where(np.isnan(values), -np.inf, values)
+    earlier = np.concatenate(([-np.inf if best is None else best], np.maximum.accumulate(filled)[:-1] if len(filled) else []))
+    if best is not None:
+        earlier = np.maximum(earlier, best)
+    kept = []
+    for i in np.flatnonzero((filled > -np.inf) & ((filled > earlier) | (filled >= earlier) & (not strict))):
+        v = float(filled[i])
+        if best is None or (v > best + min_delta if strict else v >= best + min_delta):
+            best = v
+            kept.append(int(i))
+    return kept
+
+
+Steps = tuple[list[float], list[float], list[int]]
+
 
-    Each such epoch is a prefix maximum, so only those few rows reach the sequential rule.
+def step_function(values: np.ndarray, skip: int, min_delta: float, strict: bool) -> Steps:
+    """What a chunk does to any best so far: a best that the k-th limit beats, and no earlier one, becomes the k-th (value, epochs by then).
+
+    The limits are the chunk's prefix maxima. From each of them the rule goes on the same way whatever came before, so going through
+    them from the last to the first finds all ends; limits with one end are kept once.
     """
-    if mode not in ("min", "max"):
-        raise ValueError(f"unknown mode {mode!r}")
+    filled = np.where(np.isnan(values), -np.inf, values)
+    ends: dict[int, tuple[float, int]] = {}
+
+    def end(i: int) -> tuple[float, int]:
+        way = []
+        while i not in ends:
+            way.append(i)
+            later = filled[i + 1:]
+            beats = np.flatnonzero(later > filled[i] + min_delta if strict else later >= filled[i] + min_delta)
+            if not len(beats):
+                ends[i] = (float(filled[i]), skip + i + 1)
+                break
+            i += 1 + int(beats[0])
+        for j in way:
+            ends[j] = ends[i]
+        return ends[way[0]] if way else ends[i]
+
+    tops = np.flatnonzero((filled > -np.inf) & (filled > np.concatenate(([-np.inf], np.maximum.accumulate(filled)[:-1] if len(filled) else []))))
+    return _joined([float(filled[i]) for i in tops], [end(int(i)) for i in tops])
+
+
+def _joined(limits: list[float], ends: list[tuple[float, int]]) -> Steps:
+    keep = [k for k in range(len(limits)) if k + 1 == len(limits) or ends[k] != ends[k + 1]]
+    return [limits[k] for k in keep], [ends[k][0] for k in keep], [ends[k][1] for k in keep]
+
+
+def applied(steps: Steps, best: float | None, at: int, min_delta: float, strict: bool) -> tuple[float | None, int]:
+    """(best, epochs by then) behind a chunk."""
+    limits, values, places = steps
+    k = 0 if best is None else (bisect.bisect_right if strict else bisect.bisect_left)(limits, best + min_delta)
+    return (values[k], places[k]) if k < len(limits) else (best, at)
+
+
+def composed(first: Steps, second: Steps, min_delta: float, strict: bool) -> Steps:
+    """One step function for two in a row. A best that the first leaves alone can only be beaten by the second's limits above all of the first's."""
+    ends = [applied(second, v, n, min_delta, strict) for v, n in zip(first[1], first[2])]
+    limits = list(first[0])
+    for limit, v, n in zip(*second):
+        if not limits or limit > limits[-1]:
+            limits.append(limit)
+            ends.append((v, n))
+    return _joined(limits, ends)
+
+
+def _entered(chunks: DataFrame, keys: list[str], min_delta: float, strict: bool) -> DataFrame:
+    """Adds (__best, __at), what each chunk starts from: step functions composed up a tree of fan-out ``FAN`` and states handed down it."""
+    top = chunks.agg(F.max("__i")).first()[0] or 0
+    if top == 0:
+        return chunks.select("*", F.lit(None).cast("double").alias("__best"), F.lit(0).cast("bigint").alias("__at"))
+    steps = F.pandas_udf(lambda v, skip: pd.DataFrame([step_function(np.asarray(a, np.float64), int(s), min_delta, strict) for a, s in zip(v, skip)], columns=["l", "v", "n"]),
+                         "l array<double>, v array<double>, n array<bigint>")
+    level = chunks.select(*keys, "__i", steps("__v", "__skip").alias("__f")).select(*keys, "__i", "__f.*")
+    kinds = ", ".join(f"`{k}` {chunks.schema[k].dataType.simpleString()}" for k in keys)
+    levels = [staged(level, "epoch-steps")]
+    while top >= FAN:
+        def up(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("__i")
+            whole = reduce(lambda a, b: composed(a, b, min_delta, strict), [(list(r.l), list(r.v), list(r.n)) for r in pdf.itertuples()])
+            return pdf.iloc[:1][keys].assign(__i=pdf["__i"].iloc[0] // FAN, l=[whole[0]], v=[whole[1]], n=[whole[2]])
+
+        parents = levels[-1].withColumn("__p", F.floor(F.col("__i") / FAN)).groupBy(*keys, "__p").applyInPandas(
+            lambda pdf: up(pdf.drop(columns="__p")), f"{kinds}, __i bigint, l array<double>, v array<double>, n array<bigint>")
+        levels.append(staged(parents, "epoch-steps"))
+        top //= FAN
+
+    def down(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__i")
+        best = None if pd.isna(pdf["__best"].iloc[0]) else float(pdf["__best"].iloc[0])
+        at, out = int(pdf["__at"].iloc[0]), []
+        for r in pdf.itertuples():
+            out.append((best, at))
+            best, at = applied((list(r.l), list(r.v), list(r.n)), best, at, min_delta, strict)
+        return pdf[[*keys, "__i"]].assign(__best=pd.Series([b for b, _ in out], pdf.index, dtype="float64"), __at=pd.Series([a for _, a in out], pdf.index, dtype="int64"))
+
+    states = levels[-1].select(*keys).distinct().select(*keys, F.lit(0).cast("bigint").alias("__p"), F.lit(None).cast("double").alias("__best"), F.lit(0).cast("bigint").alias("__at"))
+    for level in reversed(levels):
+        placed = null_safe_join(level.withColumn("__p", F.floor(F.col("__i") / FAN)), states, [*keys, "__p"])
+        states = placed.groupBy(*keys, "__p").applyInPandas(lambda pdf: down(pdf), f"{kinds}, __i bigint, __best double, __at bigint").withColumnRenamed("__i", "__p")
+    return null_safe_join(chunks, states.withColumnRenamed("__p", "__i"), [*keys, "__i"])
+
+
+def _improved(history: DataFrame, keys: list[str], mode: str, min_delta: float, strict: bool) -> DataFrame:
+    """Chunks with ``__on``, the positions from 0 that improve. The history is read once."""
     if min_delta < 0:
         raise ValueError("min_delta must not be negative")
-    rows = _numbered(history, keys, mode)
-    beats = F.col("v") > F.col("__prev") if strict else F.col("v") >= F.col("__prev")
-    records = rows.where(F.col("v").isNotNull() & (F.col("__prev").isNull() | beats)).drop("__prev")
-    return records if min_delta == 0 else _fold(records, keys, min_delta, strict)
-
+    entered = _entered(staged(_chunks(history, keys, mode), "epoch-chunks"), keys, min_delta, strict)
+    positions = F.pandas_udf(lambda v, best: pd.Series([improving(np.asarray(a, np.float64), None if pd.isna(b) else float(b), min_delta, strict) for a, b in zip(v, best)]), "array<int>")
+    return entered.withColumn("__on", positions("__v", "__best"))
 
-def _fold(records: DataFrame, keys: list[str], min_delta: float, strict: bool) -> DataFrame:
-    """Apply the delta rule along each run; rows stream in order and only the current best is kept."""
-    names = records.columns
 
-    def scan(batches):
-        run, best = None, None
-        for pdf in batches:
-            kept = []
-            for i, (key, v) in enumerate(zip(pdf[keys].itertuples(index=False, name=None), pdf["v"])):
-                if key != run:
-                    run, best = key, None
-                if best is None or (v > best + min_delta if strict else v >= best + min_delta):
-                    best = v
-                    kept.append(i)
-            yield pdf.iloc[kept] if kept else pd.DataFrame(columns=names).astype(pdf.dtypes)
+def improvements(history: DataFrame, keys: list[str], mode: str = "max", min_delta: float = 0.0, strict: bool = True) -> DataFrame:
+    """Epochs that beat the running best by more than ``min_delta`` (or by at least it when not ``strict``).
 
-    return records.repartition(*keys).sortWithinPartitions(*keys, "n").mapInPandas(scan, records.schema)
+    The rule runs over chunks of a run in parallel: what a chunk does to any best before it is a step function; these are composed in a tree (``_entered``).
+    """
+    found = F.transform("__on", lambda k: F.struct(F.get("__e", k).alias("epoch"), F.get("__v", k).alias("v"), (F.col("__skip") + k + 1).alias("n")))
+    return _improved(history, keys, mode, min_delta, strict).select(*keys, F.inline(found))
 
 
 def early_stop(history: DataFrame, keys: list[str], patience: int, mode: str = "max", min_delta: float = 0.0,
                strict: bool = True) -> DataFrame:
     """Per run: epochs run until ``patience`` epochs in a row bring no improvement, the stop epoch (NULL when the
     run ends first) and the best epoch and value seen by then."""
-    better = improvements(history, keys, mode, min_delta, strict)
-    size = history.groupBy(*keys).agg(F.count("*").alias("epochs_total"))
-    start = size.select(*keys, F.lit(None).cast(history.schema["epoch"].dataType).alias("epoch"),
-                        F.lit(None).cast("double").alias("v"), F.lit(0).cast("bigint").alias("n"))
-    marks = start.unionByName(better.withColumn("n", F.col("n").cast("bigint")))
-    gap = marks.join(size, keys).withColumn(
-        "__next", F.coalesce(F.lead("n").over(W.partitionBy(*keys).orderBy("n")), F.col("epochs_total") + 1)) \
-        .withColumn("__stop", F.when(F.col("__next") - F.col("n") > patience, F.col("n") + patience))
-    stops = gap.groupBy(*keys).agg(F.min("__stop").alias("__stop"), F.first("epochs_total").alias("epochs_total"))
-    best = better.join(stops.select(*keys, "__stop"), keys) \
-        .where(F.col("__stop").isNull() | (F.col("n") <= F.col("__stop"))) \
-        .groupBy(*keys).agg(F.max_by("epoch", "n").alias("best_epoch"), F.max("v").alias("__v"))
-    at = _numbered(history, keys, mode).join(stops.where(F.col("__stop").isNotNull()).select(*keys, "__stop"), keys) \
-        .where(F.col("n") == F.col("__stop")).select(*keys, F.col("epoch").alias("stop_epoch"))
-    sign = F.lit(1.0 if mode == "max" else -1.0)
-    return stops.join(best, keys, "left").join(at, keys, "left").select(
-        *keys, "epochs_total", F.coalesce("__stop", "epochs_total").alias("epochs_run"), "stop_epoch", "best_epoch",
-        (F.col("__v") * sign).alias("best_value"), F.col("__stop").isNotNull().alias("stopped_early"))
+    size, p = F.size("__e"), F.lit(patience)
+    marks = F.concat(F.array(F.col("__at")), F.transform("__on", lambda k: F.col("__skip") + k + 1))  # epochs by the last improvement, and by each here
+    behind = lambda i: F.coalesce(F.get(marks, i + 1), F.col("__skip") + size + 1)
+    stops = F.filter(F.transform(marks, lambda n, i: F.when(behind(i) - n > p, n + p)), lambda n: n.isNotNull())
+    chunk = fn.once(_improved(history, keys, mode, min_delta, strict), stop=F.get(stops, F.lit(0)))
+    seen = F.filter("__on", lambda k: F.col("stop").isNull() | (F.col("__skip") + k + 1 <= F.col("stop")))
+    last = F.get(seen, F.size(seen) - 1)
+    each = fn.once(chunk, last=F.when(F.size(seen) > 0, last)).select(
+        *keys, "__i", size.alias("m"), "stop", F.when(F.col("last").isNotNull(), F.struct("__i", F.get("__e", F.col("last")).alias("e"), F.get("__v", F.col("last")).alias("v"))).alias("best"),
+        F.get("__e", (F.col("stop") - F.col("__skip") - 1).cast("int")).alias("at"))
+    # the first chunk with a stop ends the run; the best one is the last improvement up to it
+    runs = each.groupBy(*keys).agg(
+        F.sum("m").alias("epochs_total"), F.min(F.when(F.col("stop").isNotNull(), F.struct("__i", "stop", "at"))).alias("end"),
+        F.array_sort(F.collect_list("best")).alias("bests"))
+    before = F.filter("bests", lambda b: F.col("end").isNull() | (b["__i"] <= F.col("end.__i")))
+    best, sign = F.get(before, F.size(before) - 1), F.lit(1.0 if mode == "max" else -1.0)
+    return runs.select(
+        *keys, "epochs_total", F.coalesce("end.stop", "epochs_total").alias("epochs_run"), F.col("end.at").alias("stop_epoch"), best.e.alias("best_epoch"),
+        (best.v * sign).alias("best_value"), F.col("end").isNotNull().alias("stopped_early"))
 
 
 def run_rollup(runs: DataFrame, keys: list[str]) -> DataFrame:

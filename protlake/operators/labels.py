@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from protlake import constants as C
-from protlake.operators.ranking import top_k
+from protlake.operators.ranking import numbered, top_k
 
 
 def explode_labels(entries: DataFrame, labels: str = "labels", keep: tuple[str, ...] = ("entry_id",)) -> DataFrame:
@@ -31,10 +31,10 @@ def term_counts(labels: DataFrame, distinct: bool = False) -> DataFrame:
 def vocabulary(counts: DataFrame, min_count: int = 1) -> DataFrame:
     """Terms with enough occurrences and their index in sorted order per aspect.
 
-    The input is already one row per term, a table the size of the ontology.
+    The terms of an aspect are numbered over several tasks (``ranking.numbered``).
     """
-    return counts.where(F.col("n") >= min_count).select(
-        "aspect", "term", "n", (F.row_number().over(W.partitionBy("aspect").orderBy("term")) - 1).alias("term_index"))
+    return numbered(counts.where(F.col("n") >= min_count).select("aspect", "term", "n"), ["aspect"], ["term"], "term_index") \
+        .withColumn("term_index", F.col("term_index").cast("int"))
 
 
 def encode_labels(labels: DataFrame, vocab: DataFrame) -> DataFrame:

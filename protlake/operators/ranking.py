@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from protlake.functions import scalar as fn
+from protlake.session import Scratch, staged
 
 
 # Spark prunes each map task to k rows per key (WindowGroupLimit) only up to this k.
@@ -78,46 +81,100 @@ def hash_rank(df: DataFrame, keys: list[str], id_col: str, seed: int, prefix: in
         (F.col("__before") + F.col("__local")).alias("hash_rank"), "group_size", *(["group_info"] if per_group else []))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], cuts: int = 64) -> DataFrame:
+DIGIT = 16  # bits that a counting pass settles
+_WIDTH = 64
+
+
+@F.arrow_udf("bigint")
+def _order_bits(values: pa.Array) -> pa.Array:
+    """Doubles as signed integers of the same order; both zeros are one value, NaN is the largest."""
+    v = values.to_numpy(zero_copy_only=False) + 0.0
+    v[np.isnan(v)] = np.nan
+    bits = v.view(np.int64)
+    return pa.array(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits))
+
+
+@F.arrow_udf("double")
+def _from_order_bits(bits: pa.Array) -> pa.Array:
+    b = bits.to_numpy(zero_copy_only=False)
+    return pa.array(np.where(b < 0, b ^ np.int64(2**63 - 1), b).view(np.float64))
+
+
+def wanted_ranks(counts: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """(keys…, rank): the ranks from 0 that linear interpolation at ``probs`` needs, from (keys…, __total)."""
+    at = [F.lit(float(p)) * (F.col("__total") - 1) for p in probs]
+    return counts.select(*keys, F.explode(F.array_distinct(F.array(*[f(p).cast("bigint") for p in at for f in (F.floor, F.ceil)]))).alias("rank"))
+
+
+def values_at(coded: DataFrame, keys: list[str], probs: list[float], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(keys…, rank, __v) and (keys…, __total): the values that ``probs`` need, by radix selection over (keys…, __k) in order bits.
+
+    A pass counts the next ``DIGIT`` bits of the rows that share a prefix with a wanted value and so settles them. Only counts
+    are shuffled, combined before and at most 2**DIGIT for each key and open prefix, however many rows a key has.
+    """
+    w = W.partitionBy(*keys, "__p").orderBy("__d").rowsBetween(W.unboundedPreceding, W.currentRow)
+
+    def counted(settled: int, wanted: DataFrame | None) -> DataFrame:
+        prefix = F.shiftright("__k", _WIDTH - settled) if settled else F.lit(0).cast("bigint")
+        digit = F.shiftright("__k", _WIDTH - settled - DIGIT)
+        rows = coded.select(*keys, prefix.alias("__p"), (digit.bitwiseAND(F.lit(2**DIGIT - 1)) if settled else digit).alias("__d"))
+        if wanted is not None:
+            rows = null_safe_join(rows, wanted.select(*keys, "__p").distinct(), [*keys, "__p"], "left_semi")
+        return rows.groupBy(*keys, "__p", "__d").agg(F.count("*").alias("__n"))
+
+    def narrowed(wanted: DataFrame, counts: DataFrame, settled: int) -> DataFrame:
+        ends = counts.withColumn("__end", F.sum("__n").over(w))
+        hit = null_safe_join(wanted, ends, [*keys, "__p"]).where((F.col("__left") < F.col("__end")) & (F.col("__left") >= F.col("__end") - F.col("__n")))
+        base = F.shiftleft("__p", DIGIT) if settled else F.lit(0).cast("bigint")
+        return hit.select(*keys, "rank", (F.col("__left") - F.col("__end") + F.col("__n")).alias("__left"), (base + F.col("__d")).alias("__p"))
+
+    first = scratch.table(counted(0, None))
+    totals = first.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+    wanted = wanted_ranks(totals, keys, probs).select(*keys, "rank", F.col("rank").alias("__left"), F.lit(0).cast("bigint").alias("__p"))
+    wanted = narrowed(wanted, first, 0)
+    for settled in range(DIGIT, _WIDTH, DIGIT):
+        wanted = narrowed(wanted, counted(settled, wanted), settled)
+        if settled + DIGIT < _WIDTH:
+            wanted = scratch.table(wanted)
+    return wanted.select(*keys, "rank", _from_order_bits("__p").alias("__v")), totals
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """Exact linear-interpolated quantiles: one row per key and probability ``(keys…, q, quantile)``.
 
-    Built-in ``percentile`` keeps every distinct value of a key in one buffer. Here values are first
-    counted, then spread over approximate-quantile buckets of nearly equal size; only the buckets that
-    hold a wanted rank are sorted, each on its own.
+    Built-in ``percentile`` keeps every distinct value of a key in one buffer. Here the wanted ranks are found by radix
+    selection (``values_at``), so no task holds, sorts or windows the values of a key. NULL values do not count; NaN is the largest value.
     """
-    src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    grid = fn.double_array([i / cuts for i in range(1, cuts)])
-    shape = src.groupBy(*keys).agg(
-        F.percentile_approx("__v", grid, 10 * cuts).alias("__cuts"), F.count("*").alias("__total"))
-    wanted = F.transform(fn.double_array(probs), lambda p: F.struct(
-        p.alias("q"), F.floor(p * (F.col("__total") - 1)).alias("low"), F.ceil(p * (F.col("__total") - 1)).alias("high"),
-        (p * (F.col("__total") - 1)).alias("pos")))
-    counted = src.groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
-    if keys:
-        located = null_safe_join(counted, shape, keys)
-    else:
-        located = counted.withColumn("__cuts", shape.select("__cuts").scalar())
-    located = located.withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts", "__total")
-    offsets = bucket_offsets(located, keys, "__b", F.col("__n")) \
-        .withColumn("__wanted", F.filter(wanted, lambda w: (w.high >= F.col("__before"))
-                                         & (w.low < F.col("__before") + F.col("__size")))) \
-        .where(F.size("__wanted") > 0).drop("__size", "__total")
-    inside = null_safe_join(located, offsets, [*keys, "__b"])
-    running = W.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = inside.withColumn("__end", F.col("__before") + F.sum("__n").over(running)) \
-        .withColumn("__start", F.col("__end") - F.col("__n"))
-    hits = ranked.withColumn("__w", F.explode("__wanted"))
-
-    def value_at(rank: str) -> Column:
-        r = F.col(f"__w.{rank}")
-        return F.max(F.when((r >= F.col("__start")) & (r < F.col("__end")), F.col("__v")))
-
-    both = hits.groupBy(*keys, F.col("__w.q").alias("q")).agg(
-        value_at("low").alias("__low"), value_at("high").alias("__high"),
-        F.max("__w.pos").alias("__pos"))
-    return both.select(
-        *keys, "q",
-        (F.col("__low") + (F.col("__high") - F.col("__low")) * (F.col("__pos") - F.floor("__pos"))).alias("quantile"))
+    if not keys:
+        return exact_quantiles(df.withColumn("__one", F.lit(1)), ["__one"], value, probs).drop("__one")
+    with Scratch(df.sparkSession, "quantiles") as scratch:
+        coded = scratch.table(df.where(F.col(value).isNotNull()).select(*keys, _order_bits(F.col(value).cast("double")).alias("__k")))
+        found, totals = values_at(coded, keys, probs, scratch)
+        at = F.transform(fn.double_array(probs), lambda p: F.struct(p.alias("q"), (p * (F.col("__total") - 1)).alias("pos")))
+        # each value goes to the probabilities that lie next to its rank
+        beside = F.filter("__at", lambda a: F.abs(a.pos - F.col("rank")) < 1)
+        shares = null_safe_join(found, totals.withColumn("__at", at), keys).select(*keys, "__v", "rank", F.explode(beside).alias("__a")) \
+            .withColumn("__end", F.struct(F.col("rank") - F.col("__a.pos"), "__v"))
+        ends = shares.groupBy(*keys, F.col("__a.q").alias("q")).agg(F.min("__end").alias("low"), F.max("__end").alias("high"))
+        low, high = (F.col(f"{e}.__v") for e in ("low", "high"))
+        part = -F.col("low.col1")
+        return staged(ends.select(*keys, "q", F.when((part == 0) | (low == high), low).otherwise(low * (1 - part) + high * part).alias("quantile")), "quantiles")
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Rows numbered from 0 in order of ``order`` within each key, by a distributed prefix scan.
+
+    Rows are dealt out in ranges of (keys, order), so a large key lies in several tasks. Each row's place in its range is known from
+    the sorted write; the places before a range follow from the ranges' row counts, one per key and range.
+    """
+    place = F.monotonically_increasing_id()  # range number in the upper bits, place in the lower 33
+    with Scratch(df.sparkSession, "numbered") as scratch:
+        ranged = scratch.table(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__at", place))
+        parts = ranged.groupBy(*keys, F.shiftright("__at", 33).alias("__part")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+        before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+        offsets = parts.select(*keys, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
+        located = ranged.withColumn("__part", F.shiftright("__at", 33))
+        return staged(null_safe_join(located, offsets, [*keys, "__part"]).select(*df.columns, (F.col("__at") + F.col("__shift")).alias(name)), "numbered")
 
 
 SUMMARY_PROBS = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}

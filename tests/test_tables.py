@@ -1,12 +1,14 @@
 import json
 import random
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from protlake import schemas
 from protlake.operators import audit, checks, epochs as E, fragments as FR, labels as L, ranking, sequences as Q, splits as S
 from protlake.plans import protein_tables as PT, reports
+from protlake.session import Scratch
 from protlake.sources import runs, sinks, structures as ST, text
 from protlake.streaming import incremental as INC
 
@@ -161,7 +163,7 @@ def test_exact_quantiles_match_builtin(spark):
     data = [("hot", float(rnd.choice([1, 1, 1, 2, rnd.gauss(0, 50)]))) for _ in range(3000)] + [("one", 5.0), (None, 1.0), (None, 2.0), ("hot", None)]
     df = spark.createDataFrame(data, "k string, v double")
     probs = [0.0, 0.1, 0.5, 0.9, 0.99, 1.0]
-    got = {(r.k, r.q): r.quantile for r in ranking.exact_quantiles(df, ["k"], "v", probs, cuts=16).collect()}
+    got = {(r.k, r.q): r.quantile for r in ranking.exact_quantiles(df, ["k"], "v", probs).collect()}
     for r in df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("p")).collect():
         for q, v in zip(probs, r.p):
             assert got[(r.k, q)] == pytest.approx(v), (r.k, q)
@@ -183,6 +185,7 @@ def brute_stop(values, patience, mode, delta):
 @pytest.mark.parametrize("mode,delta,patience", [("max", 0.0, 3), ("min", 0.0, 2), ("max", 0.3, 4), ("min", 0.25, 5)])
 def test_early_stop_equals_sequential_rule(spark, monkeypatch, mode, delta, patience):
     monkeypatch.setattr(E, "CHUNK", 4)
+    monkeypatch.setattr(E, "FAN", 2)  # a tree of several levels
     rnd = random.Random(patience)
     hist, want = [], {}
     for run in range(30):
@@ -194,6 +197,71 @@ def test_early_stop_equals_sequential_rule(spark, monkeypatch, mode, delta, pati
     assert got == want
 
 
+@pytest.mark.parametrize("strict", [True, False])
+def test_step_functions_compose_to_the_sequential_rule(strict):
+    rnd = random.Random(8)
+    for _ in range(300):
+        values = np.array([rnd.choice([rnd.randint(0, 8) / 4, float("nan"), 1.0]) for _ in range(rnd.randint(0, 14))])
+        delta, cut, best = rnd.choice([0.0, 0.25, 0.6]), rnd.randint(0, len(values)), rnd.choice([None, 0.5, 1.25, -1.0])
+        on = E.improving(values, best, delta, strict)
+        want = (float(values[on[-1]]), on[-1] + 1) if on else (best, 0)
+        parts = [E.step_function(values[:cut], 0, delta, strict), E.step_function(values[cut:], cut, delta, strict)]
+        assert E.applied(E.composed(*parts, delta, strict), best, 0, delta, strict) == want
+        assert E.applied(parts[1], *E.applied(parts[0], best, 0, delta, strict), delta, strict) == want
+
+
+def test_long_run_spreads_over_tasks(spark):
+    n = 60_000
+    df = spark.range(n).select(F.lit("hot").alias("run"), F.col("id").alias("epoch"), ((F.col("id") * 7919) % 10007 + F.col("id") / 100).alias("value"))
+    values = [i * 7919 % 10007 + i / 100 for i in range(n)]
+    best, kept = None, []
+    for i, v in enumerate(values):
+        if best is None or v > best + 20:
+            best = v
+            kept.append(i)
+    chunks = E._chunks(df.repartition(8), ["run"], "max")
+    assert chunks.count() == -(-n // E.CHUNK) and chunks.agg(F.max(F.size("__e"))).first()[0] == E.CHUNK
+    assert [r.epoch for r in E.improvements(df, ["run"], min_delta=20.0).orderBy("epoch").collect()] == kept
+
+
+def test_numbers_of_a_large_key_come_from_several_tasks(spark):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.lit(None)).otherwise("hot").alias("k"), F.md5(F.col("id").cast("string")).alias("t"))
+        got = ranking.numbered(rows, ["k"], ["t"], "n")
+        want = rows.select("*", (F.row_number().over(Window.partitionBy("k").orderBy("t")) - 1).alias("n"))
+        assert got.exceptAll(want).isEmpty() and got.count() == 20_000
+        assert rows.repartitionByRange("k", "t").where("k = 'hot'").select(F.spark_partition_id()).distinct().count() > 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert ranking.numbered(rows.limit(0), ["k"], ["t"], "n").count() == 0
+
+
+def test_quantiles_of_odd_values_match_builtin(spark):
+    nan, inf = float("nan"), float("inf")
+    rnd = random.Random(6)
+    data = [("zeros", v) for v in (-0.0, 0.0, -0.0, 0.0)] + [("nan", v) for v in (1.0, nan, 2.0, nan)] + [("inf", v) for v in (-inf, inf, 1e-300, -1e-300, 5e-324, 1e308)]
+    data += [("ties", 3.5)] * 50 + [("near", 1.0 + i * 2.0**-52) for i in range(9)] + [("gauss", rnd.gauss(0, 1) * 10 ** rnd.randint(-9, 9)) for _ in range(500)] + [("none", None)]
+    df, probs = spark.createDataFrame(data, "k string, v double").repartition(3), [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {(r.k, r.q): r.quantile for r in ranking.exact_quantiles(df, ["k"], "v", probs).collect()}
+    want = {(r.k, q): v for r in df.where("v is not null").groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("p")).collect() for q, v in zip(probs, r.p)}
+    assert got.keys() == want.keys()
+    assert not [(k, got[k], v) for k, v in want.items() if not (got[k] == v or (got[k] != got[k] and v != v) or got[k] == pytest.approx(v, rel=1e-12))]
+    assert ranking.exact_quantiles(df.limit(0), ["k"], "v", probs).count() == 0 and ranking.exact_quantiles(df.limit(0), [], "v", probs).count() == 0
+
+
+def test_hot_key_quantiles_count_digits_only(spark):
+    df = spark.range(1_000_000).select(F.lit("hot").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 7).alias("v"))
+    got = [r.quantile for r in ranking.exact_quantiles(df, ["k"], "v", [0.5, 0.9]).orderBy("q").collect()]
+    assert got == pytest.approx(df.agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.9))).alias("p")).first().p)
+    with Scratch(spark, "t") as scratch:
+        coded = df.select("k", F.col("v").cast("bigint").alias("__k"))
+        found, _ = ranking.values_at(coded, ["k"], [0.5], scratch)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Window" in line and "__k" in line]
+
+
 def test_improvement_rule(spark):
     def better(values, **kw):
         df = spark.createDataFrame([("r", i, v) for i, v in enumerate(values)], "run string, epoch long, value double")
