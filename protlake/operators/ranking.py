@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from protlake.functions import scalar as fn
 from protlake.session import Scratch, staged
@@ -85,7 +85,7 @@ DIGIT = 16  # bits that a counting pass settles
 _WIDTH = 64
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(T.LongType())
 def _order_bits(values: pa.Array) -> pa.Array:
     """Doubles as signed integers of the same order; both zeros are one value, NaN is the largest."""
     v = values.to_numpy(zero_copy_only=False) + 0.0
@@ -94,7 +94,7 @@ def _order_bits(values: pa.Array) -> pa.Array:
     return pa.array(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _from_order_bits(bits: pa.Array) -> pa.Array:
     b = bits.to_numpy(zero_copy_only=False)
     return pa.array(np.where(b < 0, b ^ np.int64(2**63 - 1), b).view(np.float64))
