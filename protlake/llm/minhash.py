@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from protlake.llm import textkit as tk
+from protlake.llm.keys import with_text_ids
+from protlake.operators.ranking import best_per_group
 from protlake.session import Scratch, staged
 
 BANDS, ROWS = 24, 5
@@ -277,10 +279,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` with one document of each class, the one with the smallest doc_id, and one row of each repeated doc_id.
+    """The rows of ``docs`` with one document of each class: the one with the smallest doc_id and, of several texts under it, the smallest hash.
 
-    Columns stay as they are, whatever their names. Rows without a doc_id stay.
+    Different texts under one doc_id are different documents, the further ones in order behind all doc_ids; a row goes only if a row of its own class stays. Of
+    rows that repeat a doc_id and its text one stays, by the hash of its other columns. Columns stay as they are, whatever their names. Rows without a doc_id stay.
     """
-    kept = near_duplicates(docs, threshold).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct().hint("merge")
-    one = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null"))
+    named, repeated = with_text_ids(docs.filter("doc_id is not null"))
+    kept = (near_duplicates(named.select(F.col("__id").alias("doc_id"), "text"), threshold).filter("kept").select(F.col("doc_id").alias("__kept")).distinct().hint("merge"))
+    one = named.join(kept, F.col("__id") == F.col("__kept"), "left_semi")
+    if repeated:
+        one = best_per_group(one, ["__id"], [F.sha2(F.to_json(F.struct(*docs.columns)), 256)])
+    return one.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

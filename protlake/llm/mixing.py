@@ -16,12 +16,15 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from protlake.llm.keys import spread
 from protlake.session import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
-SHARDS, BLOCKS_PER_SHARD = 8, 256
+LEAST_SHARDS, SHARD_WORDS = 8, 1 << 24  # shards are a power of two, as many as have at most so many words each, but not fewer
+BLOCKS_PER_SHARD = 256
+RUNS = 16  # a shard's order is written in so many parts
 SEED = 20240601
 
 
@@ -90,28 +93,34 @@ def permuted(x: str, n: str, key: str, rounds: int = 24) -> Column:
         if(pmod(xxhash64({key}, r, greatest(v, pmod(pmod(xxhash64({key}, r), {n}) - v, {n})), 1), 2) = 1, pmod(pmod(xxhash64({key}, r), {n}) - v, {n}), v))""")
 
 
-def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, shards: int | None = None, seed: int = SEED) -> DataFrame:
     """All rows of ``docs`` with what the mix takes of them, one output row for each time it takes some.
 
     ``payload`` (the row), ``row`` (its place: source number, bucket, number; unique), ``size``, ``source_size``, ``target``, ``pass``,
     ``words`` (the words taken in this pass, counted from the text's start), ``shard`` and ``place`` (order in the shard). A row the mix leaves out comes once, with null
     ``pass`` and ``shard`` and no words. Only the last document of a source's stretch is cut, so each source gives round(target) words and a document gives at most
     ceil(cap) times its own. Needs ``doc_id``, ``source`` and ``text``; null texts have no words, a null source is a source of its own, null and
-    repeated doc_ids are allowed (equal rows may stand for each other), an empty table gives no rows. ``shards`` is a power of two.
+    repeated doc_ids are allowed (equal rows may stand for each other), an empty table gives no rows. ``shards`` is a power of two; without it as many
+    as the mix has ``SHARD_WORDS`` words, ``LEAST_SHARDS`` at least.
     """
-    levels = shards.bit_length() - 1
-    if shards < 1 or 2 ** levels != shards:
-        raise ValueError("shards must be a power of two")
     buckets = max(1, math.isqrt(docs.count()))
     key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("payload"), F.col("doc_id").alias("__id"), F.col("source").cast("string").alias("source"),
-                       words(F.col("text").cast("string")).alias("size"), key.alias("order"),
-                       F.pmod(F.xxhash64(key, F.lit(1)), F.lit(buckets)).cast("int").alias("bucket"))
+                       words(F.col("text").cast("string")).alias("size"), key.alias("order"))
+    rows = spread(rows, "order", 4 * buckets).withColumn("bucket", F.pmod(F.xxhash64("order", F.lit(1)), F.lit(buckets)).cast("int"))
     # one small row for each source and bucket: few files, whatever the number of shuffle partitions
     sums = staged(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")).coalesce(1 + buckets // 1024), "mix-buckets")
     goals = staged(targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, cap)
                    .withColumn("stretch", F.round("target").cast("long")), "mix-targets")
 
+    if shards is None:
+        shards = LEAST_SHARDS
+        while shards * SHARD_WORDS < (goals.agg(F.sum("stretch")).first()[0] or 0):
+            shards *= 2
+    levels = shards.bit_length() - 1
+    if shards < 1 or 2 ** levels != shards:
+        raise ValueError("shards must be a power of two")
+
     # blocks of each source, and the shard of every block
     all_words = F.sum("stretch").over(Window.partitionBy(F.lit(0)))
     per_block = F.greatest(F.lit(1), F.ceil(all_words / (shards * BLOCKS_PER_SHARD))).cast("long")
@@ -149,8 +158,13 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
-    """The mixed table itself: columns of ``docs``; a document taken twice comes twice, the cut one with its first words (n_chars set anew)."""
+    """The mixed table itself: columns of ``docs``; a document taken twice comes twice, the cut one with its first words (n_chars set anew).
+
+    Rows lie by shard and in the shard's order: each task has whole parts, of ``RUNS``, of the shards' orders, one after the other.
+    """
     took = mixed(docs, **how).filter("shard is not null and words > 0")
+    run = F.floor((F.col("place") / F.lit(2.0**64) + 0.5) * RUNS)
+    took = took.withColumn("__run", run).repartition("shard", "__run").sortWithinPartitions("shard", "place")
     cut = F.col("words") < F.col("size")
     text = F.when(cut, first_words(F.col("payload.text").cast("string"), F.col("words"))).otherwise(F.col("payload").getField("text"))
     took = took.withColumn("__text", text)

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from protlake.llm.keys import spread
 from protlake.llm.mixing import WORD, words
 
 CAPACITIES = (256, 512, 1024, 2048, 4096, 8192)
@@ -94,20 +95,16 @@ def packed(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, group: int =
     pieces = pieces.select(*columns)
     total = sized.agg(F.sum(count)).first()[0] or 0
     groups = max(1, -(-int(total) // group))
-    # rows without an id or equal rows still spread: the key takes in the length
-    key = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "piece", "words"), F.lit(groups)).cast("int")
+    # pieces without words need no bin; equal pieces, which share a hash, are told apart by a number
+    blank = pieces.filter("words = 0").select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in (("bin_id", "long"), ("capacity", "int"), ("bin_offset", "int"))])
+    hashed = spread(pieces.filter("words > 0").withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "piece", "words")), "key", max(1, group // 4))
+    dealt = hashed.withColumn("key", F.pmod("key", F.lit(groups)).cast("int"))
     schema = "doc_id long, piece int, words int, bin_id long, capacity int, bin_offset int" + (", text string" if with_text else "")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["words", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        some = part["words"] > 0
-        bins, offsets, limits = best_fit(part.loc[some, "words"].tolist(), capacities)
-        part = part.assign(bin_id=pd.array([None] * len(part), "Int64"), capacity=pd.array([None] * len(part), "Int32"),
-                           bin_offset=pd.array([None] * len(part), "Int32"))
-        if bins:
-            part.loc[some, "bin_id"] = [int(part["key"].iloc[0]) * (1 << 32) + b for b in bins]
-            part.loc[some, "capacity"] = [limits[b] for b in bins]
-            part.loc[some, "bin_offset"] = offsets
+        bins, offsets, limits = best_fit(part["words"].tolist(), capacities)
+        part = part.assign(bin_id=[int(part["key"].iloc[0]) * (1 << 32) + b for b in bins], capacity=[limits[b] for b in bins], bin_offset=offsets)
         return part[["doc_id", "piece", "words", "bin_id", "capacity", "bin_offset"] + (["text"] if with_text else [])]
 
-    return pieces.withColumn("key", key).groupBy("key").applyInPandas(run, schema)
+    return dealt.groupBy("key").applyInPandas(run, schema).unionByName(blank)

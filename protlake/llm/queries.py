@@ -82,10 +82,10 @@ def op8_exact_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the words that the mix takes of it."""
+    """Every document with the words that the mix takes of it and the shards it goes to, one for each time it is taken."""
     took = mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return (took.groupBy("row", F.col("payload.doc_id").alias("doc_id"), "size", "source_size", "target").agg(F.sum("words").alias("taken"))
-            .select("doc_id", "size", "source_size", "target", "taken"))
+    return (took.groupBy("row", F.col("payload.doc_id").alias("doc_id"), "size", "source_size", "target").agg(
+        F.sum("words").alias("taken"), F.array_sort(F.collect_list("shard")).alias("shards")).select("doc_id", "size", "source_size", "target", "taken", "shards"))
 
 
 def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:

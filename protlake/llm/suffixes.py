@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from protlake.llm import textkit as tk
+from protlake.llm.keys import with_text_ids
 from protlake.session import Scratch, staged
 
 LENGTH, HEAD = 50, 10
@@ -242,10 +243,12 @@ def cut(text: Column, spans: Column) -> Column:
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated passages cut from the text (and n_chars, if there, set anew).
 
-    A document of which no word is left goes; one without repeats stays as it is, and so do null and empty texts. Columns stay.
+    A document of which no word is left goes; one without repeats stays as it is, and so do null and empty texts and rows without a doc_id. Different texts under one doc_id are
+    different documents, the further ones later than all doc_ids; a text loses only its own passages. Columns stay.
     """
-    spans = repeated_passages(docs, length).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans.hint("merge"), F.col("doc_id").cast("long") == F.col("__id"), "left")
+    named, _ = with_text_ids(docs, "__doc")
+    spans = repeated_passages(named.select(F.col("__doc").alias("doc_id"), "text"), length).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
+    joined = named.join(spans.hint("merge"), F.col("__doc") == F.col("__id"), "left")
     hit = F.col("__spans").isNotNull()
     joined = joined.withColumn("__cut", cut(F.when(hit, F.col("text").cast("string")), F.col("__spans")))
     joined = joined.filter(~hit | F.col("__cut").rlike(r"[^\x20\x09-\x0D]"))

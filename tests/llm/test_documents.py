@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from protlake.llm import cotrain, minhash, mixing, packing, suffixes, wordpiece
 from tests.llm.support import DOC_SCHEMA, near_classes, odd_documents, repeats, sentence, with_clashes
 
@@ -322,3 +324,51 @@ def test_splitting_tree_keeps_quotas(spark):
     assert [sum(r.quotas[i] for r in leaves) for i in range(4)] == quotas
     assert max(sum(r.quotas) for r in leaves) - min(sum(r.quotas) for r in leaves) <= 1
     assert all(q >= 0 for r in leaves for q in r.quotas)
+
+
+def test_different_texts_under_one_id_are_not_lost(spark):
+    passage = sentence(99, 60)
+    clean, other = sentence(50, 100), sentence(51, 90)
+    rows = [(1, passage + " " + sentence(1, 30), "a"), (2, passage + " " + sentence(2, 30), "a"), (2, clean, "a"), (3, other, "x"), (3, other, "b"), (3, clean, "a"), (4, other, "a"), (None, other, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __t string").repartition(3)
+    after = Counter((r.doc_id, r.text.strip()) for r in suffixes.without_repeats(docs).collect())
+    # of (2, clean) and (3, clean) one is the earlier, (4, other) is later than (3, other): 60 words of P go from document 2
+    assert after[1, rows[0][1]] == 1 and after[2, sentence(2, 30)] == 1 and after[3, other] == 2 and after[None, other] == 1
+    assert after[2, clean] + after[3, clean] == 1 and sum(after.values()) == 6
+    for _ in range(2):
+        got = Counter(tuple(r) for r in minhash.deduplicated(docs).collect())
+        assert {t for _, t, _ in got} == {t for _, t, _ in rows} and sum(got.values()) == 5
+        assert sum(n for (d, t, _), n in got.items() if t == other and d == 3) == 1 and got == Counter(tuple(r) for r in minhash.deduplicated(docs.repartition(5)).collect())
+
+
+def test_equal_rows_do_not_meet_in_one_group(spark):
+    rows = [(7, sentence(1, 5), "en", "a", 1)] * 8000 + [(i, sentence(i, 5 + i % 7), "en", "b", 1) for i in range(4000)] + [(None, " ", "en", None, 1)] * 3000
+    docs = with_clashes(spark.createDataFrame(rows, DOC_SCHEMA).repartition(4))
+    packs = packing.packed(docs, (64, 256), group=256, with_text=True)
+    held = Counter(r.bin_id >> 32 for r in packs.filter("bin_id is not null").select("bin_id").collect())
+    assert max(held.values()) <= 2 * 256 and sum(held.values()) == 12_000
+    check_packing(packs.collect(), texts(docs), (64, 256))
+    mixed = mixing.mixed(docs)
+    rows_out = mixed.select("row", "words", "size", "source_size", "target").distinct().collect()
+    held = Counter(tuple(r.row)[:2] for r in mixed.select("row").distinct().collect())
+    assert max(held.values()) <= 2 * 4 * 122 and sum(held.values()) == docs.count() and rows_out
+    check_mix(docs)
+
+
+def test_mixture_lies_by_shard_and_place(spark):
+    docs = spark.createDataFrame([(i, sentence(i, 20 + i % 30), "en", "ab"[i % 2], 1) for i in range(3000)], DOC_SCHEMA)
+    took = mixing.mixed(docs, shards=4).withColumn("source_no", F.col("row.source_no")).filter("shard is not null and words > 0")
+    places = {(r.doc_id, n): (r.shard, r.place) for r, n in ((r, r["pass"]) for r in took.select("payload.doc_id", "pass", "shard", "place").collect())}
+    of = defaultdict(list)
+    for (doc_id, _), place in places.items():
+        of[doc_id].append(place)
+    for part in mixing.mixture(docs, shards=4).rdd.glom().map(lambda rows: [r.doc_id for r in rows]).collect():
+        at = (-1, 0)
+        for doc_id in part:  # in ascending (shard, place): each row can take one of its document's places behind the last
+            at = min(p for p in of[doc_id] if p > at)
+    # the tree's quotas: words of a source in a shard are those of its blocks
+    quota = took.groupBy("source_no", "shard").agg(F.sum("words").alias("w")).collect()
+    whole = took.groupBy("source_no").agg(F.sum("words").alias("w")).collect()
+    for r in whole:
+        each = [q.w for q in quota if q.source_no == r.source_no]
+        assert len(each) == 4 and max(each) - min(each) < 0.25 * r.w

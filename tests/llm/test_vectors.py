@@ -102,3 +102,16 @@ def test_short_queries_go_on_to_all_vectors(spark):
     want = brute(table, False, False)
     assert [(q, n) for q, n, *_ in got] == [(q, n) for q, n, *_ in want]
     assert all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(got, want, strict=True) if a[0] >= 1000)
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    rng = np.random.default_rng(7)
+    table = [(i, [float(x) for x in rng.uniform(-1, 1, 8) * (1e6 if i in (3, 20, 44) else 1.0)]) for i in range(80)] + [(99, [3.7e6] * 8), (140, [3.7e6] * 7 + [3.7e6 + 1 / 64])]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_scores(df, df.filter("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in table}
+    want = []
+    for q in sorted(i for i in whole if i % 20 == 0):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:20]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == want and max(abs(r[3]) for r in got) > 2**53
