@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from protlake.llm.keys import spread
 from protlake.llm.mixing import WORD, words
+from protlake.session import staged
 
 CAPACITIES = (256, 512, 1024, 2048, 4096, 8192)
 GROUP = 1024  # pieces packed together
@@ -92,9 +93,8 @@ def packed(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, group: int =
     if with_text:
         part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), start.cast("int") + 1, F.lit(top)), " ")
         columns.append(F.when(F.col("size") <= top, F.col("text")).otherwise(part).alias("text"))
-    pieces = pieces.select(*columns)
-    total = sized.agg(F.sum(count)).first()[0] or 0
-    groups = max(1, -(-int(total) // group))
+    pieces = staged(pieces.select(*columns), "pieces")  # read several times: texts are split once
+    groups = max(1, -(-pieces.count() // group))
     # pieces without words need no bin; equal pieces, which share a hash, are told apart by a number
     blank = pieces.filter("words = 0").select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in (("bin_id", "long"), ("capacity", "int"), ("bin_offset", "int"))])
     hashed = spread(pieces.filter("words > 0").withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "piece", "words")), "key", max(1, group // 4))
