@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from protlake.catalog import views as V
 from protlake.catalog.registry import query, rounded, table
 from protlake.functions import scalar as fn
+from protlake.session import staged
 from protlake.operators import audit, checks, labels as L, ranking, reshape, splits as S
 
 RATIOS = (0.7, 0.15, 0.15)
@@ -188,6 +189,18 @@ def audit_overview(spark, sf):
     return rounded(audit.overview(V.entries(spark, sf)))
 
 
+@query("sketched_quantiles", """SELECT o_orderpriority, q, TRUE AS within_bound, count(*) AS n FROM orders, (SELECT unnest([0.1, 0.5, 0.9, 0.99]::DOUBLE[]) AS q) GROUP BY 1, 2""")
+def sketched_quantiles(spark, sf):
+    """Sketches of eight parts of the table, stored and merged on read: is the exact rank of each answer within the bound?"""
+    orders = table(spark, sf, "orders").select("o_orderpriority", F.col("o_totalprice").cast("double").alias("v"), F.pmod(F.xxhash64("o_orderkey"), F.lit(8)).alias("part"))
+    stored = staged(ranking.value_sketches(orders, ["o_orderpriority", "part"], "v"), "sketches")
+    found = ranking.sketched_quantiles(stored, ["o_orderpriority"], [0.1, 0.5, 0.9, 0.99])
+    ranks = orders.join(found, "o_orderpriority").groupBy("o_orderpriority", "q").agg(
+        F.count_if(F.col("v") < F.col("quantile")).alias("below"), F.count_if(F.col("v") <= F.col("quantile")).alias("upto"), F.count("*").alias("n"))
+    q, bound = F.col("q") * F.col("n"), F.lit(ranking.SKETCH_BOUND) * F.col("n") + 1
+    return ranks.select("o_orderpriority", "q", ((F.col("below") - bound <= q) & (q <= F.col("upto") + bound)).alias("within_bound"), "n")
+
+
 @query("numeric_summary", f"SELECT o_orderpriority, {_STATS.format('o_totalprice', '')} FROM orders GROUP BY o_orderpriority")
 def numeric_summary(spark, sf):
     return rounded(ranking.numeric_summary(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice"))

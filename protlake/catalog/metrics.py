@@ -75,12 +75,12 @@ def fmax_all_cells(spark, sf):
 
 @query("ia_fmax", f"WITH {V.PAIRS}, {V.TERMS}, {_weighted_sql(NINE)} {_best_sql(prefix='ia_fmax')}")
 def ia_fmax(spark, sf):
-    return rounded(M.weighted_fmax(V.pairs(spark, sf), V.terms(spark, sf), NINE))
+    return rounded(M.weighted_fmax(V.pairs(spark, sf), V.terms(spark, sf), NINE, entries=V.entries(spark, sf), terms=V.terms(spark, sf)))
 
 
 @query("ia_fmax_fine", f"WITH {V.PAIRS}, {V.TERMS}, {_weighted_sql(NINETY_NINE)} {_best_sql(prefix='ia_fmax')}")
 def ia_fmax_fine(spark, sf):
-    return rounded(M.weighted_fmax(V.pairs(spark, sf), V.terms(spark, sf), NINETY_NINE))
+    return rounded(M.weighted_fmax(V.pairs(spark, sf), V.terms(spark, sf), NINETY_NINE, entries=V.entries(spark, sf), terms=V.terms(spark, sf)))
 
 
 _TERM = """pt AS (SELECT term, count(*) FILTER (WHERE score >= 0.5::FLOAT AND y) AS tp, count(*) FILTER (WHERE score >= 0.5::FLOAT AND NOT y) AS fp,
@@ -122,12 +122,12 @@ ff AS (SELECT pr.*, macro_f1, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * p
 
 @query("threshold_sweep", f"WITH {V.PAIRS}, {V.TERMS}, {_MACRO_SWEEP} SELECT round(t, 6) AS threshold, round(micro_f1, 6) AS micro_f1, round(macro_f1, 6) AS macro_f1 FROM ff")
 def threshold_sweep(spark, sf):
-    return rounded(M.threshold_sweep(V.pairs(spark, sf), NINE, V.terms(spark, sf)))
+    return rounded(M.threshold_sweep(V.pairs(spark, sf), NINE, V.terms(spark, sf), entries=V.entries(spark, sf)))
 
 
 @query("best_macro_threshold", f"WITH {V.PAIRS}, {V.TERMS}, {_MACRO_SWEEP} SELECT round(t, 6) AS threshold, round(macro_f1, 6) AS macro_f1 FROM ff ORDER BY macro_f1 DESC, k LIMIT 1")
 def best_macro_threshold(spark, sf):
-    return rounded(M.best_of_sweep(M.macro_sweep(V.pairs(spark, sf), NINE, V.terms(spark, sf)), "macro_f1"))
+    return rounded(M.best_of_sweep(M.macro_sweep(V.pairs(spark, sf), NINE, V.terms(spark, sf), entries=V.entries(spark, sf)), "macro_f1"))
 
 
 _ERR = """er AS (SELECT aspect, term, count(*) FILTER (WHERE y) AS true_count, count(*) FILTER (WHERE score >= 0.5::FLOAT) AS pred_count,
@@ -188,11 +188,61 @@ b AS (SELECT aspect, model, round(f1, 6) AS fmax, round(t, 6) AS fmax_threshold,
   FROM ff QUALIFY row_number() OVER (PARTITION BY aspect, model ORDER BY f1 DESC, k) = 1)
 SELECT * FROM a JOIN b USING (aspect, model)""")
 def model_comparison(spark, sf):
+    return rounded(_compared(spark, sf, NINE))
+
+
+def _compared(spark, sf, grid):
+    """Two models' scores against each other, over every cell of an aspect."""
     p = V.pairs(spark, sf)
     both = p.select("aspect", "entry_id", "term", "y", F.explode(F.array(
         F.struct(F.lit("first").alias("model"), "score"), F.struct(F.lit("second").alias("model"), F.col("second_score").alias("score")))).alias("s")) \
         .select("aspect", "entry_id", "term", "y", "s.*")
-    return rounded(M.model_comparison(both, V.terms(spark, sf), NINE, ["aspect", "model"]))
+    every = V.terms(spark, sf).select("aspect", F.explode(F.array(F.lit("first"), F.lit("second"))).alias("model"), "term")
+    return M.model_comparison(both, V.terms(spark, sf), grid, ["aspect", "model"], entries=V.entries(spark, sf), terms=every)
+
+
+# --- every cell of the entry x term matrix, also at threshold 0 ---------------------------------------------------
+
+FROM_ZERO = [0.0, *NINE]
+_MISSING = "ms AS (SELECT terms.term, terms.aspect, ia, (SELECT count(*) FROM orders) - (SELECT count(*) FROM pairs p WHERE p.term = terms.term) AS missing FROM terms)"
+
+
+@query("ia_fmax_all_cells", f"WITH {V.PAIRS}, {V.TERMS}, {_MISSING}, " + _weighted_sql(FROM_ZERO).replace(
+    "AND NOT y THEN ia ELSE 0 END) AS fp", "AND NOT y THEN ia ELSE 0 END) + CASE WHEN t <= 0 THEN (SELECT sum(ia * missing) FROM ms) ELSE 0 END AS fp") +
+    " SELECT k, round(t, 6) AS threshold, round(tp, 4) AS tp, round(fp, 4) AS fp, round(fn, 4) AS fn, round(precision, 6) AS precision, round(f1, 6) AS f1 FROM ff")
+def ia_fmax_all_cells(spark, sf):
+    """The weighted sweep behind Fmax, down to threshold 0."""
+    weighted = M.weigh(M.term_buckets(V.pairs(spark, sf), FROM_ZERO, [], V.entries(spark, sf), V.terms(spark, sf), False), V.terms(spark, sf))
+    rows = M.with_ratios(M.threshold_counts(weighted, FROM_ZERO), eps=True)
+    return rows.select("k", r6("threshold"), *[F.round(c, 4).alias(c) for c in ("tp", "fp", "fn")], r6("precision"), r6("f1"))
+
+
+@query("threshold_sweep_all_cells", f"WITH {V.PAIRS}, {V.TERMS}, {_MISSING}, " + _MACRO_SWEEP.replace(_grid_sql(NINE), _grid_sql(FROM_ZERO)).replace(
+    "AND NOT y) AS fp", "AND NOT y) + CASE WHEN t <= 0 THEN (SELECT missing FROM ms WHERE ms.term = pairs.term) ELSE 0 END AS fp").replace(
+    "GROUP BY 1, 2, 3)", "GROUP BY pairs.term, k, t)").replace("SELECT term, k, t, count", "SELECT pairs.term, k, t, count").replace(
+    "sum(fp) AS fp, sum(fn) AS fn FROM pk", "sum(fp) + CASE WHEN t <= 0 THEN (SELECT coalesce(sum(missing), 0) FROM ms WHERE term NOT IN (SELECT term FROM pairs)) ELSE 0 END AS fp, sum(fn) AS fn FROM pk") +
+    " SELECT round(t, 6) AS threshold, round(micro_f1, 6) AS micro_f1, round(macro_f1, 6) AS macro_f1 FROM ff")
+def threshold_sweep_all_cells(spark, sf):
+    return rounded(M.threshold_sweep(V.pairs(spark, sf), FROM_ZERO, V.terms(spark, sf), entries=V.entries(spark, sf)))
+
+
+_CURVE = """st AS (SELECT aspect, score, count(*) FILTER (WHERE y) AS pos, count(*) FILTER (WHERE NOT y) AS neg FROM pairs GROUP BY 1, 2
+  UNION ALL SELECT terms.aspect, 0::FLOAT, 0, count(*) * (SELECT count(*) FROM orders) - (SELECT count(*) FROM pairs p WHERE p.aspect = terms.aspect) FROM terms GROUP BY terms.aspect),
+s2 AS (SELECT aspect, score, sum(pos)::BIGINT AS pos, sum(neg)::BIGINT AS neg FROM st GROUP BY 1, 2 HAVING sum(pos) + sum(neg) > 0),
+cu AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY aspect) AS total FROM s2 WINDOW w AS (PARTITION BY aspect ORDER BY score DESC)),
+pt AS (SELECT *, tp::DOUBLE / (tp + fp) AS precision, CASE WHEN total = 0 THEN 0 ELSE tp::DOUBLE / total END AS recall FROM cu),
+ar AS (SELECT *, recall - lag(recall, 1, 0) OVER w AS gain, lag(precision, 1, 1) OVER w AS earlier FROM pt WINDOW w AS (PARTITION BY aspect ORDER BY score DESC))"""
+
+
+@query("precision_recall", f"WITH {V.PAIRS}, {V.TERMS}, {_CURVE} SELECT aspect, round(score::DOUBLE, 6) AS score, tp::BIGINT AS tp, fp::BIGINT AS fp, (total - tp)::BIGINT AS fn, round(precision, 6) AS precision, round(recall, 6) AS recall FROM ar")
+def precision_recall(spark, sf):
+    """Every point of the pooled curve of each aspect; unscored cells are the last step, or part of it."""
+    return rounded(M.precision_recall(V.pairs(spark, sf), ["aspect"], entries=V.entries(spark, sf), terms=V.terms(spark, sf)).drop("area", "step"))
+
+
+@query("micro_auprc", f"WITH {V.PAIRS}, {V.TERMS}, {_CURVE} SELECT aspect, round(sum(gain * (precision + earlier) / 2), 6) AS micro_auprc, round(sum(gain * precision), 6) AS average_precision, count(*) AS points FROM ar GROUP BY 1")
+def micro_auprc(spark, sf):
+    return rounded(M.micro_auprc(V.pairs(spark, sf), ["aspect"], entries=V.entries(spark, sf), terms=V.terms(spark, sf)))
 
 
 _LOGIT = "ln(least(greatest({0}::DOUBLE, 1e-7), 1.0 - 1e-7) / (1.0 - least(greatest({0}::DOUBLE, 1e-7), 1.0 - 1e-7)))"

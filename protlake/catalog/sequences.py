@@ -9,6 +9,9 @@ from protlake.catalog import views as V
 from protlake.catalog.registry import query, r6, rounded, table
 from protlake.functions import scalar as fn
 from protlake.operators import audit, checks, epochs as E, fragments as FR, labels as L, sequences as Q
+from protlake.session import scratch_path
+from protlake.streaming import incremental as INC
+from protlake.streaming.versions import Versions
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
@@ -222,3 +225,23 @@ def early_stop(spark, sf):
 @query("early_stop_loss", f"WITH RECURSIVE {_FOLD.format(sign=-1, delta='0.0::DOUBLE')}{_STOP.format(p=15, sign=-1)}")
 def early_stop_loss(spark, sf):
     return E.early_stop(_history(spark, sf), ["run"], 15, "min")
+
+
+@query("arriving_early_stop", f"WITH RECURSIVE {_FOLD.format(sign=1, delta='5.0::DOUBLE')}{_STOP.format(p=10, sign=1)}")
+def arriving_early_stop(spark, sf):
+    """The same over epochs that arrive in four files, one batch each; the query is stopped after two of them and started again from its checkpoint."""
+    path, out, check = (scratch_path(spark, n) for n in ("epochs", "stops", "check"))
+    history = _history(spark, sf).select("run", "epoch", "value")
+    top = history.agg(F.max("epoch")).first()[0]
+    parts = [history.where(F.floor(F.col("epoch") * 4 / F.lit(top + 1)) == i) for i in range(4)]
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for two in (parts[:2], parts[2:]):
+            for part in two:
+                part.coalesce(1).write.mode("append").parquet(path)
+            INC.running_stops(INC.new_rows(spark, path, history.schema, max_files=1), ["run"], 10, out, check, mode="max", min_delta=5.0).awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return Versions(spark, out).read()

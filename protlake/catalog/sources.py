@@ -12,6 +12,7 @@ from protlake.plans import protein_tables as PT, reports
 from protlake.session import scratch_path
 from protlake.sources import runs, sinks, structures as ST, text
 from protlake.streaming import incremental as INC
+from protlake.streaming.versions import Versions
 
 # --- text files -------------------------------------------------------------------------------------------------
 
@@ -398,7 +399,7 @@ def _stream(spark, sf, name):
 def incremental_status(spark, sf):
     out, check = scratch_path(spark, "status"), scratch_path(spark, "check")
     INC.running_counts(_stream(spark, sf, "events"), ["event_type"], out, check).awaitTermination()
-    return spark.read.parquet(out)
+    return Versions(spark, out).read()
 
 
 @query("incremental_append", "SELECT event_id, user_id, value * 2 AS doubled FROM events WHERE event_type <> 'error'")
@@ -411,11 +412,23 @@ def incremental_append(spark, sf):
     return spark.read.parquet(out)
 
 
+@query("incremental_replay", "SELECT event_id, user_id, value * 2 AS doubled FROM events WHERE event_type <> 'error'")
+def incremental_replay(spark, sf):
+    """The first run's checkpoint is lost, and the second one is offered all inputs again: the keys of the written rows keep them out."""
+    out = scratch_path(spark, "keyed")
+    stream = _stream(spark, sf, "events")
+    for _ in range(2):
+        INC.append_keyed(stream, out, scratch_path(spark, "check"), ["event_id"],
+                         lambda s: s.where("event_type <> 'error'").select("event_id", "user_id", (F.col("value") * 2).alias("doubled")), buckets=16).awaitTermination()
+    return Versions(spark, out).read()
+
+
 @query("incremental_snapshot", "SELECT CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS clicks, count(*) AS n FROM events")
 def incremental_snapshot(spark, sf):
+    """The newest version has the rows of all batches."""
     out, check = scratch_path(spark, "snapshot"), scratch_path(spark, "check")
     INC.snapshot_each_batch(_stream(spark, sf, "events"), out, check).awaitTermination()
-    return spark.read.parquet(out).agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count("*").alias("n"))
+    return Versions(spark, out).read().agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count("*").alias("n"))
 
 
 _EVENT_GRID = M.step_thresholds(0.05)
@@ -434,4 +447,4 @@ def incremental_fmax(spark, sf):
     INC.running_buckets(s, _EVENT_GRID, [], out, check).awaitTermination()
     # every event is an entry with a cell for each event type
     cells = table(spark, sf, "events").agg(F.count("*") * F.count_distinct("event_type")).scalar()
-    return rounded(INC.metrics_on_read(spark.read.parquet(out), _EVENT_GRID, cells=cells))
+    return rounded(INC.metrics_on_read(Versions(spark, out).read(), _EVENT_GRID, cells=cells))

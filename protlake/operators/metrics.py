@@ -13,6 +13,7 @@ from itertools import accumulate, repeat
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from protlake.functions import scalar as fn
+from protlake.operators.ranking import null_safe_join
 from protlake.session import staged
 
 MICRO = ("precision", "recall", "f1")
@@ -69,7 +70,7 @@ def join_targets(scores: DataFrame, labels: DataFrame, keep_unscored: bool = Tru
 
 
 def implicit_cells(pairs: DataFrame, entries: DataFrame, terms: DataFrame, thresholds: list[float],
-                   by: list[str] = (), weight: str | None = None) -> DataFrame:
+                   by: list[str] = (), weight: str | None = None, each_term: bool = False) -> DataFrame:
     """Bucket row of the cells without a pair: (by…, bucket, pos=0, neg). ``terms`` lists (by…, term[, weight]).
 
     Entries without the ``by`` columns count in every group.
@@ -84,19 +85,32 @@ def implicit_cells(pairs: DataFrame, entries: DataFrame, terms: DataFrame, thres
         base = base.withColumn("__n", entries.agg(F.count("*")).scalar())
     w = F.col(weight) if weight else F.lit(1)
     missing = w * (F.col("__n") - F.coalesce("__seen", F.lit(0)))
+    by = [*by, "term"] if each_term else by
     agg = base.groupBy(*by).agg(F.sum(missing).alias("neg"))
     return agg.select(*by, bucket_of(F.lit(0.0), thresholds).alias("bucket"),
                       F.lit(0).cast("double" if weight else "bigint").alias("pos"), "neg")
 
 
+def implicit_per_term(pairs: DataFrame, entries: DataFrame, terms: DataFrame, thresholds: list[float], by: list[str] = ()) -> DataFrame:
+    """As ``implicit_cells``, but a row (by…, term, bucket, pos=0, neg) for every term, so that weights and per-term metrics see them too."""
+    by = list(by)
+    return implicit_cells(pairs, entries, terms.select(*by, "term"), thresholds, by, each_term=True)
+
+
 def unscored(pairs: DataFrame, entries: DataFrame | None, terms: DataFrame | None, dense: bool, thresholds: list[float],
-             by: list[str] = (), weight: str | None = None) -> DataFrame | None:
+             by: list[str] = (), weight: str | None = None, each_term: bool = False) -> DataFrame | None:
     """Bucket row of the cells without a pair; none for a table declared dense, which has a row for every cell."""
     if dense:
         return None
     if entries is None or terms is None:
         raise ValueError("entries and terms are needed to count the cells without a score; or declare the table dense")
-    return implicit_cells(pairs, entries, terms, thresholds, by, weight)
+    return implicit_per_term(pairs, entries, terms, thresholds, by) if each_term else implicit_cells(pairs, entries, terms, thresholds, by, weight)
+
+
+def term_buckets(pairs: DataFrame, thresholds: list[float], by: list[str], entries: DataFrame | None, terms: DataFrame | None, dense: bool) -> DataFrame:
+    """Bucket counts by term, with the cells that have no score unless the table is declared dense."""
+    counts, more = bucket_counts(pairs, thresholds, [*by, "term"]), unscored(pairs, entries, terms, dense, thresholds, by, each_term=True)
+    return counts if more is None else counts.unionByName(more)
 
 
 def bucket_counts(pairs: DataFrame, thresholds: list[float], by: list[str] = (), weight: str | None = None) -> DataFrame:
@@ -162,15 +176,13 @@ def fmax(pairs: DataFrame, step: float = 0.01, by: list[str] = (), *, entries: D
     return best_threshold(sweep(pairs, grid, by, implicit=unscored(pairs, entries, terms, dense, grid, by)), by)
 
 
-def weighted_fmax(pairs: DataFrame, weights: DataFrame, thresholds: list[float], by: list[str] = (),
-                  implicit: DataFrame | None = None) -> DataFrame:
-    """Information-weighted Fmax; terms without a weight count zero. ``weights`` = (term, ia).
+def weighted_fmax(pairs: DataFrame, weights: DataFrame, thresholds: list[float], by: list[str] = (), *, entries: DataFrame | None = None,
+                  terms: DataFrame | None = None, dense: bool = False) -> DataFrame:
+    """Information-weighted Fmax over every entry x term cell; terms without a weight count zero. ``weights`` = (term, ia).
 
     Counts per (term, bucket) are made first, so the weight table joins the reduced rows, not the scores.
     """
-    weighted = weigh(bucket_counts(pairs, thresholds, [*by, "term"]), weights, by)
-    if implicit is not None:
-        weighted = weighted.unionByName(implicit)
+    weighted = weigh(term_buckets(pairs, thresholds, list(by), entries, terms, dense), weights, by)
     return best_threshold(with_ratios(threshold_counts(weighted, thresholds, by), eps=True), by, prefix="ia_fmax")
 
 
@@ -232,14 +244,11 @@ def samples_f1(pairs: DataFrame, threshold: float, entries: DataFrame, by: list[
         fn.safe_ratio(F.coalesce("__s", fn.d(0)), F.col("__n")).alias("samples_f1"))
 
 
-def macro_sweep(pairs: DataFrame, thresholds: list[float], terms: DataFrame, by: list[str] = ()) -> DataFrame:
-    """(by…, k, threshold, macro_f1): per-term running sums, averaged over all terms of the vocabulary.
-
-    Like the other sweeps this counts the given pairs; cells without a pair have score 0 and are negative, so
-    they change a term's F1 only at thresholds <= 0.
-    """
+def macro_sweep(pairs: DataFrame, thresholds: list[float], terms: DataFrame, by: list[str] = (), *, entries: DataFrame | None = None,
+                dense: bool = False) -> DataFrame:
+    """(by…, k, threshold, macro_f1): per-term running sums over every cell, averaged over all terms of the vocabulary."""
     keys = [*by, "term"]
-    per_term = threshold_counts(bucket_counts(pairs, thresholds, keys), thresholds, keys)
+    per_term = threshold_counts(term_buckets(pairs, thresholds, list(by), entries, terms, dense), thresholds, keys)
     f = fn.safe_ratio(F.col("tp") * 2, F.col("tp") * 2 + F.col("fp") + F.col("fn"))
     sums = per_term.groupBy(*by, "k", "threshold").agg(F.sum(f).alias("__s"))
     if by:
@@ -249,10 +258,11 @@ def macro_sweep(pairs: DataFrame, thresholds: list[float], terms: DataFrame, by:
     return sized.select(*by, "k", "threshold", (F.col("__s") / F.col("__n")).alias("macro_f1"))
 
 
-def threshold_sweep(pairs: DataFrame, thresholds: list[float], terms: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Micro and macro F1 per threshold."""
-    micro = sweep(pairs, thresholds, by).select(*by, "k", "threshold", F.col("f1").alias("micro_f1"))
-    macro = macro_sweep(pairs, thresholds, terms, by).drop("threshold")
+def threshold_sweep(pairs: DataFrame, thresholds: list[float], terms: DataFrame, by: list[str] = (), *, entries: DataFrame | None = None,
+                    dense: bool = False) -> DataFrame:
+    """Micro and macro F1 per threshold over every cell."""
+    micro = sweep(pairs, thresholds, by, implicit=unscored(pairs, entries, terms, dense, thresholds, by)).select(*by, "k", "threshold", F.col("f1").alias("micro_f1"))
+    macro = macro_sweep(pairs, thresholds, terms, by, entries=entries, dense=dense).drop("threshold")
     return micro.join(macro, [*by, "k"]).select(*by, "threshold", "micro_f1", "macro_f1")
 
 
@@ -306,9 +316,49 @@ def weighted_mean_loss(batches: DataFrame, loss: str, size: str, by: list[str] =
     return batches.groupBy(*by).agg((F.sum(F.col(loss) * F.col(size)) / F.sum(size)).alias("mean_loss"))
 
 
-def model_comparison(pairs: DataFrame, weights: DataFrame, thresholds: list[float], by: list[str]) -> DataFrame:
-    """One row per group (aspect, model …): weighted Fmax and pooled Fmax on the same grid, from one pass."""
-    per_term = staged(bucket_counts(pairs, thresholds, [*by, "term"]), "term-buckets")
+def model_comparison(pairs: DataFrame, weights: DataFrame, thresholds: list[float], by: list[str], *, entries: DataFrame | None = None,
+                     terms: DataFrame | None = None, dense: bool = False) -> DataFrame:
+    """One row per group (aspect, model …): weighted Fmax and pooled Fmax on the same grid over every cell, from one pass. ``terms`` lists (by…, term)."""
+    per_term = staged(term_buckets(pairs, thresholds, list(by), entries, terms, dense), "term-buckets")
     weighted = with_ratios(threshold_counts(weigh(per_term, weights, by), thresholds, by), eps=True)
     plain = with_ratios(threshold_counts(per_term, thresholds, by))
     return best_threshold(weighted, by, prefix="ia_fmax").join(best_threshold(plain, by), list(by))
+
+
+def precision_recall(pairs: DataFrame, by: list[str] = (), *, entries: DataFrame | None = None, terms: DataFrame | None = None, dense: bool = False) -> DataFrame:
+    """Pooled precision-recall curve over all distinct scores: (by…, score, tp, fp, fn, precision, recall, area, step).
+
+    Cells of one score are one step; cells without a score are negatives of score 0 unless the table is declared dense. Distinct scores are dealt out in ranges of
+    (by, falling score), so running sums are made inside a range and raised by the sums of the ranges before. A point knows its
+    forerunner from its own counts: ``area`` is the trapezoid between the two, ``step`` the rectangle of average precision. The first forerunner
+    has recall 0 and precision 1. Groups without a positive have recall 0 throughout.
+    """
+    by = list(by)
+    y = F.col("y")
+    steps = pairs.groupBy(*by, F.col("score").cast("float").alias("score")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+    more = unscored(pairs, entries, terms, dense, [0.0], by)
+    if more is not None:
+        zero = more.select(*by, F.lit(0.0).cast("float").alias("score"), F.lit(0).cast("bigint").alias("pos"), F.col("neg").cast("bigint").alias("neg"))
+        steps = steps.unionByName(zero).groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg > 0")
+    ordered = [F.col(c) for c in by] + [F.col("score").desc()]
+    ranged = staged(steps.repartitionByRange(*ordered).sortWithinPartitions(*ordered).withColumn("__at", F.monotonically_increasing_id()), "curve-steps") \
+        .withColumn("__part", F.shiftright("__at", 33))
+    sums = ranged.groupBy(*by, "__part").agg(F.sum("pos").alias("__pos"), F.sum("neg").alias("__neg"))
+    whole = W.partitionBy(*by)
+    before = whole.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(*by, "__part", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}_before") for c in ("pos", "neg")],
+                         F.sum("__pos").over(whole).alias("__all"))
+    inside = W.partitionBy(*by, "__part").orderBy("__at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    tp, fp = (F.sum(c).over(inside) + F.col(f"__{c}_before") for c in ("pos", "neg"))
+    points = null_safe_join(ranged, starts, [*by, "__part"]).select(*by, "score", "pos", "neg", tp.alias("tp"), fp.alias("fp"), "__all")
+    earlier_tp, earlier = F.col("tp") - F.col("pos"), F.col("tp") + F.col("fp") - F.col("pos") - F.col("neg")
+    return points.select(
+        *by, "score", "tp", "fp", (F.col("__all") - F.col("tp")).alias("fn"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
+        fn.safe_ratio(F.col("tp"), F.col("__all")).alias("recall"), fn.safe_ratio(F.col("pos"), F.col("__all")).alias("__gain"),
+        F.when(earlier > 0, earlier_tp / F.nullif(earlier, F.lit(0))).otherwise(fn.d(1)).alias("__from")) \
+        .withColumn("area", F.col("__gain") * (F.col("precision") + F.col("__from")) / 2).withColumn("step", F.col("__gain") * F.col("precision")).drop("__gain", "__from")
+
+
+def micro_auprc(pairs: DataFrame, by: list[str] = (), **cells) -> DataFrame:
+    """Area under the pooled precision-recall curve by trapezoids, and average precision; ``cells`` as in ``precision_recall``."""
+    return precision_recall(pairs, by, **cells).groupBy(*by).agg(F.sum("area").alias("micro_auprc"), F.sum("step").alias("average_precision"), F.count("*").alias("points"))

@@ -177,6 +177,21 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
         return staged(null_safe_join(located, offsets, [*keys, "__part"]).select(*df.columns, (F.col("__at") + F.col("__shift")).alias(name)), "numbered")
 
 
+SKETCH_K, SKETCH_BOUND = 400, 0.01  # a sketch's size, and the error of a rank as a share of all rows that it keeps with high probability
+
+
+def value_sketches(df: DataFrame, keys: list[str], value: str, k: int = SKETCH_K) -> DataFrame:
+    """(keys…, sketch): a mergeable KLL sketch of the values of each key, of bounded size; sketches of batches can be stored and merged on read."""
+    return df.groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """(keys…, q, quantile) from any number of stored sketches per key. Ranks are off by ``SKETCH_BOUND`` at most, with high probability."""
+    merged = sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    each = F.array(*[F.struct(fn.d(p).alias("q"), F.kll_sketch_get_quantile_double("sketch", fn.d(p)).alias("quantile")) for p in probs])
+    return merged.select(*keys, F.inline(each))
+
+
 SUMMARY_PROBS = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
 

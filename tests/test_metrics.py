@@ -95,7 +95,7 @@ def test_unscored_labels_are_positives_of_score_zero(spark, rows):
 def test_weighted_fmax_by_hand(spark):
     df = spark.createDataFrame([("E", "A", 0.9, True), ("E", "B", 0.8, False), ("F", "B", 0.2, True)], PAIRS)
     ia = spark.createDataFrame([("A", 2.0), ("B", 1.0)], "term string, ia double")
-    best = M.weighted_fmax(df, ia, [0.1, 0.5, 0.85]).first()
+    best = M.weighted_fmax(df, ia, [0.1, 0.5, 0.85], dense=True).first()
     assert best.ia_fmax == pytest.approx(6 / 7, abs=1e-6) and best.ia_fmax_threshold == 0.1
 
 
@@ -151,3 +151,45 @@ def test_two_layer_routes_agree(spark):
     assert got == strip(S.two_layer_scores(x, hidden, out, broadcast_limit=0))
     want = sum(0.1 * j * max(0.0, 3 - j * -2.0 + 0.5) for j in range(12)) + 1.0
     assert got[("E3", "A")] == pytest.approx(want)
+
+
+def test_unscored_cells_count_in_weighted_macro_and_comparison(spark):
+    df = spark.createDataFrame([("E", "A", 0.9, True), ("E", "B", 0.0, False)], PAIRS)
+    entries = spark.createDataFrame([("E",), ("F",)], "entry_id string")
+    terms = spark.createDataFrame([("A", 2.0), ("B", 1.0), ("C", 4.0)], "term string, ia double")
+    for call in (lambda **k: M.weighted_fmax(df, terms, [0.0, 0.5], **k), lambda **k: M.macro_sweep(df, [0.0, 0.5], terms, **({"entries": k["entries"]} if k else {})),
+                 lambda **k: M.model_comparison(df, terms, [0.0, 0.5], [], **k) if k else M.model_comparison(df, terms, [0.0, 0.5], [])):
+        with pytest.raises(ValueError):
+            call()
+    weighted = M.with_ratios(M.threshold_counts(M.weigh(M.term_buckets(df, [0.0, 0.5], [], entries, terms, False), terms), [0.0, 0.5]), eps=True).where("k = 0").first()
+    assert (weighted.tp, weighted.fp) == (2.0, 2.0 + 2 * 1.0 + 2 * 4.0)
+    assert M.weighted_fmax(df, terms, [0.0, 0.5], entries=entries, terms=terms).first().ia_fmax_threshold == 0.5
+    macro = {r.k: r.macro_f1 for r in M.macro_sweep(df, [0.0, 0.5], terms, entries=entries).collect()}
+    assert macro == {0: pytest.approx((2 / 3) / 3), 1: pytest.approx(1 / 3)}
+
+
+def test_precision_recall_in_ranges_equals_one_sequence(spark):
+    import random
+
+    rnd = random.Random(4)
+    data = [(f"E{i}", rnd.choice("AB"), float(np.float32(rnd.choice([0.0, 0.5, 0.9, round(rnd.random(), 2)]))), rnd.random() < 0.3) for i in range(400)]
+    rows = [(g, *r) for g in (None, "x") for r in data[:400 if g else 5]] + [("none", "E", "A", 0.5, False)]
+    df = spark.createDataFrame(rows, "g string, " + PAIRS).repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = M.precision_recall(df, ["g"], dense=True).collect()
+        areas = {r.g: r for r in M.micro_auprc(df, ["g"], dense=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    for g in (None, "x", "none"):
+        mine, tp, fp, area, step, last = [r for r in rows if r[0] == g], 0, 0, 0.0, 0.0, (1.0, 0.0)
+        total = sum(r[4] for r in mine)
+        points = {r.score: r for r in got if r.g == g}
+        for score in sorted({r[3] for r in mine}, reverse=True):
+            tp += sum(r[4] for r in mine if r[3] == score)
+            fp += sum(not r[4] for r in mine if r[3] == score)
+            p, recall = tp / (tp + fp), tp / total if total else 0.0
+            assert (points[score].tp, points[score].fp) == (tp, fp) and points[score].precision == pytest.approx(p) and points[score].recall == pytest.approx(recall)
+            area, step, last = area + (recall - last[1]) * (p + last[0]) / 2, step + (recall - last[1]) * p, (p, recall)
+        assert areas[g].micro_auprc == pytest.approx(area) and areas[g].average_precision == pytest.approx(step)

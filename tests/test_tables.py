@@ -11,6 +11,7 @@ from protlake.plans import protein_tables as PT, reports
 from protlake.session import Scratch
 from protlake.sources import runs, sinks, structures as ST, text
 from protlake.streaming import incremental as INC
+from protlake.streaming.versions import Versions, publish_so_far, publish_state
 
 
 @pytest.fixture
@@ -374,7 +375,76 @@ def test_stream_adds_nothing_twice(spark, tmp_path):
     INC.append_new(stream, out, check).awaitTermination()
     assert spark.read.parquet(out).count() == 15
     INC.running_counts(stream, ["status"], out + "2", check + "2").awaitTermination()
-    assert {r.status: r.n for r in spark.read.parquet(out + "2").collect()} == {"ok": 12, "bad": 3}
+    assert {r.status: r.n for r in Versions(spark, out + "2").read().collect()} == {"ok": 12, "bad": 3}
+
+
+def test_unpublished_versions_are_not_seen(spark, tmp_path, monkeypatch):
+    table = Versions(spark, str(tmp_path / "t"))
+    with pytest.raises(ValueError):
+        table.read()
+    so_far = publish_so_far(table, "run-a")
+    for number in range(3):
+        so_far(spark.range(number * 10, number * 10 + 10), number)
+        assert table.read().count() == 10 * (number + 1)  # results so far at each version
+    assert [table.read(number=n).count() for n in table.numbers()] == [10, 20, 30]
+    with monkeypatch.context() as m:  # a failure between write and publish
+        m.setattr(Versions, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            so_far(spark.range(30, 40), 3)
+    assert table.read().count() == 30 and len(table.numbers()) == 3
+    so_far(spark.range(30, 40), 3)
+    so_far(spark.range(30, 40), 3)  # retried: nothing changes
+    so_far(spark.range(20, 30), 2)
+    assert sorted(r.id for r in table.read().collect()) == list(range(40)) and len(table.numbers()) == 4
+    so_far = publish_so_far(table, "run-b")
+    so_far(spark.range(40, 45), 0)
+    assert table.read().count() == 45
+    table.expire(1)
+    assert len(table.numbers()) == 1 and table.read().count() == 45
+
+
+def test_versions_of_state_expire(spark, tmp_path):
+    table = Versions(spark, str(tmp_path / "t"))
+    save = publish_state(table, keep=2)
+    for n in range(4):
+        save(spark.range(n + 1), n)
+    assert table.numbers() == [2, 3] and table.read().count() == 4 and len(table._names("")) == 3
+    with pytest.raises(RuntimeError):  # two runs can't publish one version
+        monkey = Versions(spark, table.path)
+        monkey.numbers = lambda: [2]
+        monkey.publish({"rows": []})
+
+
+def test_replay_without_the_checkpoint_adds_nothing_twice(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(100).withColumn("v", F.col("id") % 7).repartition(4).write.parquet(src)
+    stream = INC.new_rows(spark, src, "id LONG, v LONG", max_files=1)
+    for n in range(2):  # the second run has lost its checkpoint
+        INC.append_keyed(stream, out, str(tmp_path / f"check{n}"), ["id"]).awaitTermination()
+        assert sorted(r.id for r in Versions(spark, out).read().collect()) == list(range(100))
+    spark.range(95, 120).withColumn("v", F.lit(1).cast("long")).write.mode("append").parquet(src)
+    INC.append_keyed(stream, out, str(tmp_path / "check2"), ["id"], lambda s: s.where("id <> 118")).awaitTermination()
+    got = {r.id: r.v for r in Versions(spark, out).read().collect()}
+    assert sorted(got) == [*range(118), 119] and got[96] == 96 % 7 and Versions(spark, out).read().count() == 119
+
+
+def test_arriving_epochs_equal_the_whole_history(spark, tmp_path):
+    rnd = random.Random(11)
+    rows = [(f"r{k}", e, rnd.choice([round(rnd.random() * 2, 2), None, float("nan"), 1.0])) for k in range(12) for e in range(rnd.randint(1, 20))]
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "run string, epoch long, value double"
+    try:
+        for cuts in ([0, 20], [0, 3, 4, 11, 20]):
+            src, out, check = (str(tmp_path / f"{n}{len(cuts)}") for n in ("in", "out", "check"))
+            for low, high in zip(cuts, cuts[1:]):
+                spark.createDataFrame([r for r in rows if low <= r[1] < high], schema).coalesce(1).write.mode("append").parquet(src)
+                INC.running_stops(INC.new_rows(spark, src, schema), ["run"], 4, out, check, mode="min", min_delta=0.1).awaitTermination()  # restarted each time
+            want = E.early_stop(spark.createDataFrame(rows, schema), ["run"], 4, "min", 0.1)
+            got = Versions(spark, out).read()
+            assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.unset(key)
 
 
 def test_vector_widths(spark):
