@@ -190,6 +190,15 @@ def early_stop(history: DataFrame, keys: list[str], patience: int, mode: str = "
         (best.v * sign).alias("best_value"), F.col("end").isNotNull().alias("stopped_early"))
 
 
+def ranked_trials(trials: DataFrame, score: str, by: list[str] = (), ties: list[str] = ()) -> DataFrame:
+    """Trials with their place from 1, best score first; a missing score comes last. Ties go by ``ties``."""
+    order = [F.col(score).desc_nulls_last(), *map(F.col, ties)]
+    if by:
+        return trials.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("bigint"))
+    key = F.when(F.col(score).isNull(), F.lit(float("inf"))).otherwise(-F.col(score).cast("double"))
+    return numbered(trials.withColumn("__key", key), [], ["__key", *ties], "__place").withColumn("place", F.col("__place") + 1).drop("__key", "__place")
+
+
 def run_rollup(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Wide row per run from its summary: record at the best epoch (first match) and the last record."""
     at_best = F.try_element_at(F.filter("history", lambda h: h.epoch == F.col("best_epoch")), F.lit(1))

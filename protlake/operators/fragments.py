@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from protlake import schemas
 from protlake.functions import scalar as fn
+from protlake.operators.ranking import first_n
 
 
 def exact_accession(records: DataFrame, accession: str = "uniprotAccession") -> DataFrame:
@@ -102,8 +103,10 @@ def run_counts(index: DataFrame, failures: DataFrame) -> DataFrame:
         .withColumn("failures", failures.agg(F.count("*")).scalar())
 
 
-def usable_entries(index: DataFrame) -> DataFrame:
-    return index.where((F.col("af_status") == "ok") & (F.trim("entry_id") != "") & (F.length("sequence") > 0))
+def usable_entries(index: DataFrame, first: int | None = None, order: list[Column] = ()) -> DataFrame:
+    """Entries that have structures and a sequence; with ``first`` only so many of them, in ``order`` (by default of their ids)."""
+    usable = index.where((F.col("af_status") == "ok") & (F.trim("entry_id") != "") & (F.length("sequence") > 0))
+    return first_n(usable, list(order) or [F.col("entry_id")], first)
 
 
 def usable_fragments(fragments: DataFrame) -> DataFrame:

@@ -117,9 +117,10 @@ def _mean_vector(vector: str) -> Column:
     return vector_to_array(Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>"))))
 
 
-def mean_pool(rows: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
-    """Element-wise mean per key; the aggregation buffer is one vector per key and map task."""
-    return rows.where(F.col(vector).isNotNull()).groupBy(*keys).agg(_mean_vector(vector).alias(vector))
+def mean_pool(rows: DataFrame, keys: list[str], vector: str = "embedding", mask: Column | None = None) -> DataFrame:
+    """Element-wise mean per key; the aggregation buffer is one vector per key and map task. With ``mask`` only rows where it holds count."""
+    used = rows if mask is None else rows.where(mask)
+    return used.where(F.col(vector).isNotNull()).groupBy(*keys).agg(_mean_vector(vector).alias(vector))
 
 
 def merge_windows(chunks: DataFrame) -> DataFrame:

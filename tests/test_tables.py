@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ from protlake import schemas
 from protlake.operators import audit, checks, epochs as E, fragments as FR, labels as L, ranking, sequences as Q, splits as S
 from protlake.plans import protein_tables as PT, reports
 from protlake.session import Scratch
-from protlake.sources import runs, sinks, structures as ST, text
+from protlake.sources import layout, runs, sinks, structures as ST, text
 from protlake.streaming import incremental as INC
 from protlake.streaming.versions import Versions, publish_so_far, publish_state
 
@@ -483,3 +484,57 @@ def test_sinks_write_declared_tables(spark, tmp_path):
     assert runs.read_bundle(spark, str(tmp_path / "bundle")).first().score == 0.5
     with pytest.raises(ValueError):
         runs.read_bundle(spark, str(tmp_path / "bundle"), "logits")
+
+
+def test_clustered_layout_opens_few_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(20_000).select(F.when(F.col("id") % 1000 == 7, None).otherwise(F.format_string("P%06d", "id")).alias("entry_id"), F.col("id").alias("v"))
+    layout.write_clustered(rows.repartition(8), path, "entry_id", 20)
+    assert spark.read.parquet(path).count() == 20_000
+    ids = spark.createDataFrame([("P000003",), ("P000004",), ("P019990",), ("Q",), (None,), ("A",), ("P000003",)], "entry_id string")
+    assert 1 <= len(layout.files_with(spark, path, ids, "entry_id")) <= 2
+    assert sorted(r.v for r in layout.read_clustered(spark, path, ids, "entry_id").collect()) == [3, 4, 19_990]
+    every = rows.select("entry_id").where("entry_id is not null")
+    assert layout.read_clustered(spark, path, every, "entry_id").count() == every.count() and len(layout.files_with(spark, path, every, "entry_id")) > 10
+    assert layout.read_clustered(spark, path, ids.limit(0), "entry_id").count() == 0
+
+
+def test_refused_output_leaves_nothing(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = spark.range(10).withColumn("ok", F.col("id") < 7)
+    figures = {"rows": F.count(F.lit(1)), "good": F.count_if("ok")}
+    for bad, refuse in ((rows.limit(0), layout.non_empty), (rows, lambda f: None if f["good"] == f["rows"] else "incomplete")):
+        with pytest.raises(ValueError):
+            layout.write_observed(bad, path, figures, refuse)
+        assert not os.path.exists(path)
+    assert layout.write_observed(rows, path, figures, layout.non_empty) == {"rows": 10, "good": 7}
+    assert spark.read.parquet(path).count() == 10
+    with pytest.raises(ValueError):  # a published table is not replaced
+        layout.write_observed(rows, path, figures, layout.non_empty)
+
+
+def test_small_files_share_partitions_by_bytes(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"{i}.txt").write_text("x" * 1000)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum") if spark.conf.get(k, None)}
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        sizes = []
+        for limit in ("1m", "10k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+            files = ST.read_files(spark, str(tmp_path))
+            sizes.append(files.rdd.getNumPartitions())
+            assert files.count() == 60
+        assert sizes[0] == 1 and sizes[1] >= 6
+    finally:
+        for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"):
+            spark.conf.set(k, before[k]) if k in before else spark.conf.unset(k)
+
+
+def test_masked_mean_and_ranked_trials(spark):
+    rows = spark.createDataFrame([("a", [1.0, 2.0], True), ("a", [3.0, 4.0], True), ("a", [9.0, 9.0], False)], "k string, embedding array<double>, m boolean")
+    assert Q.mean_pool(rows, ["k"], mask=F.col("m")).first().embedding == [2.0, 3.0]
+    trials = spark.createDataFrame([("x", 1, 0.5), ("x", 2, None), ("x", 3, 0.9), ("x", 4, 0.5)], "g string, t int, s double")
+    for by in ([], ["g"]):
+        assert [r.t for r in E.ranked_trials(trials, "s", by, ["t"]).orderBy("place").collect()] == [3, 1, 4, 2]
