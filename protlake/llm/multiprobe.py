@@ -6,9 +6,12 @@ its largest norm and appending one component that makes them unit vectors (queri
 queries. A query's cells are the same numbers in all ranges, so one visit to a cell searches it in each of them. A query visits its own cell and then perturbed cells in the order of the estimated chance to hold a
 neighbour: the smaller the summed squares of the distances to the crossed cell borders, the sooner. Candidates of all tables are scored exactly.
 
-Cells are dealt by hash into a fixed number of groups; a group with many rows is split, so a cell with a third of all vectors is
-searched in parts. A query travels once to each group with the list of cells it visits there. Queries that found fewer than k rows go on: first
-to all cells next to their own, then to all vectors.
+How many functions a table has, how wide they are and how many cells a query visits is fitted: for a bounded sample of the queries the true
+neighbours among all vectors are found, and of the settings under which enough of them lie in visited cells the one that scores the smallest share of a bounded
+sample of the vectors is taken. The closer the neighbours, be it in clusters or because the table grows, the smaller the share.
+
+Cells are dealt by hash into groups, as many as the table has blocks of rows; a group with many rows, as of one large cell, is split. A query travels once to
+each group that holds a cell it visits, with the list of these cells. Queries that found fewer than k rows go on: first to all cells next to their own, then to all vectors.
 """
 
 from __future__ import annotations
@@ -25,8 +28,12 @@ from protlake.llm.textkit import mix
 from protlake.llm.vectors import best_of, matrix, usable
 from protlake.session import staged
 
-TABLES, FUNCTIONS, WIDTH, PROBES = 2, 6, 2.0, 200
-GROUPS, BLOCK = 16, 4096
+TABLES = 2
+SETTINGS = [(functions, width) for functions in (4, 6, 8) for width in (0.75, 1.0, 1.5, 2.0, 3.0)]
+VISITS = (4, 8, 16, 32, 64, 100, 150, 200, 300, 450, 729, 1200, 2000)
+RECALL = 0.95  # wanted of the sampled queries' neighbours
+SAMPLED_QUERIES, SAMPLED_VECTORS = 128, 4096  # about so many, by hash of the id
+BLOCK = 4096
 RANGES = 8  # norm ranges from one power of two to the next
 SEED = 20240715
 
@@ -63,13 +70,103 @@ def probed_cells(at: np.ndarray, probes: int) -> np.ndarray:
     return _cell(base.astype(np.int64)[:, None, :] + steps[order])
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH,
-            probes: int = PROBES, seed: int = SEED) -> DataFrame:
+def _sampled(rows: DataFrame, wanted: int, seed: int) -> DataFrame:
+    """About ``wanted`` rows, chosen by hash of vec_id."""
+    share = min(1.0, wanted / max(rows.count(), 1))
+    return rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(2**31)) < F.lit(share * 2.0**31))
+
+
+def _true_neighbours(rows: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> list:
+    """Exact neighbours of a few queries (by vector length: ids, vectors) among all rows; a task gives its k best for each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().to_numpy()
+            for size in asked.keys() & set(sizes.tolist()):
+                part = batch.filter(pa.array(sizes == size))
+                new = part.column(0).to_numpy(), matrix(part.column(1)), part.column(2).to_numpy()
+                q_ids, q = asked[size]
+                if size in held:
+                    new = tuple(np.concatenate(x) for x in zip(held[size], new, strict=True))
+                scores = q @ new[1].T
+                scores[q_ids[:, None] == new[0][None, :]] = -np.inf
+                _, col = best_of(scores, k)
+                keep = np.unique(col)  # at most k rows for each query
+                held[size] = tuple(x[keep] for x in new)
+        for size, (ids, v, spans) in held.items():
+            q_ids, q = asked[size]
+            scores = q @ v.T
+            scores[q_ids[:, None] == ids[None, :]] = -np.inf
+            row, col = best_of(scores, k)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(col) + 1) * size, pa.int32()), pa.array(v[col].reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids[col]), pa.array(scores[row, col]), pa.array(spans[col].astype(np.int32)), flat],
+                                             names=["query_id", "vec_id", "score", "span", "v"])
+
+    found = rows.select("vec_id", "v", "span").mapInArrow(run, "query_id long, vec_id long, score double, span int, v array<double>")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).collect()
+
+
+def fitted(rows: DataFrame, asked: DataFrame, longest: dict[int, float], k: int, tables: int, seed: int) -> tuple[int, float, int, float, float]:
+    """(functions, width, probes, recall, share): the setting that scores the smallest share at ``RECALL``, else the one of highest recall.
+
+    ``rows`` (vec_id, v, span) and ``asked`` (vec_id, v) are sampled as the constants say.
+    """
+    def by_size(some: list) -> dict[int, list]:
+        out: dict[int, list] = {}
+        for r in some:
+            out.setdefault(len(r.v), []).append(r)
+        return out
+
+    few = by_size(_sampled(asked, SAMPLED_QUERIES, 1).collect())
+    queries = {size: (np.array([r.vec_id for r in found]), np.array([r.v for r in found])) for size, found in few.items()}
+    near, seen = by_size(_true_neighbours(rows, queries, k)) if queries else {}, by_size(_sampled(rows, SAMPLED_VECTORS, 2).collect())
+
+    def units(some: list) -> np.ndarray:
+        return _unit(np.array([r.v for r in some]), np.array([longest[r.span] for r in some]))
+
+    parts = [(size, *queries[size], near[size], units(near[size]), units(seen[size])) for size in queries if size in near and size in seen]
+    tried = []
+    for functions, width in SETTINGS:
+        most = min(3**functions, max(VISITS))
+        total, visited, count, scored = 0, np.zeros(most), 0, np.zeros(most)
+        for size, ids, q, found, found_units, seen_units in parts:
+            unit = np.column_stack((q / np.linalg.norm(q, axis=1)[:, None], np.zeros(len(q))))
+            first, first_seen = np.full(len(found), most), np.full((len(q), len(seen_units)), most)
+            place = {int(i): n for n, i in enumerate(ids)}
+            of = np.array([place[r.query_id] for r in found])
+            for t in range(tables):
+                a, b = _functions(t, size, functions, width, seed)
+                lists = probed_cells((unit @ a + b) / width, most)
+                cells, all_cells = (_cell(np.floor((u @ a + b) / width).astype(np.int64)) for u in (found_units, seen_units))
+                for n in range(len(q)):
+                    order = np.argsort(lists[n], kind="stable")
+                    ranked = lists[n][order]
+
+                    def visit(wanted: np.ndarray) -> np.ndarray:
+                        at = np.minimum(np.searchsorted(ranked, wanted), most - 1)
+                        return np.where(ranked[at] == wanted, order[at], most)
+
+                    mine = of == n
+                    first[mine] = np.minimum(first[mine], visit(cells[mine]))
+                    first_seen[n] = np.minimum(first_seen[n], visit(all_cells))
+            total, count = total + len(found), count + first_seen.size
+            visited += np.cumsum(np.bincount(first, minlength=most + 1)[:most])
+            scored += np.cumsum(np.bincount(first_seen.reshape(-1), minlength=most + 1)[:most])
+        for probes in [p for p in VISITS if p < most] + [most]:
+            recall, share = visited[probes - 1] / max(total, 1), scored[probes - 1] / max(count, 1)
+            tried.append((functions, width, probes, float(recall), float(share)))
+    good = [x for x in tried if x[3] >= RECALL]
+    return min(good, key=lambda x: (x[4], x[2])) if good else max(tried, key=lambda x: (x[3], -x[4]))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, functions: int | None = None, width: float | None = None,
+            probes: int | None = None, seed: int = SEED) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: for each query the k vectors found with the largest inner products.
 
     ``vectors`` and ``queries`` have ``vec_id`` and ``embedding``; a query doesn't find its own id. Ties go to the smaller vec_id. Vectors that are null, zero or hold a null or non-finite component take
-    no part; vectors of another length than the query's aren't candidates. Every vector is indexed; nothing but the largest norm of each norm range is
-    fitted. A query has fewer than k rows only if there are fewer candidates. Other columns are not read.
+    no part; vectors of another length than the query's aren't candidates. Every vector is indexed. What is not given of ``functions``, ``width`` and ``probes`` is
+    fitted on bounded samples (see ``fitted``). A query has fewer than k rows only if there are fewer candidates. Other columns are not read.
     """
     # norms beyond these bounds fall into the outermost ranges
     measured = usable(vectors).filter("exists(v, x -> x <> 0)").withColumn(
@@ -78,7 +175,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     asked = usable(queries).filter("exists(v, x -> x <> 0)")
     # at most RANGES rows for each power of two a norm can have
     longest = {r.span: r.norm for r in rows.groupBy("span").agg(F.max("norm").alias("norm")).collect()}
-    groups, block = GROUPS, BLOCK
+    if not (functions and width and probes):
+        chosen = fitted(rows, asked, longest, k, tables, seed)
+        functions, width, probes = functions or chosen[0], width or chosen[1], probes or chosen[2]
+    groups, block = max(1, -(-rows.count() // BLOCK)), BLOCK
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,20 +200,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
             sizes = batch.column(1).value_lengths().to_numpy()
             for size in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == size))
-                for low in range(0, part.num_rows, 1024):
-                    some = part.slice(low, 1024)
+                for low in range(0, part.num_rows, 256):
+                    some = part.slice(low, 256)
                     v = matrix(some.column(1))
                     unit = np.column_stack((v / np.linalg.norm(v, axis=1)[:, None], np.zeros(len(v))))
                     for t in range(tables):
                         a, b = _functions(t, int(size), functions, width, seed)
                         cells = probed_cells((unit @ a + b) / width, probes)
-                        group = mix(cells.view(np.uint64)) % np.uint64(groups)
-                        for g in range(groups):
-                            here = group == g
-                            at = np.concatenate(([0], np.cumsum(here.sum(axis=1)))).astype(np.int32)
+                        group = (mix(cells.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+                        # one row for each query and group it has to visit
+                        owner = np.repeat(np.arange(len(v)), cells.shape[1])
+                        order = np.lexsort((group.reshape(-1), owner))
+                        owner, of, listed = owner[order], group.reshape(-1)[order], cells.reshape(-1)[order]
+                        start = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (of[1:] != of[:-1])))
+                        for a_row in range(0, len(start), 4096):
+                            rows_of = start[a_row:a_row + 4096]
+                            end = start[a_row + 4096] if a_row + 4096 < len(start) else len(owner)
+                            at = np.append(rows_of, end) - rows_of[0]
                             yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(len(v), g + t * groups, np.int32)), pa.array(np.full(len(v), size, np.int32)), some.column(0), some.column(1),
-                                 pa.ListArray.from_arrays(pa.array(at), pa.array(cells[here]))], names=["grp", "dim", "query_id", "v", "cells"])
+                                [pa.array((of[rows_of] + t * groups).astype(np.int32)), pa.array(np.full(len(rows_of), size, np.int32)), some.column(0).take(pa.array(owner[rows_of])),
+                                 some.column(1).take(pa.array(owner[rows_of])), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(listed[rows_of[0]:end]))],
+                                names=["grp", "dim", "query_id", "v", "cells"])
 
     indexed = staged(rows.select("vec_id", "v", "span").mapInArrow(index, "grp int, dim int, cell long, vec_id long, v array<double>"), "probe-index")
     # one row per group and vector length, whatever the data: how many parts the group needs
@@ -124,7 +231,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     def visits(asked: DataFrame, probes: int | None) -> DataFrame:
         if probes:
             to = (asked.mapInArrow(lambda batches: probe(batches, probes), "grp int, dim int, query_id long, v array<double>, cells array<long>")
-                  .filter("size(cells) > 0").join(parts, ["grp", "dim"]))
+                  .join(parts, ["grp", "dim"]))
         else:  # the groups of one table hold all vectors
             to = (asked.select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim")).join(parts.filter(F.col("grp") < groups), "dim")
                   .select("grp", "dim", "query_id", "v", F.lit(None).cast("array<long>").alias("cells"), "parts"))
