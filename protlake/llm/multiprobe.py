@@ -11,7 +11,8 @@ neighbours among all vectors are found, and of the settings under which enough o
 sample of the vectors is taken. The closer the neighbours, be it in clusters or because the table grows, the smaller the share.
 
 Cells are dealt by hash into groups, as many as the table has blocks of rows; a group with many rows, as of one large cell, is split. A query travels once to
-each group that holds a cell it visits, with the list of these cells. Queries that found fewer than k rows go on: first to all cells next to their own, then to all vectors.
+each group that holds a cell it visits, with the list of these cells. A first look into a few cells gives a score that k rows reach, and from then on no group hands on
+lower ones, so what a query gets back does not grow with the groups. Queries that found fewer than k rows go on: first to all cells next to their own, then to all vectors.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ VISITS = (4, 8, 16, 32, 64, 100, 150, 200, 300, 450, 729, 1200, 2000)
 RECALL = 0.95  # wanted of the sampled queries' neighbours
 SAMPLED_QUERIES, SAMPLED_VECTORS = 128, 4096  # about so many, by hash of the id
 BLOCK = 4096
+FIRST = 8  # cells of the first look
 RANGES = 8  # norm ranges from one power of two to the next
 SEED = 20240715
 
@@ -218,9 +220,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
                             end = start[a_row + 4096] if a_row + 4096 < len(start) else len(owner)
                             at = np.append(rows_of, end) - rows_of[0]
                             yield pa.RecordBatch.from_arrays(
-                                [pa.array((of[rows_of] + t * groups).astype(np.int32)), pa.array(np.full(len(rows_of), size, np.int32)), some.column(0).take(pa.array(owner[rows_of])),
-                                 some.column(1).take(pa.array(owner[rows_of])), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(listed[rows_of[0]:end]))],
-                                names=["grp", "dim", "query_id", "v", "cells"])
+                                [pa.array((of[rows_of] + t * groups).astype(np.int32)), pa.array(np.full(len(rows_of), size, np.int32)),
+                                 *[some.column(i).take(pa.array(owner[rows_of])) for i in range(3)], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(listed[rows_of[0]:end]))],
+                                names=["grp", "dim", "query_id", "v", "floor", "cells"])
 
     indexed = staged(rows.select("vec_id", "v", "span").mapInArrow(index, "grp int, dim int, cell long, vec_id long, v array<double>"), "probe-index")
     # one row per group and vector length, whatever the data: how many parts the group needs
@@ -230,11 +232,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
 
     def visits(asked: DataFrame, probes: int | None) -> DataFrame:
         if probes:
-            to = (asked.mapInArrow(lambda batches: probe(batches, probes), "grp int, dim int, query_id long, v array<double>, cells array<long>")
+            to = (asked.select("vec_id", "v", "floor").mapInArrow(lambda batches: probe(batches, probes), "grp int, dim int, query_id long, v array<double>, floor double, cells array<long>")
                   .join(parts, ["grp", "dim"]))
         else:  # the groups of one table hold all vectors
-            to = (asked.select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim")).join(parts.filter(F.col("grp") < groups), "dim")
-                  .select("grp", "dim", "query_id", "v", F.lit(None).cast("array<long>").alias("cells"), "parts"))
+            to = (asked.select(F.col("vec_id").alias("query_id"), "v", "floor", F.size("v").alias("dim")).join(parts.filter(F.col("grp") < groups), "dim")
+                  .select("grp", "dim", "query_id", "v", "floor", F.lit(None).cast("array<long>").alias("cells"), "parts"))
         return to.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -277,7 +279,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
             own = np.searchsorted(ids[by_id], asked_ids)
             own_there = np.flatnonzero((own < len(ids)) & (ids[by_id][np.minimum(own, len(ids) - 1)] == asked_ids))
             scores[own_there, own[own_there]] = -np.inf
-            row, col = best_of(scores, k)
+            row, col = best_of(scores, k, some["floor"].to_numpy() - 1e-9)
             exact = np.einsum("ij,ij->i", q[row], v[by_id[col]])
             out.append(pa.table({"query_id": asked_ids[row], "vec_id": ids[by_id[col]], "score": exact}))
         return pa.concat_tables(out) if out else none
@@ -290,6 +292,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
         distinct = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         return distinct.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
+    # a score that k rows reach, if the first cells have so many
+    reached = staged(answers(asked.withColumn("floor", F.lit(float("-inf"))), min(FIRST, probes)).filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor")), "probe-floors")
+    asked = asked.join(reached, asked["vec_id"] == reached["query_id"], "left").select("vec_id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
     settled = []
     for further in (probes, 3 ** functions, None):
         some = staged(answers(asked, further), "probe-answers")
