@@ -38,6 +38,7 @@ BLOCK = 4096
 FIRST = 8  # cells of the first look
 RANGES = 8  # norm ranges from one power of two to the next
 SEED = 20240715
+FOUND_TYPE = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
 
 
 def _functions(table: int, size: int, functions: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +241,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
         return to.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        none = pa.table({"query_id": pa.array([], pa.int64()), "found": pa.array([], FOUND_TYPE)})
         if not left.num_rows or not right.num_rows:
             return none
         left, right = left.combine_chunks(), right.combine_chunks()
@@ -281,15 +282,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
             scores[own_there, own[own_there]] = -np.inf
             row, col = best_of(scores, k, some["floor"].to_numpy() - 1e-9)
             exact = np.einsum("ij,ij->i", q[row], v[by_id[col]])
-            out.append(pa.table({"query_id": asked_ids[row], "vec_id": ids[by_id[col]], "score": exact}))
+            some_found, at = np.unique(row, return_index=True)
+            pairs = pa.StructArray.from_arrays([pa.array(ids[by_id[col]]), pa.array(exact)], names=["vec_id", "score"])
+            out.append(pa.table({"query_id": asked_ids[some_found], "found": pa.ListArray.from_arrays(pa.array(np.append(at, len(row)), pa.int32()), pairs)}))
         return pa.concat_tables(out) if out else none
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def answers(asked: DataFrame, probes: int | None) -> DataFrame:
         found = (dealt.groupBy("grp", "dim", "part").cogroup(visits(asked, probes).groupBy("grp", "dim", "part"))
-                 .applyInArrow(search, "query_id long, vec_id long, score double"))
-        distinct = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+                 .applyInArrow(search, "query_id long, found array<struct<vec_id:long,score:double>>"))
+        # lists of at most k from each group visited; a vector stands once in each table, so the first k of them are among this many
+        every = F.array_sort(F.transform(F.flatten(F.collect_list("found")), lambda f: F.struct((-f.score).alias("down"), f.vec_id.alias("vec_id"))))
+        best_found = found.groupBy("query_id").agg(F.slice(every, 1, k * tables).alias("found"))
+        distinct = best_found.select("query_id", F.inline("found")).groupBy("query_id", "vec_id").agg((-F.min("down")).alias("score"))
         return distinct.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     # a score that k rows reach, if the first cells have so many
