@@ -101,18 +101,14 @@ def obo_scan(spark, sf):
     return text.read_obo_edges(spark, _obo_path(spark, sf))
 
 
-@query("ontology_edges", f"""WITH {_OBO}, v AS (SELECT 'GO:' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS term, row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part WHERE p_size <= 25)
-SELECT DISTINCT CAST(a.k AS INTEGER) AS child_index, CAST(b.k AS INTEGER) AS parent_index FROM ob JOIN v a ON a.term = child JOIN v b ON b.term = parent WHERE child <> parent""")
-def ontology_edges(spark, sf):
-    counts = table(spark, sf, "part").where("p_size <= 25").select(
-        F.lit("BPO").alias("aspect"), F.concat(F.lit("GO:"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("term"), F.lit(1).alias("n"))
-    return text.vocabulary_edges(text.read_obo_edges(spark, _obo_path(spark, sf)), L.vocabulary(counts))
+_EDGES = f"""WITH {_OBO}, v AS (SELECT 'GO:' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS term, row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part)
+SELECT DISTINCT CAST(a.k AS INTEGER) AS child_index, CAST(b.k AS INTEGER) AS parent_index FROM ob JOIN v a ON a.term = child JOIN v b ON b.term = parent WHERE child <> parent"""
 
 
-@query("ontology_edges_all", f"""WITH {_OBO}, v AS (SELECT 'GO:' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS term, row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part)
-SELECT DISTINCT CAST(a.k AS INTEGER) AS child_index, CAST(b.k AS INTEGER) AS parent_index FROM ob JOIN v a ON a.term = child JOIN v b ON b.term = parent WHERE child <> parent""")
-def ontology_edges_all(spark, sf):
-    """The same with every part in the vocabulary."""
+@query("ontology_edges", _EDGES)
+@query("ontology_edges_all", _EDGES)
+def ontology_edges(spark, sf):
+    """Edges between the indices of all parts; two names from the time when one of them had a part of the vocabulary."""
     counts = table(spark, sf, "part").select(
         F.lit("BPO").alias("aspect"), F.concat(F.lit("GO:"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("term"), F.lit(1).alias("n"))
     return text.vocabulary_edges(text.read_obo_edges(spark, _obo_path(spark, sf)), L.vocabulary(counts))
@@ -174,16 +170,13 @@ def split_files(spark, sf):
     return text.read_split_ids(spark, f"{copy}/ids").drop("ord")
 
 
-@query("ground_truth_file", f"WITH {V.LAB} SELECT DISTINCT entry_id AS \"EntryID\", term, aspect FROM lab WHERE aspect = 'CCO'")
-def ground_truth_file(spark, sf):
-    path = scratch_path(spark, "truth")
-    sinks.write_ground_truth(V.labels(spark, sf).where("aspect = 'CCO'"), path)
-    return spark.read.csv(path, sep="\t", header=True, schema="EntryID STRING, term STRING, aspect STRING")
+_TRUTH = f"WITH {V.LAB} SELECT DISTINCT entry_id AS \"EntryID\", term, aspect FROM lab"
 
 
-@query("ground_truth_all", f"WITH {V.LAB} SELECT DISTINCT entry_id AS \"EntryID\", term, aspect FROM lab")
-def ground_truth_all(spark, sf):
-    """The same with the labels of all aspects."""
+@query("ground_truth_file", _TRUTH)
+@query("ground_truth_all", _TRUTH)
+def ground_truth_file(spark, sf):
+    """Labels of all aspects as written and read back; two names from the time when one of them had a single aspect."""
     path = scratch_path(spark, "truth")
     sinks.write_ground_truth(V.labels(spark, sf), path)
     return spark.read.csv(path, sep="\t", header=True, schema="EntryID STRING, term STRING, aspect STRING")

@@ -216,15 +216,12 @@ def node_vectors_normalised(spark, sf):
     return n.select("entry_id", "node", *[F.round(F.get("base", i).cast("double"), 4).alias(f"v{i}") for i in (21, 26, 29)])
 
 
-@query("unresolved_entries", _with("SELECT entry_id, 'no resolved residue positions' AS error FROM res WHERE f = 2 GROUP BY entry_id HAVING count(pos) = 0"))
-def unresolved_entries(spark, sf):
-    """Placing the second fragments alone: some entries get no residue."""
-    t = SF.residue_rows(_parsed(spark, sf).where(F.col("model_entity_id").endswith("-F2")))
-    return G.unresolved_entries(V.sequences(spark, sf), G.resolved(t))
+_UNRESOLVED = _with("SELECT entry_id, 'no resolved residue positions' AS error FROM res GROUP BY entry_id HAVING count(CASE WHEN (vec_id // 2) % 9 <> 0 THEN pos END) = 0")
 
 
-@query("unresolved_entries_all", _with("SELECT entry_id, 'no resolved residue positions' AS error FROM res GROUP BY entry_id HAVING count(CASE WHEN (vec_id // 2) % 9 <> 0 THEN pos END) = 0"))
-def unresolved_entries_all(spark, sf):
+@query("unresolved_entries", _UNRESOLVED)
+@query("unresolved_entries_all", _UNRESOLVED)
+def unresolved_entries(spark, sf):
     """Placing all fragments: every ninth entry has structures without atoms and gets no residue."""
     empty = F.floor(F.col("vec_id") / 2) % 9 == 0
     requests = V.requests(spark, sf).withColumn("pdb_text", F.when(empty, "END").otherwise(F.col("pdb_text")))

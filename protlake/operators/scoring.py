@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from protlake import constants as C
@@ -13,7 +14,7 @@ from protlake.session import staged
 
 # A weight matrix up to this size is shipped once to every executor; a larger one is joined block by block.
 BROADCAST_LIMIT = 64 << 20
-BLOCK_TERMS = 64
+BLOCK_TERMS, BLOCK_ROWS = 512, 4096  # a pair of blocks gives two million scores
 # Most score cells one Python task holds at a time.
 OUTPUT_CELLS = 1 << 20
 
@@ -27,6 +28,9 @@ def linear_scores(features: DataFrame, weights: DataFrame, vector: str = "embedd
     """
     w = weights if bias else weights.withColumn("b", fn.d(0))
     size, width = _checked(w)
+    if not size and weights.isEmpty():
+        return features.select(F.col("entry_id").cast("string").alias("entry_id"), F.lit(None).cast(weights.schema["term"].dataType).alias("term"),
+                               F.lit(None).cast("double").alias("logit")).where("false")
     features = _of_width(features, vector, width)
     if size > broadcast_limit:
         return _blocked_product(features, w, vector)
@@ -73,18 +77,30 @@ def _shipped_product(features: DataFrame, weights: DataFrame, vector: str, relu:
     return src.mapInPandas(score, "entry_id string, logits array<double>")
 
 
-def _blocked_product(features: DataFrame, weights: DataFrame, vector: str, salts: int = 16) -> DataFrame:
-    """Blocks of terms are copied once per salt and joined to salted features, so no task sees a whole side."""
-    n_blocks = F.greatest(F.ceil(F.count("*") / BLOCK_TERMS), F.lit(1)).cast("int")
-    blocks_total = weights.agg(n_blocks).scalar()
-    blocked = weights.withColumn("block", F.pmod(F.xxhash64("term"), blocks_total).cast("int")) \
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    x = features.where(F.col(vector).isNotNull()).select(
-        F.col("entry_id").cast("string").alias("entry_id"), F.col(vector).alias("__x"),
-        F.pmod(F.xxhash64("entry_id"), F.lit(salts)).cast("int").alias("salt"))
-    spread = x.withColumn("block", F.explode(F.sequence(F.lit(0), blocks_total - 1)))
-    dot = fn.array_sum(F.zip_with("__x", "w", lambda a, b: a.cast("double") * b.cast("double")))
-    return spread.join(blocked, ["block", "salt"]).select("entry_id", "term", (dot + F.col("b")).alias("logit"))
+def _blocked_product(features: DataFrame, weights: DataFrame, vector: str) -> DataFrame:
+    """Blocks of features meet blocks of terms, both from row counts, and a pair of blocks is one matrix product; no task sees a whole side.
+
+    Every block of terms travels once for each block of features and the other way round, as any product of two tables needs.
+    """
+    def dealt(rows: DataFrame, name: str, key: str, most: int) -> tuple[DataFrame, int]:
+        blocks = max(1, -(-rows.count() // most))
+        return rows.withColumn(name, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")), blocks
+
+    x, xs = dealt(features.where(F.col(vector).isNotNull()).select(F.col("entry_id").cast("string").alias("entry_id"), F.col(vector).cast("array<double>").alias("x")), "xb", "entry_id", BLOCK_ROWS)
+    w, ws = dealt(weights.select("term", F.col("w").cast("array<double>").alias("w"), F.col("b").cast("double").alias("b")), "wb", "term", BLOCK_TERMS)
+    kind = weights.schema["term"].dataType.simpleString()
+    left = x.withColumn("wb", F.explode(F.sequence(F.lit(0), F.lit(ws - 1))))
+    right = w.withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(xs - 1))))
+
+    def product(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"entry_id": pa.array([], pa.string()), "term": b["term"].slice(0, 0), "logit": pa.array([], pa.float64())})
+        u, v = (t[c].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t, c in ((a, "x"), (b, "w")))
+        out = u @ v.T + b["b"].to_numpy()
+        i, j = np.repeat(np.arange(a.num_rows), b.num_rows), np.tile(np.arange(b.num_rows), a.num_rows)
+        return pa.table({"entry_id": a["entry_id"].take(pa.array(i)), "term": b["term"].take(pa.array(j)), "logit": out.reshape(-1)})
+
+    return left.groupBy("xb", "wb").cogroup(right.groupBy("xb", "wb")).applyInArrow(product, f"entry_id string, term {kind}, logit double")
 
 
 def two_layer_scores(features: DataFrame, hidden: DataFrame, output: DataFrame, vector: str = "embedding",

@@ -193,3 +193,15 @@ def test_precision_recall_in_ranges_equals_one_sequence(spark):
             assert (points[score].tp, points[score].fp) == (tp, fp) and points[score].precision == pytest.approx(p) and points[score].recall == pytest.approx(recall)
             area, step, last = area + (recall - last[1]) * (p + last[0]) / 2, step + (recall - last[1]) * p, (p, recall)
         assert areas[g].micro_auprc == pytest.approx(area) and areas[g].average_precision == pytest.approx(step)
+
+
+def test_no_weights_give_no_scores(spark):
+    from protlake.operators import scoring
+
+    features = spark.createDataFrame([("P", [1.0, 2.0])], "entry_id string, embedding array<float>")
+    none = spark.createDataFrame([], "term string, w array<double>, b double")
+    got = scoring.linear_scores(features, none)
+    assert got.columns == ["entry_id", "term", "logit"] and got.count() == 0
+    weights = spark.createDataFrame([(f"T{i}", [float(i), 1.0], 0.5) for i in range(700)], "term string, w array<double>, b double")
+    both = [{(r.entry_id, r.term): r.logit for r in scoring.linear_scores(features, weights, broadcast_limit=limit).collect()} for limit in (0, 1 << 30)]
+    assert both[0] == both[1] and both[0]["P", "T3"] == 5.5 and len(both[0]) == 700
