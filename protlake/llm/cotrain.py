@@ -308,8 +308,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text), pa.array(meta), pa.array(both), pa.array(both >= threshold)],
                                              names=["doc_id", "text_score", "meta_score", "score", "keep"])
 
-    tk.small_batches(docs.sparkSession)
-    with Scratch(docs.sparkSession, "cotrain") as scratch:
+    with Scratch(docs.sparkSession, "cotrain") as scratch, tk.batches(docs.sparkSession):
         table = scratch.table(features(docs))
         model = train(table, labels, scratch, **how)
         return staged(table.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean"), "quality-scores")
@@ -317,8 +316,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
     """The rows of ``docs`` whose document is kept, all columns as they are; texts are scored where they lie."""
-    tk.small_batches(docs.sparkSession)
-    with Scratch(docs.sparkSession, "cotrain") as scratch:
+    with Scratch(docs.sparkSession, "cotrain") as scratch, tk.batches(docs.sparkSession):
         model = train(scratch.table(features(docs)), labels, scratch, **how)
     names = [f"c{i}" for i in range(len(docs.columns))]
     schema = docs.schema
@@ -335,4 +333,5 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how)
 
     from pyspark.sql import types as T
     out = inner.mapInArrow(run, T.StructType([T.StructField(x, f.dataType, True) for x, f in zip(names, schema.fields, strict=True)]))
-    return out.select(*[F.col(x).alias(c) for x, c in zip(names, docs.columns, strict=True)])
+    with tk.batches(docs.sparkSession):
+        return staged(out, "quality-accepted").select(*[F.col(x).alias(c) for x, c in zip(names, docs.columns, strict=True)])

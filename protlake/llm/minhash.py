@@ -254,8 +254,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
     connected parts. A text with fewer than ``k`` words is one shingle. A null, empty or wordless text is a class of its own.
     A null doc_id takes no part and has a null class (kept). Rows that repeat a doc_id share its class. Other columns are not read.
     """
-    tk.small_batches(docs.sparkSession)
-    with Scratch(docs.sparkSession, "minhash") as scratch:
+    with Scratch(docs.sparkSession, "minhash") as scratch, tk.batches(docs.sparkSession):
         sig = scratch.table(signatures(docs, bands, rows, k))
         usable = sig.filter("doc_id is not null and shingles > 0")
         copies = scratch.table(usable.groupBy("content_a", "content_b").agg(F.min("doc_id").alias("first_copy")))

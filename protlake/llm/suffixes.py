@@ -187,15 +187,16 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, head: int = HEAD) -
     """
     if not 1 <= head < length:
         raise ValueError("head must lie below length")
-    tk.small_batches(docs.sparkSession)
-    with Scratch(docs.sparkSession, "suffixes") as scratch:
+    with Scratch(docs.sparkSession, "suffixes") as scratch, tk.batches(docs.sparkSession):
         shared = shared_suffixes(scratch.table(suffixes(docs, length, head)), scratch)
         # written first: a join on plain shuffles is split where one passage holds most of the rows
         firsts = scratch.table(shared.groupBy("around").agg(F.min("doc_id").alias("first_doc"), (F.max("doc_id") > F.min("doc_id")).alias("copied")))
         placed = scratch.table(shared.join(firsts, "around"))
 
         rest = placed.filter("doc_id = first_doc").select("head", "doc_id", "lo", "hi", "pos", "around", "copied")
-        several = rest.groupBy("head").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("head")
+        # written like firsts, so that the join below is one on plain shuffles and a head with most of the rows is split
+        rest = scratch.table(rest)
+        several = scratch.table(rest.groupBy("head").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("head"))
         ranges = (rest.join(several, "head", "left_semi").drop("head").distinct()
                   .groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "pos", "around", "copied")).alias("ranges")))
         # ids with ranges grow with the data: no side is to be broadcast

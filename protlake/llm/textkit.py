@@ -8,11 +8,12 @@ their length; only one hash and two offsets per word are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import SparkSession
 
+from protlake.session import arrow_batches
+
 PIECE = 1 << 17  # bytes hashed at a time
 GROUP = 1 << 20  # bytes of text handled together
 BATCH = 1000  # rows in an Arrow batch of texts
@@ -30,24 +31,9 @@ NON_WORD = np.zeros(256, bool)
 NON_WORD[:128] = [not chr(c).isalnum() for c in range(128)]
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Have Spark hand texts to tasks in batches of at most ``BATCH`` rows, so that a batch fits beside the executor's heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH:
-        spark.conf.set(key, str(BATCH))
-
-
-@contextmanager
-def batches(spark: SparkSession, rows: int = BATCH) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows for the tables written inside the block; the session's setting comes back at its end."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if not 0 < int(before) <= rows:
-        spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def batches(spark: SparkSession, rows: int = BATCH):
+    """Arrow batches small enough to fit beside the executor's heap, for the tables written inside the block."""
+    return arrow_batches(spark, rows)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

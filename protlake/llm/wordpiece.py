@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from protlake.llm import textkit as tk
+from protlake.session import staged
 
 REMEMBERED = 300_000  # words whose count a task keeps
 UNKNOWN = 1 << 40  # added to a word's count of 1 when no sequence of pieces spells it
@@ -113,7 +114,6 @@ def token_counts(docs: DataFrame, initial: list[str], inner: list[str]) -> DataF
     words. Texts are read whole, words of any length in linear time. Null and repeated ids stay; other columns are not read. The vocabulary
     goes to the executors once; its size doesn't depend on the data.
     """
-    tk.small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast((initial, inner))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,5 +129,7 @@ def token_counts(docs: DataFrame, initial: list[str], inner: list[str]) -> DataF
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array([s % UNKNOWN for s in sums], pa.int64()), pa.array([s // UNKNOWN for s in sums], pa.int64())],
                 names=["doc_id", "words", "tokens", "unknown_words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, words long, tokens long, unknown_words long")
+    with tk.batches(docs.sparkSession):
+        return staged(counted, "token-counts")

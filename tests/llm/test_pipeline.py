@@ -17,7 +17,7 @@ NAMES = [n for n in entry_module.queries() if n.startswith("op") and "_" in n an
 
 
 def test_all_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 11)) and "pipeline" in entry_module.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 14)) and "pipeline" in entry_module.queries()
 
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n in entry_module.oracle_sql()])
