@@ -4,7 +4,7 @@ One pass counts hashed n-grams in all documents (the raw corpus) and, of the doc
 symbols make one multinomial, pairs of adjacent words another. The ratio of a slot is the logarithm of its target count over the count
 that the raw corpus would give a text of the target's size, both smoothed by the same number, so slots with little evidence count little. A document's score in each
 order is the sum over its n-grams, divided by their number. A part of the trusted documents is kept out of the target; the threshold of each order is the score
-that all but a given share of those reach, and every document is judged by these two numbers.
+that all but a given share of those reach, and every document is judged by these two numbers. Every trusted document is in one of the two parts.
 
 A table has 2**bits slots of four bytes, ``bits`` growing with the logarithm of the corpus between two fixed bounds, so what is sent to the tasks is bounded.
 """
@@ -25,7 +25,7 @@ LEAST_BITS, MOST_BITS = 18, 22
 SMOOTHING = 2.0  # added to the target's count of a slot and to the count expected of it
 LOSS = (0.01, 0.005)  # share of held-out trusted documents below the threshold, by order
 HELD_OUT = 3  # one in so many trusted documents is kept out of the target
-MAX_TRUSTED = 100_000  # trusted documents, the smallest by hash of the id; their ids are broadcast
+BROADCAST = 500_000  # trusted ids up to which they are sent to every task; beyond, the texts are dealt by id and counted there
 STEP = 1e-4  # width of a score step in the search for a threshold
 
 _SYMBOL = np.zeros(256, bool)
@@ -94,13 +94,17 @@ def _bits(docs: DataFrame) -> int:
     return min(MOST_BITS, LEAST_BITS + max(0, math.ceil((math.log2(max(letters, 1)) - 34) / 2)))
 
 
-def trusted_ids(labels: DataFrame, held_out: int = HELD_OUT, limit: int = MAX_TRUSTED) -> DataFrame:
-    """``id`` and ``part`` (1: target, 2: held out) of documents that all their labels call good and not toxic; at most about ``limit``, by hash."""
+def trusted_ids(labels: DataFrame, held_out: int = HELD_OUT) -> DataFrame:
+    """``id`` and ``part`` (1: target, 2: held out) of all documents that all their labels call good and not toxic."""
     good = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(
         F.min(F.coalesce(F.col("quality") == 1, F.lit(False)) & F.coalesce(F.col("toxic") == 0, F.lit(False))).alias("good")).filter("good")
-    total = good.count()
-    share = F.lit(min(1.0, limit / max(total, 1)) * 2.0**31)
-    return good.filter(F.pmod(F.xxhash64("id"), F.lit(2**31)) < share).select("id", F.when(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(held_out)) == 0, 2).otherwise(1).alias("part"))
+    return good.select("id", F.when(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(held_out)) == 0, 2).otherwise(1).alias("part"))
+
+
+def _marked(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``t``, ``part`` (0: not trusted) of all ``rows`` (id, t). Many ids make hash tables by key range, without a sort of the texts; AQE splits a partition that a frequent id makes large."""
+    side = F.broadcast(trusted) if trusted.count() <= BROADCAST else trusted.hint("shuffle_hash")
+    return rows.join(side, "id", "left").select("t", F.coalesce("part", F.lit(0)).alias("part"))
 
 
 def slot_counts(marked: DataFrame, bits: int) -> DataFrame:
@@ -151,10 +155,10 @@ def _threshold(scores: DataFrame, name: str, loss: float) -> float | None:
     return None
 
 
-SCORES = "doc_id long, part int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score_1 double, score_2 double"
+SCORES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score_1 double, score_2 double"
 
 
-def judged(docs: DataFrame, labels: DataFrame, loss: tuple[float, float] = LOSS, smoothing: float = SMOOTHING, held_out: int = HELD_OUT, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, loss: tuple[float, float] = LOSS, smoothing: float = SMOOTHING, held_out: int = HELD_OUT) -> DataFrame:
     """One row per document: ``doc_id``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``base_failed``, ``kept`` and both scores.
 
     Words are runs without ASCII white space. ``base_failed``: fewer than 10 words, or over a fifth of the words in repeated five-word windows. ``kept`` needs the base rules and, in each order
@@ -164,12 +168,10 @@ def judged(docs: DataFrame, labels: DataFrame, loss: tuple[float, float] = LOSS,
     """
     spark = docs.sparkSession
     with Scratch(spark, "ngram-ratio") as scratch, tk.batches(spark):
-        trusted = scratch.table(trusted_ids(labels, held_out, max_trusted))
+        trusted = scratch.table(trusted_ids(labels, held_out))
         rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
-        # at most max_trusted ids
-        marked = rows.join(F.broadcast(trusted), "id", "left").select("id", "t", F.coalesce("part", F.lit(0)).alias("part"))
         bits = _bits(docs)
-        table = ratios(scratch.table(slot_counts(marked, bits)), bits, smoothing)
+        table = ratios(scratch.table(slot_counts(_marked(rows, trusted), bits)), bits, smoothing)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -181,11 +183,12 @@ def judged(docs: DataFrame, labels: DataFrame, loss: tuple[float, float] = LOSS,
                         many = np.bincount(doc, minlength=b - a)
                         total = np.bincount(doc, weights=table[order][slots(hashes, bits)], minlength=b - a)
                         found.append(pa.array(total / np.maximum(many, 1), mask=many == 0))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *[pa.array(v.astype(np.int64)) for v in base.values()], *found],
-                                                     names=["doc_id", "part", *base, "score_1", "score_2"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(v.astype(np.int64)) for v in base.values()], *found],
+                                                     names=["doc_id", *base, "score_1", "score_2"])
 
-        scores = staged(marked.mapInArrow(score, SCORES), "ngram-ratio-scores")
-        tested = scores.filter("part = 2")
+        scores = staged(rows.mapInArrow(score, SCORES), "ngram-ratio-scores")
+        held = trusted.filter("part = 2")
+        tested = scratch.table(scores.join(held, scores.doc_id == held.id).select("score_1", "score_2"))
         limits = [_threshold(tested, f"score_{i + 1}", share) for i, share in enumerate(loss)]
 
     def passes(order: int) -> Column:

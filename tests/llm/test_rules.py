@@ -201,6 +201,21 @@ def test_rules_without_labels_or_documents(spark):
     assert ngram_ratio.judged(docs.limit(0), marks).count() == 0
 
 
+def test_all_trusted_documents_are_used(spark):
+    marks = spark.range(130_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.when(F.col("id") % 13 > 0, 0).otherwise(1).alias("toxic"))
+    assert sum(r["count"] for r in ngram_ratio.trusted_ids(marks).groupBy("part").count().collect()) == 120_000
+
+
+def test_trusted_ids_too_many_to_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame(rule_documents() + [(None, sentence(3, 90), "en", "a", None)] * 3 + [(205, sentence(4, 90), "en", "a", None)], DOC_SCHEMA).repartition(3)
+    marks = spark.createDataFrame([(200 + i, 1, 0) for i in range(30)] + [(None, 1, 0), (203, 0, 0)], "doc_id long, quality int, toxic int")
+    want = Counter(ngram_ratio.judged(docs, marks, held_out=2).collect())
+    monkeypatch.setattr(ngram_ratio, "BROADCAST", 3)
+    assert Counter(ngram_ratio.judged(docs, marks, held_out=2).collect()) == want
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    assert ngram_ratio._marked(rows, ngram_ratio.trusted_ids(marks)).count() == docs.count()
+
+
 def test_ngrams_do_not_cross_texts():
     together = ngram_ratio.ngrams(["a b", "", None, "c !! d"])
     assert [list(map(int, doc)) for doc, _ in together] == [[0, 0, 3, 3, 3], [0, 3]]
