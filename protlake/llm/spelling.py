@@ -22,7 +22,7 @@ from protlake.llm import textkit as tk
 from protlake.session import Scratch, staged
 
 LEAST_LETTERS, LEAST_COUNT = 5, 3
-BLOCK, BLOCK_BYTES, SUB = 8192, 1 << 20, 512  # words and bytes of a block, words of a sub-block
+BLOCK, BLOCK_BYTES, SUB = 8192, 1 << 20, 256  # words and bytes of a block, words of a sub-block
 SORTED_BY = 12  # letters whose counts order the words of a length
 SALTS = 16
 HELD = 1 << 18  # distinct words a task holds before it hands its counts on
@@ -61,6 +61,8 @@ def word_counts(docs: DataFrame, least_letters: int = LEAST_LETTERS, least_count
                     continue
                 seed = zlib.crc32(f"{'' if number is None else number}:".encode())
                 for word, n in runs(text.as_py()).items():
+                    if len(word) < least_letters:  # damage only shortens
+                        continue
                     h = zlib.crc32(word.encode(), seed)
                     if h % damaged_in == 0:
                         word = word[:(k := h % len(word))] + word[k + 1:]
@@ -153,12 +155,14 @@ def near_words(a: list[bytes], b: list[bytes] | None) -> tuple[np.ndarray, np.nd
     used = np.union1d(np.unique(x), np.unique(y))
     cx = _counts(x, used)
     cy = cx if b is None else _counts(y, used)
-    exact = np.float32 if max((cx * cx).sum(axis=1).max(), (cy * cy).sum(axis=1).max()) < 1 << 22 else np.float64
+    nx, ny = (cx * cx).sum(axis=1), (cy * cy).sum(axis=1)
+    exact = np.float32 if max(nx.max(), ny.max()) < 1 << 22 else np.float64
     starts_x, starts_y = np.arange(0, len(x), SUB), np.arange(0, len(y), SUB)
     low_x, high_x = np.minimum.reduceat(cx, starts_x), np.maximum.reduceat(cx, starts_x)
     low_y, high_y = np.minimum.reduceat(cy, starts_y), np.maximum.reduceat(cy, starts_y)
-    fx, fy = cx.astype(exact), cy.astype(exact)
-    nx, ny = (fx * fx).sum(axis=1), (fy * fy).sum(axis=1)
+    # with the norms as two more columns the product is the squared distance itself
+    fx = np.column_stack((-2 * cx, nx, np.ones_like(nx))).astype(exact)
+    fy = np.ascontiguousarray(np.column_stack((cy, np.ones_like(ny), ny)).astype(exact).T)
     found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     step = max(1, (1 << 22) // x.shape[1])
     for p, s in enumerate(starts_x):
@@ -167,8 +171,9 @@ def near_words(a: list[bytes], b: list[bytes] | None) -> tuple[np.ndarray, np.nd
             t = starts_y[q]
             if b is None and t < s:
                 continue
-            square = nx[s:s + SUB, None] + ny[None, t:t + SUB] - 2 * (fx[s:s + SUB] @ fy[t:t + SUB].T)
-            i, j = np.nonzero((square <= 2) & (square > 0))
+            square = fx[s:s + SUB] @ fy[:, t:t + SUB]
+            at = np.flatnonzero(square <= 2)
+            i, j = np.divmod(at[square.ravel()[at] > 0], square.shape[1])
             i, j = i + s, j + t
             if b is None and s == t:
                 i, j = i[i < j], j[i < j]
@@ -193,17 +198,23 @@ def _sums(words: list[str], counts: np.ndarray, own: np.ndarray, other: np.ndarr
                                        pa.array([words[i] for i in other[first]], pa.string())], names=["word", "n_near", "n", "form"])
 
 
+def _cells(cell: pa.ListScalar) -> np.ndarray:
+    """A list cell as an array, without a Python scalar for each entry on the way."""
+    return cell.values.to_numpy(zero_copy_only=False)
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
-            a, b, words_a, words_b, counts_a, counts_b = (c[k].as_py() for c in batch.columns)
-            first = [w.encode("latin-1") for w in words_a]
+            a, b, words_a, words_b, counts_a, counts_b = (c[k] for c in batch.columns)
+            words, counts = _cells(words_a).tolist(), _cells(counts_a)
+            first = [w.encode("latin-1") for w in words]
             if a == b:
                 i, j = near_words(first, None)
-                words, counts = words_a, np.array(counts_a)
             else:
-                i, j = near_words(first, [w.encode("latin-1") for w in words_b])
-                words, counts, j = words_a + words_b, np.array(counts_a + counts_b), j + len(words_a)
+                others = _cells(words_b).tolist()
+                i, j = near_words(first, [w.encode("latin-1") for w in others])
+                words, counts, j = words + others, np.concatenate((counts, _cells(counts_b))), j + len(words)
             if len(i):
                 yield _sums(words, counts, np.concatenate((i, j)), np.concatenate((j, i)))
 

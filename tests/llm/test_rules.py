@@ -10,6 +10,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -299,6 +300,28 @@ def test_pieces_and_sub_blocks(monkeypatch):
     assert set(zip(i.tolist(), j.tolist())) == pairs and len(i) == len(pairs)
 
 
+def test_near_words_across_lengths_with_long_runs(monkeypatch):
+    rnd = random.Random(4)
+    base = sorted({"".join(rnd.choices("abÿ", k=6)) for _ in range(200)}) + ["q" * 6, "qqqqqq"[:-1] + "z"]
+    for pad in ("", "q" * 3000):  # the squared norms of the second kind leave float32
+        a = [(w + pad).encode("latin-1") for w in base]
+        b = sorted({w[:k] + c + w[k:] for w in a[::3] for k in (0, 3, 6) for c in (b"a", b"\xff")})
+        near = {(i, j) for i, v in enumerate(a) for j, w in enumerate(b) if any(w[:k] + w[k + 1:] == v for k in range(8))}
+        for sub in (7, 256):
+            monkeypatch.setattr(spelling, "SUB", sub)
+            i, j = spelling.near_words(a, b)
+            assert near and set(zip(i.tolist(), j.tolist())) == near and len(i) == len(near)
+
+
+def test_block_pairs_are_read_as_arrays():
+    words, counts = [["abcde", "abcdf"], ["abcde", "zzzéé"], ["yzzzéé"]], [[9, 3], [9, 7], [6]]
+    assert spelling._cells(pa.array(words)[1]).tolist() == words[1] and spelling._cells(pa.array(counts)[1]).tolist() == counts[1]
+    columns = [[1, 2], [1, 3], words[:2], [words[0], words[2]], counts[:2], [counts[0], counts[2]]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "words_a", "words_b", "counts_a", "counts_b"])
+    got = [tuple(r.values()) for part in spelling._met([batch]) for r in part.to_pylist()]
+    assert got == [("abcde", 1, 3, "abcdf"), ("abcdf", 1, 9, "abcde"), ("zzzéé", 1, 6, "yzzzéé"), ("yzzzéé", 1, 7, "zzzéé")]
+
+
 def test_no_words(spark):
     assert spelling.variants(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
     assert spelling.variants(spark.createDataFrame([(1, "a b", None, None, None)], DOC_SCHEMA)).count() == 0
