@@ -52,3 +52,36 @@ def test_registry_is_consistent():
 
 def test_entry_has_rows(spark):
     assert entry_module.entry(spark).count() == 1
+
+
+def test_structure_files_come_in_groups(spark, tmp_path, monkeypatch):
+    """The driver never lists the files of more than one group of fragments, and each group's files go once its rows are stored."""
+    import random
+
+    import duckdb
+
+    from protlake.catalog import written
+    from protlake.sources import structures as ST
+
+    draw = random.Random(4)
+    rows = [(i, i % 3, [draw.uniform(-0.2, 0.2) for _ in range(64)]) for i in range(24)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    listed, read = [], ST.read_files
+
+    def seen(*args, **kwargs):
+        files = read(*args, **kwargs)
+        listed.append(len(files.inputFiles()))
+        return files
+
+    monkeypatch.setattr(written, "FILES", 5, raising=False)
+    monkeypatch.setattr(written.ST, "read_files", seen)
+    left = lambda: glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/**/model_entity_id=*", recursive=True)
+    before = left()
+    got = entry_module.queries()["structure_files"](spark, str(tmp_path)).collect()
+    assert sum(listed) == 48 and max(listed) <= 12
+    assert sorted(left()) == sorted(before)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(entry_module.oracle_sql()["structure_files"])
+    names = [d[0] for d in want.description]
+    assert sorted(tuple(canon(r[c]) for c in names) for r in got) == sorted(tuple(canon(v) for v in r) for r in want.fetchall())
