@@ -9,6 +9,7 @@ from protlake.catalog.registry import query, r6, rounded, table
 from protlake.functions import scalar as fn
 from protlake.operators import checks, labels as L, metrics as M, ranking, scoring as S
 from protlake.plans import reports
+from protlake.session import Scratch, shuffles_dropped
 
 T = 0.5
 STEPS = M.step_thresholds(0.01)
@@ -333,10 +334,12 @@ UNION ALL SELECT 'fused', term, CAST(least(greatest(CAST(0.5 * score::DOUBLE + 0
 {_sweep_sql(STEPS, 'model', 'md', cells=ALL_CELLS)}, b AS (SELECT * FROM ff QUALIFY row_number() OVER (PARTITION BY model ORDER BY f1 DESC, k) = 1)
 SELECT model, round(f1, 6) AS fmax, round(t, 6) AS fmax_threshold, round(f1 - (SELECT f1 FROM b WHERE model = 'graph'), 6) AS fmax_delta FROM b""")
 def fusion_report(spark, sf):
-    p = V.pairs(spark, sf)
-    second = p.select("entry_id", "term", F.col("second_score").alias("score"))
-    report = reports.fusion_report(p.select("entry_id", "term", "score"), second, p.where("y").select("entry_id", "term"),
-                                   V.terms(spark, sf), 1.0, 1.0, entries=V.entries(spark, sf))
+    with Scratch(spark, "fusion") as scratch:
+        with shuffles_dropped(spark):
+            p = scratch.table(V.pairs(spark, sf).select("entry_id", "term", "score", "second_score", "y"))  # three tables come from it
+        second = p.select("entry_id", "term", F.col("second_score").alias("score"))
+        report = reports.fusion_report(p.select("entry_id", "term", "score"), second, p.where("y").select("entry_id", "term"),
+                                       V.terms(spark, sf), 1.0, 1.0, entries=V.entries(spark, sf))
     return rounded(report.select("model", "fmax", "fmax_threshold", "fmax_delta"))
 
 

@@ -70,14 +70,14 @@ def join_targets(scores: DataFrame, labels: DataFrame, keep_unscored: bool = Tru
 
 
 def implicit_cells(pairs: DataFrame, entries: DataFrame, terms: DataFrame, thresholds: list[float],
-                   by: list[str] = (), weight: str | None = None, each_term: bool = False) -> DataFrame:
+                   by: list[str] = (), weight: str | None = None, each_term: bool = False, rows: str | None = None) -> DataFrame:
     """Bucket row of the cells without a pair: (by…, bucket, pos=0, neg). ``terms`` lists (by…, term[, weight]).
 
-    Entries without the ``by`` columns count in every group.
+    Entries without the ``by`` columns count in every group. With ``rows`` that column of ``pairs`` says how many pairs a row stands for.
     """
     by = list(by)
     entry_by = [c for c in by if c in entries.columns]
-    seen = pairs.groupBy(*by, "term").agg(F.count("*").alias("__seen"))
+    seen = pairs.groupBy(*by, "term").agg((F.sum(rows) if rows else F.count("*")).alias("__seen"))
     base = terms.join(seen, [*by, "term"], "left")
     if entry_by:
         base = base.join(entries.groupBy(*entry_by).agg(F.count("*").alias("__n")), entry_by)
@@ -98,13 +98,17 @@ def implicit_per_term(pairs: DataFrame, entries: DataFrame, terms: DataFrame, th
 
 
 def unscored(pairs: DataFrame, entries: DataFrame | None, terms: DataFrame | None, dense: bool, thresholds: list[float],
-             by: list[str] = (), weight: str | None = None, each_term: bool = False) -> DataFrame | None:
+             by: list[str] = (), weight: str | None = None, each_term: bool = False, rows: str | None = None) -> DataFrame | None:
     """Bucket row of the cells without a pair; none for a table declared dense, which has a row for every cell."""
     if dense:
         return None
-    if entries is None or terms is None:
+    need_cells(entries, terms, dense)
+    return implicit_per_term(pairs, entries, terms, thresholds, by) if each_term else implicit_cells(pairs, entries, terms, thresholds, by, weight, rows=rows)
+
+
+def need_cells(entries: DataFrame | None, terms: DataFrame | None, dense: bool) -> None:
+    if not dense and (entries is None or terms is None):
         raise ValueError("entries and terms are needed to count the cells without a score; or declare the table dense")
-    return implicit_per_term(pairs, entries, terms, thresholds, by) if each_term else implicit_cells(pairs, entries, terms, thresholds, by, weight)
 
 
 def term_buckets(pairs: DataFrame, thresholds: list[float], by: list[str], entries: DataFrame | None, terms: DataFrame | None, dense: bool) -> DataFrame:
@@ -193,11 +197,11 @@ def weigh(per_term: DataFrame, weights: DataFrame, by: list[str] = ()) -> DataFr
 
 
 def term_bucket_counts(pairs: DataFrame, thresholds: list[float], at: float, by: list[str] = ()) -> DataFrame:
-    """(by…, term, bucket, pos, neg, tp, fp, fn): one pass that serves the sweeps and the metrics at one threshold."""
+    """(by…, term, bucket, pos, neg, tp, fp, fn, rows): one pass that serves the sweeps, the metrics at one threshold and the count of cells."""
     hit, y = F.col("score").cast("float") >= F.lit(at).cast("float"), F.col("y")
     return pairs.groupBy(*by, "term", bucket_of(F.col("score"), thresholds).alias("bucket")).agg(
         F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"), F.count_if(hit & y).alias("tp"),
-        F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & y).alias("fn"))
+        F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & y).alias("fn"), F.count("*").alias("rows"))
 
 
 def term_counts_at(pairs: DataFrame, threshold: float, by: list[str] = ()) -> DataFrame:

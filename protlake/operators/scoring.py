@@ -194,16 +194,17 @@ def clamped(pairs: DataFrame) -> DataFrame:
 
 def evaluate(pairs: DataFrame, terms: DataFrame, threshold: float, step: float = 0.01, by: list[str] = (), *, entries: DataFrame | None = None,
              dense: bool = False) -> DataFrame:
-    """All metrics of a score table, one row per group. ``terms`` = (by…, term) is the whole vocabulary, ``entries`` all entries.
+    """All metrics of a score table, one row per group. ``terms`` = (by…, term) is the whole vocabulary, ``entries`` all entries; the result does not read ``pairs`` again.
 
     Cells without a row are negatives of score 0, so ``threshold`` must lie above the clamp.
     """
     if threshold <= C.SCORE_CLAMP:
         raise ValueError("threshold must lie above the score clamp")
     by, grid = list(by), metrics.step_thresholds(step)
-    extra = metrics.unscored(pairs, entries, terms, dense, grid, by)
+    metrics.need_cells(entries, terms, dense)
     # the score table is read once; what is kept has one row per term and bucket
     counters = staged(metrics.term_bucket_counts(clamped(pairs), grid, threshold, by), "counters")
+    extra = metrics.unscored(counters, entries, terms, dense, grid, by, rows="rows")
     per_term = counters.groupBy(*by, "term").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     flat = metrics.micro_macro(metrics.complete_terms(per_term, terms, by), by)
     buckets = counters.select(*by, "bucket", "pos", "neg")

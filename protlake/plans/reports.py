@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from protlake.operators import checks, epochs, metrics, reshape, scoring
 from protlake.operators.sequences import feature_matrix
+from protlake.session import Scratch, shuffles_dropped, staged
 
 RUN_METRICS = ["val_fmax", "test_fmax", "val_loss", "test_loss"]
 
@@ -25,14 +26,21 @@ def fusion_report(graph: DataFrame, sequence: DataFrame, labels: DataFrame, term
     """Metrics of the graph scores, the sequence scores and their fusion over all entry x term cells, with deltas to the graph row.
 
     Labels that a table doesn't score count as missed by it; a scored entry outside of ``entries`` is an error.
+    One table is joined and then counted after the other, and what each of these steps writes goes before the next, so the disk holds the shuffle files
+    of one step.
     """
-    tables = {"graph": graph, "sequence": sequence,
-              "fused": scoring.fuse(graph, sequence, graph_weight, sequence_weight, space)}
-    pairs = reshape.stack_tables(*[metrics.join_targets(t.select("entry_id", "term", "score"), labels, entries=entries)
-                                   .select(F.lit(name).alias("model"), "entry_id", "term", "score", "y") for name, t in tables.items()])
-    vocab = terms.select("term", F.explode(F.array(*map(F.lit, tables))).alias("model"))
-    rows = scoring.evaluate(pairs, vocab, threshold, step, ["model"], entries=entries)
-    return reshape.delta_to_baseline(rows, ["metric_threshold"], "fmax", F.col("model").startswith("graph"), "fmax_delta")
+    spark = graph.sparkSession
+    entries = staged(entries.select("entry_id", *[c for c in entries.columns if c == "model"]), "fusion-entries")
+    rows = []
+    with shuffles_dropped(spark), Scratch(spark, "fused") as both:
+        fused = both.table(scoring.fuse(graph, sequence, graph_weight, sequence_weight, space).select("entry_id", "term", "score"))
+        for name, t in {"graph": graph, "sequence": sequence, "fused": fused}.items():
+            with Scratch(spark, "fusion-pairs") as one:
+                pairs = one.table(metrics.join_targets(t.select("entry_id", "term", "score"), labels, entries=entries)
+                                  .select(F.lit(name).alias("model"), "entry_id", "term", "score", "y"))
+                vocab = terms.select("term", F.lit(name).alias("model"))
+                rows.append(scoring.evaluate(pairs, vocab, threshold, step, ["model"], entries=entries))
+    return reshape.delta_to_baseline(reshape.stack_tables(*rows), ["metric_threshold"], "fmax", F.col("model").startswith("graph"), "fmax_delta")
 
 
 def sequence_matrix(index: DataFrame, embeddings: DataFrame, width: int | None = None) -> DataFrame:

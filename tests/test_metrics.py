@@ -205,3 +205,45 @@ def test_no_weights_give_no_scores(spark):
     weights = spark.createDataFrame([(f"T{i}", [float(i), 1.0], 0.5) for i in range(700)], "term string, w array<double>, b double")
     both = [{(r.entry_id, r.term): r.logit for r in scoring.linear_scores(features, weights, broadcast_limit=limit).collect()} for limit in (0, 1 << 30)]
     assert both[0] == both[1] and both[0]["P", "T3"] == 5.5 and len(both[0]) == 700
+
+
+def test_fusion_report_counts_each_table_by_itself(spark, tmp_path, monkeypatch):
+    """Brute force with repeated pairs and labels nobody scored; one table at a time, and nothing reads a table of pairs again or leaves it behind."""
+    from protlake.plans import reports
+
+    draw = random.Random(7)
+    names, vocab = [f"P{i}" for i in range(12)], [f"T{j}" for j in range(6)]
+    cells = [(e, t) for e in names for t in vocab]
+    scored = draw.sample(cells, 40)
+    scored += scored[:5]  # come twice in both tables
+    first, second = ([(e, t, draw.randrange(101) / 100) for e, t in scored] for _ in range(2))
+    positive = draw.sample(cells, 25)
+    kinds = "entry_id string, term string"
+    path = lambda n: str(tmp_path / n)
+    for n, rows in (("graph", first), ("sequence", second)):
+        spark.createDataFrame(rows, f"{kinds}, score float").write.parquet(path(n))
+    labels = spark.createDataFrame(positive + positive[:4], kinds)
+    calls, evaluate = [], S.evaluate
+    monkeypatch.setattr(reports.scoring, "evaluate", lambda pairs, *a, **k: calls.append({r.model for r in pairs.select("model").distinct().collect()}) or evaluate(pairs, *a, **k))
+    report = reports.fusion_report(spark.read.parquet(path("graph")), spark.read.parquet(path("sequence")), labels, spark.createDataFrame([(t,) for t in vocab], "term string"),
+                                   1.0, 3.0, step=0.1, entries=spark.createDataFrame([(e,) for e in names], "entry_id string"))
+    assert sorted(map(sorted, calls)) == [["fused"], ["graph"], ["sequence"]]
+    assert not [f for f in report.inputFiles() if str(tmp_path) in f or "fused" in f or "pairs" in f]
+
+    f32 = lambda v: float(np.float32(v))
+    tables = {"graph": first, "sequence": second,
+              "fused": [(e, t, 0.25 * f32(v) + 0.75 * f32(w)) for e, t, v in first for d, u, w in second if (e, t) == (d, u)]}
+    got, best = {r.model: r for r in report.collect()}, {}
+    for name, rows in tables.items():
+        have = {(e, t) for e, t, _ in rows}
+        pairs = [(f32(min(max(f32(v), 1e-7), 1 - 1e-7)), (e, t) in set(positive)) for e, t, v in rows] + [(f32(1e-7), True) for c in positive if c not in have]
+        missing = len(cells) - len(pairs)
+        at = []
+        for k in M.step_thresholds(0.1):
+            tp, fp = (sum(v >= f32(k) and y == w for v, y in pairs) for w in (True, False))
+            fp += missing if k <= 0 else 0
+            p, r = tp / (tp + fp) if tp + fp else 0.0, tp / sum(y for _, y in pairs)
+            at.append((2 * p * r / (p + r) if p + r else 0.0, -k))
+        best[name] = max(at)
+        assert got[name].fmax == pytest.approx(best[name][0]) and got[name].fmax_threshold == pytest.approx(-best[name][1])
+        assert got[name].fmax_delta == pytest.approx(best[name][0] - best["graph"][0])
