@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from protlake.operators import checks, epochs, metrics, reshape, scoring
 from protlake.operators.sequences import feature_matrix
-from protlake.session import Scratch, shuffles_dropped, staged
+from protlake.session import Scratch, settings, shuffles_dropped, staged
 
 RUN_METRICS = ["val_fmax", "test_fmax", "val_loss", "test_loss"]
 
@@ -30,9 +30,12 @@ def fusion_report(graph: DataFrame, sequence: DataFrame, labels: DataFrame, term
     of one step.
     """
     spark = graph.sparkSession
-    entries = staged(entries.select("entry_id", *[c for c in entries.columns if c == "model"]), "fusion-entries")
+    # entries and labels are both dealt by entry, so the scores that met the one meet the other where they are
+    by_entry = settings(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"})
+    labels = labels.select("entry_id", "term").repartition("entry_id")
     rows = []
-    with shuffles_dropped(spark), Scratch(spark, "fused") as both:
+    with shuffles_dropped(spark), by_entry, Scratch(spark, "fused") as both:
+        entries = staged(entries.select("entry_id", *[c for c in entries.columns if c == "model"]), "fusion-entries")
         fused = both.table(scoring.fuse(graph, sequence, graph_weight, sequence_weight, space).select("entry_id", "term", "score"))
         for name, t in {"graph": graph, "sequence": sequence, "fused": fused}.items():
             with Scratch(spark, "fusion-pairs") as one:
